@@ -14,6 +14,8 @@ multiset Jaccard similarity of their 5-word shingles at `SIMILARITY` or more, ov
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ BLOCKS, BLOCK_BITS, BALL = 8, 8, 2
 RADIUS = BLOCKS * (BALL + 1) - 1
 #: Rows of the items' tables up to which they are broadcast (some 40 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Distinct shingles of items up to which the documents' shingles are looked up in a literal table.
+LITERAL_ROWS = 200_000
+LITERAL_BUCKETS = 1 << 14
 
 
 def word_array(text: Column) -> Column:
@@ -45,9 +50,31 @@ def shingled(text: Column) -> Column:
     return let(word_array(text), hashes)
 
 
-def _marks(text: Column) -> Column:
-    """array of struct(n, h): each shingle's hash with the text's number of words."""
-    return let(shingled(text), lambda x: F.transform(x["hashes"], lambda h: F.struct(x["n"].alias("n"), h.alias("h"))))
+def _hit_documents(docs: DataFrame, item_shingles: DataFrame) -> DataFrame:
+    """(doc_id, n, hashes, places array<struct(p, h)>): the documents in which an item's shingle starts, with the places of all such starts.
+
+    Up to `LITERAL_ROWS` distinct shingles of items are looked up within the row, in a literal hash table, so that no text is shuffled;
+    more are joined.
+    """
+    marks = item_shingles.select("h").distinct()
+    if marks.count() <= LITERAL_ROWS:
+        buckets: list[list[int]] = [[] for _ in range(LITERAL_BUCKETS)]
+        for row in marks.collect():
+            buckets[row["h"] % LITERAL_BUCKETS].append(row["h"])
+        literal = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+
+        def placed(x: Column) -> Column:
+            each = F.transform(x["hashes"], lambda h, i: F.struct(i.alias("p"), h.alias("h")))
+            found = F.filter(each, lambda e: F.array_contains(F.get(literal, F.pmod(e["h"], F.lit(LITERAL_BUCKETS)).cast("int")), e["h"]))
+            return F.struct(x["n"].alias("n"), x["hashes"].alias("hashes"), found.alias("places"))
+
+        # (a filter on a projected column would be pushed below it and compute the hashes twice)
+        rows = F.filter(F.array(let(shingled(F.col("text")), placed)), lambda x: F.size(x["places"]) > 0)
+        return docs.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
+    each = docs.select("doc_id", F.posexplode(let(shingled(F.col("text")), lambda x: x["hashes"])).alias("p", "h"))
+    places = each.join(_small(marks), "h").groupBy("doc_id").agg(F.collect_list(F.struct("p", "h")).alias("places"))
+    rows = docs.join(places, "doc_id").select("doc_id", shingled(F.col("text")).alias("x"), "places")
+    return rows.select("doc_id", "x.n", "x.hashes", "places")
 
 
 def _simhash(rows: DataFrame, keys: list[str], h: str) -> DataFrame:
@@ -75,7 +102,8 @@ def _small(df: DataFrame) -> DataFrame:
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, window_start, window_words, similarity): of each leaked item its most similar window in each document, the first of equals.
 
-    Null ids and texts without words are not compared; a document shorter than the item is one window. Rows with
+    Null ids and texts without words are not compared; a document shorter than the item is one window. An item of fewer words than a
+    shingle is one shingle of all its words, which only a document of just these words has. Rows with
     the same doc_id are taken as one document's parts; items with the same item_id and text count once. Extra columns are ignored,
     empty tables give no rows.
     """
@@ -86,17 +114,18 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     slim = keep_columns(docs, "doc_id", "text").where("doc_id is not null and text is not null")
 
-    # 1. places where an item's shingle starts
+    # 1. places where an item's shingle starts, in the documents that have any
+    hit = materialise(_hit_documents(slim, item_shingles), "hit-documents")
     lengths = item_shingles.groupBy("h").agg(F.collect_set("len").alias("lens"))
-    places = slim.select("doc_id", F.posexplode(_marks(F.col("text"))).alias("p", "x")).select("doc_id", "p", "x.n", "x.h").join(_small(lengths), "h")
+    places = hit.select("doc_id", "n", F.explode("places").alias("x")).select("doc_id", "n", "x.p", "x.h").join(_small(lengths), "h")
     starts = places.select("doc_id", "n", "p", F.explode("lens").alias("len")).select("doc_id", "len", F.expr("greatest(0, least(p, n - len))").alias("s")).distinct()
-    wanted = materialise(starts.groupBy("doc_id").agg(F.collect_list(F.struct("len", "s")).alias("wanted")), "leak-starts")
+    wanted = starts.groupBy("doc_id").agg(F.collect_list(F.struct("len", "s")).alias("wanted"))
 
-    def cut(x: Column, w: Column) -> Column:
-        part = F.slice(x["hashes"], w["s"] + 1, F.greatest(F.lit(1), w["len"] - (SHINGLE - 1)))
-        return F.struct(w["len"].alias("len"), w["s"].alias("s"), part.alias("hashes"), F.least(w["len"], x["n"] - w["s"]).alias("words"))
+    def cut(w: Column) -> Column:
+        part = F.slice("hashes", w["s"] + 1, F.greatest(F.lit(1), w["len"] - (SHINGLE - 1)))
+        return F.struct(w["len"].alias("len"), w["s"].alias("s"), part.alias("hashes"), F.least(w["len"], F.col("n") - w["s"]).alias("words"))
 
-    window = slim.join(wanted, "doc_id").select("doc_id", F.explode(let(shingled(F.col("text")), lambda x: F.transform("wanted", lambda w: cut(x, w)))).alias("w"))
+    window = hit.join(wanted, "doc_id").select("doc_id", F.explode(F.transform("wanted", cut)).alias("w"))
     window = materialise(window.select("doc_id", "w.*"), "leak-windows")
 
     # 2. fingerprints and blocks

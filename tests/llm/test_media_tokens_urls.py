@@ -1,0 +1,204 @@
+"""Ogg, token files, shards, URL reputation and the pipeline."""
+
+import hashlib
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from orgweave.llm import hostrep, ogg, shards, token_scan
+from orgweave.llm import queries as training
+from orgweave.llm.shared import MembershipFilter, materialise
+from orgweave.llm.tokens import END_OF_DOCUMENT, Vocabulary
+
+VOCABULARY = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=VOCABULARY.ranks(), special_tokens={})
+TEXTS = ["one two three", None, "", "x" * 500, "long " * 4000, "one two three", "é" * 96, "a" * 192]
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, media string, file int")
+
+
+# --- Ogg
+
+
+def slow_checksum(data):
+    crc = 0
+    for byte in data:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+    return crc
+
+
+def test_checksum_is_the_containers():
+    for data in (b"", b"OggS", bytes(range(256)) * 3):
+        assert ogg.page_checksum(data) == slow_checksum(data)
+
+
+def test_ogg_round_trip(spark):
+    got = {r.doc_id: r for r in ogg.read(ogg.store(table(spark, TEXTS))).collect()}
+    for i, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    assert got[0].media_sha256 == got[5].media_sha256 and got[0].feature == got[5].feature
+    assert got[1].feature == got[2].feature
+    assert ogg.read(ogg.store(table(spark, TEXTS).where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("size", [192, 4096, 4096 * 2, 65025, 255 * 192, 400_000])
+def test_packets_over_page_ends(size):
+    payload = np.random.default_rng(size).integers(0, 256, size // 192 * 192, dtype=np.uint8).tobytes()
+    media = ogg.mux(payload, 5)
+    back, n, streams = ogg.read_payload(media)
+    assert back == payload and n == 5 and len(streams) == 2
+    samples = streams[ogg.SAMPLES_SERIAL]
+    assert samples.granules[-1] == len(payload) and samples.granules == sorted(samples.granules)
+
+
+def test_damage_is_found():
+    media = bytearray(ogg.mux(b"abc " * 30_000, 5))
+    for at in (0, 5, 30, 200, len(media) - 1):
+        bad = bytearray(media)
+        bad[at] ^= 1
+        with pytest.raises(ogg.OggError):
+            ogg.demux(bytes(bad))
+    with pytest.raises(ogg.OggError):
+        ogg.demux(bytes(media[:-10]))
+    second = media.index(b"OggS", 10)
+    third = media.index(b"OggS", second + 10)
+    fourth = media.find(b"OggS", third + 10)
+    if fourth > 0:
+        with pytest.raises(ogg.OggError):  # a page left out
+            ogg.demux(bytes(media[:third] + media[fourth:]))
+
+
+# --- token files
+
+
+@pytest.mark.parametrize("block", [3, 7, 64, 1 << 18])
+def test_token_counts_equal_tiktoken(spark, block):
+    blocks = materialise(token_scan.flat_blocks(table(spark, TEXTS).repartition(2), VOCABULARY, block), "flat")
+    counted = token_scan.count_tokens(blocks)
+    named = blocks.selectExpr("file", "block", "posexplode(doc_ids) as (nth, doc_id)")
+    got = {r.doc_id: r.n_tokens for r in counted.join(named, ["file", "block", "nth"]).collect()}
+    assert got == {i: len(REFERENCE.encode_ordinary(t or "")) for i, t in enumerate(TEXTS)}
+    assert counted.where("not closed").count() == 0
+
+
+def test_scan_stitches_groups_and_open_ends(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 50000, 9000).astype("<u2")
+    x[rng.integers(0, 9000, 40)] = END_OF_DOCUMENT
+    x[[0, 1, -1]] = END_OF_DOCUMENT
+    for tail in (0, 5):
+        ids = np.concatenate([x, np.arange(tail, dtype="<u2")])
+        rows = [("f", b, ids[b * 4 : b * 4 + 4].astype("<u2").tobytes()) for b in range(-(-len(ids) // 4))]
+        df = spark.createDataFrame([*rows, ("empty", 0, None), ("open", 0, struct.pack("<3H", 1, 2, 3))], "file string, block long, payload binary")
+        got = {(r.file, r.doc_no): (r.n_tokens, r.closed) for r in token_scan.count_tokens(df).collect()}
+        ends = np.flatnonzero(ids == END_OF_DOCUMENT)
+        want = {("f", i): (int(e - (ends[i - 1] + 1 if i else 0)), True) for i, e in enumerate(ends)}
+        if tail:
+            want["f", len(ends)] = (tail, False)
+        assert got == want | {("open", 0): (3, False)}
+
+
+# --- shards
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 63, 64, 65, 1000, 4097])
+def test_feistel_is_a_permutation(n):
+    slots = shards.Feistel(n, 99)(np.arange(n))
+    assert sorted(slots.tolist()) == list(range(n))
+    if n > 50:
+        assert slots.tolist() != shards.Feistel(n, 100)(np.arange(n)).tolist() and slots.tolist() != list(range(n))
+
+
+def test_shards_hold_every_token_once(spark):
+    written = shards.write_training_order(table(spark, TEXTS).repartition(3), VOCABULARY, key=5, sequence=16, per_shard=32)
+    for s in written.collect():
+        assert len(s.payload) == s.n_records * s.stride and s.stride == 16 + 2 * 16 and s.first_slot == s.shard * 32
+    rows = shards.read_records(written).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert all(r.shard == r.slot // 32 and r.byte_offset == r.slot % 32 * 48 for r in rows)
+    for i, t in enumerate(TEXTS):
+        mine = sorted((r.seq_no, bytes(r.tokens)) for r in rows if r.doc_id == i)
+        assert np.frombuffer(b"".join(b for _, b in mine), "<u2").tolist() == [*REFERENCE.encode_ordinary(t or ""), END_OF_DOCUMENT]
+    assert {r.slot for r in shards.read_records(written, 40).collect()} == {r.slot for r in rows if r.slot >= 40}
+    assert shards.write_training_order(table(spark, TEXTS).where("false"), VOCABULARY).count() == 0
+
+
+def test_null_id_keeps_its_sequence(spark):
+    df = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
+    assert [r.doc_id for r in shards.read_records(shards.write_training_order(df, VOCABULARY)).collect()] == [None]
+
+
+# --- URLs
+
+
+URLS = [
+    (1, "http://A.Example.COM/en/5"), (2, "https://example.com/en/77?x"), (3, "x://www.example.net/de/81#t"), (4, "x://example.net/de/9"), (5, "ftp://q.org/es/"), (6, "https://é.org?es/"),
+    (7, None), (8, "no scheme/en/"), (9, "http://"), (10, "a://b://c/d"), (11, "http://bad.example.io/1"), (12, "http://new.example.io/1"), (13, "http://notcom/en/"), (14, "http://com/en/x"), (14, "http://com/en/x"),
+]
+
+
+def test_urls_hosts_paths_and_rules(spark):
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in URLS], "page_id long, url string, host string")
+    outcomes = spark.createDataFrame([("http://bad.example.io/1", 1)] * 60 + [("http://fine.example.io/", 0)] * 60 + [(None, 1), ("http://x.y/", None)], "url string, bad int")
+    rows = hostrep.judge_urls(pages, outcomes, training.URL_RULES).collect()
+    assert len(rows) == len(URLS)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
+    assert got[1] == ("a.example.com", "/en/5", "com/en/", "block")
+    assert got[2] == ("example.com", "/en/77", "example.com/en/7", "allow")
+    assert got[3] == ("www.example.net", "/de/81", "example.net/de/8", "block")
+    assert got[4] == ("example.net", "/de/9", "net/de/", "allow")
+    assert got[5] == ("q.org", "/es/", "org/es/", "block")
+    assert got[6] == ("é.org", "", None, "allow")
+    assert got[7][:3] == got[8][:3] == got[9][:3] == ("", "", None)
+    assert got[10][:2] == ("b:", "//c/d")
+    assert got[11][3] == "block"
+    assert got[13][2] is None and got[14][2] == "com/en/"
+
+
+def test_reputation_shrinks_to_its_domain(spark):
+    bad = [("a.x.io", 1)] * 3 + [("b.x.io", 1)] * 50 + [("c.x.io", 1)] * 40 + [("c.x.io", 0)] * 10 + [("a.y.io", 1)] * 3 + [("b.y.io", 0)] * 50 + [("c.y.io", 0)] * 50
+    outcomes = spark.createDataFrame(bad, "host string, bad int")
+    hosts = spark.createDataFrame([(h,) for h in ("a.x.io", "a.y.io", "d.x.io", "d.y.io", "z.z.z", "b.x.io")], "host string")
+    r = {x.host: x for x in hostrep.host_reputation(outcomes, hosts).collect()}
+    assert r["a.x.io"].mean > r["a.y.io"].mean and r["d.x.io"].mean > 0.5 > r["d.y.io"].mean
+    assert r["b.x.io"].low > r["a.x.io"].low
+    assert all(0 <= x.low <= x.mean <= x.high <= 1 for x in r.values())
+    none = hostrep.host_reputation(outcomes.where("false"), hosts).collect()
+    assert len(none) == 6 and all(x.low == 0 for x in none)
+
+
+# --- shared and pipeline
+
+
+def test_filter_never_misses(spark):
+    keys = [0, -1, 5, 1 << 40, -(1 << 62), 123456789]
+    member = MembershipFilter.build(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    assert member.test(np.array(keys)).all() and not member.test(np.arange(10, 40)).any()
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
+    columns = docs.columns
+    n = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage")
+        assert docs.columns == columns
+        assert 0 < docs.count() <= n
+        n = docs.count()
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    want = {r.doc_id: REFERENCE.encode_ordinary(r.text) for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in coded.collect()} == {k: len(v) for k, v in want.items()}
+    assert sorted(corpus_pipeline.run(spark, sf_dir).collect()) == sorted(coded.collect())
