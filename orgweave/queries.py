@@ -1,19 +1,535 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators over the driver's tables, each with the SQL that says the same.
+
+The tables hold no affiliations, so each operator runs on tables of the same shape: suppliers, parts and nations as registries, documents and conversations as texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orgweave.functions import language as lang
+from orgweave.functions import text as tx
+from orgweave.operators import evaluate, geocode, linking, orgtype, output, spans
+from orgweave.oracle import language as lang_sql
+from orgweave.plans.config import LinkConfig, PipelineConfig
+from orgweave.plans.pipeline import Engine
+from orgweave.providers import gazetteer, gazetteer_ner, hashed_encoder, lexical_reranker, match_terms
+from orgweave.sources import registry as reg
+from orgweave.sources.cache import latest, read_through
+from orgweave.sources.tables import country_aliases
+from orgweave.streaming.stream import windowed_counts
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable) -> Callable:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def supplier_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return reg.from_table(
+        s,
+        {"id": "concat('S', s_suppkey)", "name": "s_name", "aliases": "array(concat('Works ', s_suppkey))", "acronyms": "array(concat('SW', s_suppkey), 'S')", "country": "n_name", "country_code": "concat('C', n_nationkey)", "city": "concat('City ', n_nationkey)", "types": "array('Company')"},
+        "suppliers",
+    )
+
+
+# --- keys and exact matches
+
+
+@query("select doc_id, md5(trim(regexp_replace(regexp_replace(replace(strip_accents(replace(lower(trim(text)), 'ß', 'ss')), '.', ''), '[-–—]', ' ', 'g'), '\\s+', ' ', 'g'))) as key_md5 from documents")
+def name_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.name_key(F.col("text")).cast("binary")).alias("key_md5"))
+
+
+DIRECT = """
+with m as (select distinct l_suppkey as k from lineitem),
+r as (select 'S' || s_suppkey as id, s_name, s_suppkey, n_name, 'C' || n_nationkey as code from supplier join nation on s_nationkey = n_nationkey),
+names as (select id, lower(s_name) as name_key, lower(n_name) as c1, lower(code) as c2 from r union all select id, 'works ' || s_suppkey, lower(n_name), lower(code) from r union all select id, 'sw' || s_suppkey, lower(n_name), lower(code) from r),
+keys as (select distinct id, name_key, c1 as country_key from names union select distinct id, name_key, c2 from names),
+u as (select name_key, country_key, min(id) as record_id from keys group by all having count(distinct id) = 1),
+ask as (select k as mention_key, lower(s_name) as name_key, case when k % 2 = 0 then lower(n_name) else 'c' || n_nationkey end as country_key from m join supplier on k = s_suppkey join nation on s_nationkey = n_nationkey)
+select cast(mention_key as bigint) as mention_key, record_id from ask join u using (name_key, country_key)
+"""
+
+
+@query(DIRECT)
+def direct_match(spark, sf_dir):
+    used = table(spark, sf_dir, "lineitem").select("l_suppkey").distinct()
+    named = used.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    country = F.when(F.col("l_suppkey") % 2 == 0, F.upper("n_name")).otherwise(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")))
+    mentions = named.select(F.col("l_suppkey").alias("mention_key"), F.concat(F.upper("s_name"), F.lit(". ")).alias("word"), country.alias("country"))
+    return linking.direct_match(mentions, supplier_registry(spark, sf_dir))
+
+
+@query("with u as (select lower(p_name) as k, lower(p_brand) as c, min(p_partkey) as id, count(*) as n from part group by all having count(*) = 1) select p_partkey as mention_key, cast(id as varchar) as record_id from part join u on lower(p_name) = k and lower(p_brand) = c")
+def direct_match_ambiguous(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    registry = reg.from_table(part, {"id": "p_partkey", "name": "p_name", "country": "p_brand"}, "parts")
+    return linking.direct_match(part.select(F.col("p_partkey").alias("mention_key"), F.col("p_name").alias("word"), F.col("p_brand").alias("country")), registry)
+
+
+@query(
+    """with recursive f as (select p_partkey as id, p_partkey % 7 = 0 as active, case when p_partkey % 7 = 0 or p_partkey % 5 = 0 then null when p_partkey % 11 = 0 then p_partkey - 1 else p_partkey + 1 end as nxt from part),
+    w(id, here, hops, seen, done) as (select id, id, 0, [id], active or nxt is null from f
+      union all select w.id, f.nxt, w.hops + 1, list_append(w.seen, f.nxt), list_contains(w.seen, f.nxt) or g.id is null or g.active or g.nxt is null
+      from w join f on f.id = w.here left join f g on g.id = f.nxt where not w.done and w.hops < 5)
+    select cast(id as varchar) as id, cast(arg_max(here, hops) as varchar) as resolved_id from w group by id"""
+)
+def successor_chain(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    following = "case when p_partkey % 7 = 0 or p_partkey % 5 = 0 then null when p_partkey % 11 = 0 then p_partkey - 1 else p_partkey + 1 end"
+    return reg.resolve_successors(reg.from_table(part, {"id": "p_partkey", "name": "p_name", "status": "if(p_partkey % 7 = 0, 'active', 'inactive')", "successor_id": following}, "parts"))
+
+
+@query(
+    """with r as (select p_partkey, [p_name, upper(p_name), p_brand, p_type, p_brand] as names from part),
+    e as (select p_partkey, i as pos, trim(names[i]) as variant from r, unnest(generate_series(1, len(names))) as u(i) where trim(names[i]) <> ''),
+    f as (select p_partkey, arg_min(variant, pos) as variant, min(pos) as pos from e group by p_partkey, lower(variant))
+    select cast(p_partkey as varchar) as id, cast(row_number() over (partition by p_partkey order by pos) - 1 as bigint) as variant_no, variant from f"""
+)
+def registry_variants(spark, sf_dir):
+    mapping = {"id": "p_partkey", "name": "p_name", "aliases": "array(upper(p_name), p_brand)", "labels": "array(p_type)", "acronyms": "array(substr(p_brand, 1, 1), p_brand)"}
+    return reg.name_variants(reg.from_table(table(spark, sf_dir, "part"), mapping, "parts")).withColumn("variant_no", F.col("variant_no").cast("bigint"))
+
+
+@query(
+    """with n as (select * from nation join region on n_regionkey = r_regionkey),
+    v as (select n_nationkey, 'N' || n_nationkey as id, 0 as variant_no, n_name as variant from n union all select n_nationkey, 'N' || n_nationkey, 1, 'AC' || n_nationkey from n)
+    select v.id, cast(variant_no as bigint) as variant_no, variant, '[MENTION] ' || variant || ' [ACRONYM] AC' || v.n_nationkey || ' [CITY] Seat ' || v.n_nationkey || ' [COUNTRY] ' || n.r_name
+      || coalesce(' [PARENT] ' || p.n_name, '') as text
+    from v join n on n.n_nationkey = v.n_nationkey left join nation p on p.n_nationkey = v.n_nationkey - 1"""
+)
+def parent_suffix(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    mapping = {"id": "concat('N', n_nationkey)", "name": "n_name", "acronyms": "array(concat('AC', n_nationkey))", "city": "concat('Seat ', n_nationkey)", "country": "r_name", "parent_id": "concat('N', n_nationkey - 1)"}
+    return reg.variant_texts(reg.from_table(n, mapping, "nations")).withColumn("variant_no", F.col("variant_no").cast("bigint"))
+
+
+# --- language
+
+
+def _feature(name: str):
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents")
+        each = docs.select("doc_id", F.explode(lang.feature(name, F.col("text"))).alias("s"))
+        return each.select("doc_id", "s.lang", F.round("s.score", 6).alias("score"))
+
+    run.__name__ = f"lang_{name}"
+    return query(lang_sql.feature_sql(name))(run)
+
+
+for _name in lang.FEATURES:
+    _feature(_name)
+
+
+@query(lang_sql.decide_sql())
+def lang_decide(spark, sf_dir):
+    docs = tx.compose(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return docs.select("doc_id", lang.decide(F.col("text")).alias("language"))
+
+
+@query(lang_sql.decide_sql(compat=False))
+def lang_decide_plain(spark, sf_dir):
+    docs = tx.compose(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return docs.select("doc_id", lang.decide(F.col("text"), compat=False).alias("language"))
+
+
+@query(lang_sql.script_sql())
+def script_detect(spark, sf_dir):
+    x = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", lang.japanese_score(x).cast("double").alias("japanese"), lang.chinese_score(x).cast("double").alias("chinese"), lang.korean_score(x).cast("double").alias("korean"), lang.is_latin(x).alias("latin"))
+
+
+@query("select lang, cast(count(*) as bigint) as n, cast(sum(case when source = 'src0' then 1 else 0 end) as bigint) as n_first from documents group by lang order by n desc, lang limit 5")
+def language_histogram(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    top = evaluate.language_histogram(docs.select(F.struct(F.col("lang").alias("language")).alias("language_info")))
+    first = docs.groupBy("lang").agg(F.count_if(F.col("source") == "src0").alias("n_first"))
+    return top.join(first, F.col("language") == F.col("lang")).select("lang", F.col("count").alias("n"), "n_first")
+
+
+# --- retrieval
+
+
+MENTIONS = """
+m as (select c_custkey as mention_key, c_name as word, case when c_custkey % 3 = 0 then c_mktsegment end as city, case when c_custkey % 4 = 1 then r_name end as region,
+             case when c_custkey % 5 <> 2 then n_name end as country from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+
+
+def customer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.selectExpr("c_custkey as mention_key", "c_name as word", "case when c_custkey % 3 = 0 then c_mktsegment end as city", "case when c_custkey % 4 = 1 then r_name end as region", "case when c_custkey % 5 <> 2 then n_name end as country")
+
+
+@query(
+    f"""with {MENTIONS},
+    t as (select mention_key, list_filter([
+        case when city is not null and country is not null then '[MENTION] ' || word || ' [CITY] ' || city || ' [COUNTRY] ' || country end,
+        case when country is not null then '[MENTION] ' || word || ' [COUNTRY] ' || country end,
+        case when region is not null and country is not null then '[MENTION] ' || word || ' [CITY] ' || region || ' [COUNTRY] ' || country end,
+        case when city is not null and country is null then '[MENTION] ' || word || ' [CITY] ' || city end,
+        case when city is null and country is null then '[MENTION] ' || word end], lambda x: x is not null) as texts from m)
+    select mention_key, cast(i - 1 as bigint) as variant_no, texts[i] as text from t, unnest(generate_series(1, len(texts))) as u(i)"""
+)
+def query_variants(spark, sf_dir):
+    return linking.query_variants(customer_mentions(spark, sf_dir)).withColumn("variant_no", F.col("variant_no").cast("bigint"))
+
+
+KNN = """q as (select vec_id as qid, embedding from embeddings where vec_id % 50 = 0),
+    s as (select qid, vec_id as iid, label, list_dot_product(cast(q.embedding as double[]), cast(e.embedding as double[])) as score from q, embeddings e),
+    k as (select *, row_number() over (partition by qid order by round(score, 12) desc, iid) as rank from s)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("iid"), "embedding")
+
+
+@query(f"with {KNN} select qid, iid, round(score, 5) as score, cast(rank as bigint) as rank from k where rank <= 10")
+def knn_topk(spark, sf_dir):
+    return linking.knn(*_vectors(spark, sf_dir), 10).select("qid", "iid", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"""with {KNN}, c as (select k.qid, iid, k.score, k.label, e.label as q_label from k join embeddings e on e.vec_id = qid where rank <= 30 and k.score >= 0.15),
+    b as (select qid, iid, least(score + case when label = q_label then 0.05 else 0.0 end + case when iid % 7 = qid % 7 then 0.03 else 0.0 end, 1.0) as score from c),
+    r as (select *, row_number() over (partition by qid order by round(score, 12) desc, cast(iid as varchar)) as n from b)
+    select qid as mention_key, cast(iid as varchar) as record_id, round(score, 5) as score from r where n <= 10"""
+)
+def knn_boosted(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    near = linking.knn(*_vectors(spark, sf_dir), 30).where("score >= 0.15")
+    found = near.select(F.col("qid").alias("mention_key"), F.col("iid").cast("string").alias("record_id"), F.col("score").alias("raw_score"))
+    mentions = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("mention_key"), F.concat(F.lit("L"), "label").alias("country"), F.concat(F.lit("Town "), (F.col("vec_id") % 7).cast("string")).alias("city"))
+    registry = reg.from_table(e, {"id": "vec_id", "name": "vec_id", "country": "concat('L', label)", "city": "concat('town ', vec_id % 7)"}, "vectors")
+    return linking.boost(found, mentions, registry, 10, LinkConfig()).select("mention_key", "record_id", F.round("score", 5).alias("score"))
+
+
+PAIRS = """p as (select conv_id, turn, text as query, lead(text) over (partition by conv_id order by turn) as document from conversations),
+    w as (select conv_id, turn, list_distinct(list_filter(string_split_regex(lower(query), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) as a,
+                 list_distinct(list_filter(string_split_regex(lower(document), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) as b from p where document is not null),
+    j as (select conv_id, turn, len(list_intersect(a, b)) as n_both, len(list_distinct(list_concat(a, b))) as n_either from w),
+    s as (select conv_id, turn, case when n_either > 0 then n_both / n_either else 0.0 end as score from j)"""
+
+
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"), following.alias("document")).where("document is not null")
+
+
+@query(f"with {PAIRS} select conv_id, turn, round(score, 6) as score from s")
+def rerank_lexical(spark, sf_dir):
+    return lexical_reranker(_turn_pairs(spark, sf_dir)).select("conv_id", "turn", F.round("rerank_score", 6).alias("score"))
+
+
+@query(f"with {PAIRS}, g as (select conv_id, max(score) as m from s group by conv_id) select conv_id as mention_key, cast(turn as varchar) as record_id, round(score, 6) as score from s join g using (conv_id) where m >= 0.1")
+def quality_gate(spark, sf_dir):
+    scored = lexical_reranker(_turn_pairs(spark, sf_dir)).select(F.col("conv_id").alias("mention_key"), F.col("turn").cast("string").alias("record_id"), F.col("rerank_score").alias("score"))
+    return linking.quality_gate(scored, 0.1).select("mention_key", "record_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""with {KNN}, c as (select qid, iid, score from k where rank <= 12 and score < 0.999),
+    st as (select qid, max(score) as best, count(*) as n from c group by qid),
+    a as (select c.*, row_number() over (partition by qid order by score desc, cast(iid as varchar)) as no from c join st using (qid) where best < 0.9 and n >= 2),
+    l as (select qid, iid, score * 10 as logit from a where no <= 10 union all select distinct qid, null, 4.0 from a),
+    z as (select qid, max(logit) as top from l group by qid),
+    x as (select qid, iid, exp(logit - top) as e from l join z using (qid)),
+    y as (select qid, iid, e / sum(e) over (partition by qid) as p from x),
+    t as (select qid, max(case when iid is not null then p end) as p_top, max(case when iid is null then p end) as p_none from y group by qid)
+    select qid as mention_key, cast(iid as varchar) as record_id, round(p, 6) as score from y join t using (qid) where iid is not null and p_none <= p_top
+    union all select qid, cast(iid as varchar), round(score, 6) from c join st using (qid) where not (best < 0.9 and n >= 2)"""
+)
+def judge_softmax(spark, sf_dir):
+    near = linking.knn(*_vectors(spark, sf_dir), 12).where("score < 0.999").select(F.col("qid").alias("mention_key"), F.col("iid").cast("string").alias("record_id"), "score")
+
+    def logits(df: DataFrame) -> DataFrame:
+        none = df.select("mention_key", F.lit(None).cast("string").alias("record_id"), F.lit(4.0).alias("logit")).distinct()
+        return df.select("mention_key", "record_id", (F.col("score") * 10).alias("logit")).unionByName(none)
+
+    return linking.judge(near, logits, LinkConfig(llm_threshold=0.9)).select("mention_key", "record_id", F.round("score", 6).alias("score"))
+
+
+BM25 = """
+d as (select p_partkey as id, list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') as w from part),
+t as (select count(*) as n, avg(len(w)) as avg_len from d),
+po as (select id, len(w) as len, term, count(*) as tf from (select id, w, unnest(w) as term from d) group by id, w, term),
+f as (select term, count(*) as df from po group by term),
+a as (select p_partkey as mention_key, unnest(list_distinct(list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''))) as term from part where p_partkey % 50 = 0),
+s as (select mention_key, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) as score from a join f using (term) join po using (term), t group by mention_key, id)"""
+
+
+@query(f"with {BM25} select mention_key, cast(id as varchar) as record_id, score from s")
+def bm25(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("variant"))
+    found = linking.bm25(part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("mention_key"), F.col("p_name").alias("word")), names, 1 << 30)
+    return found.select("mention_key", "record_id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {KNN}, p as (select qid, iid, score * 0.7 as s from k where rank <= 20 union all select qid, iid, (iid % 10) / 10.0 * 0.3 from k where rank <= 40), u as (select qid, iid, round(sum(s), 6) as score from p group by all) select qid as mention_key, cast(iid as varchar) as record_id, score from u")
+def combined_retriever(spark, sf_dir):
+    near = linking.knn(*_vectors(spark, sf_dir), 40).select(F.col("qid").alias("mention_key"), F.col("iid").cast("string").alias("record_id"), "score", "rank")
+    other = near.withColumn("score", (F.col("record_id").cast("long") % 10) / 10.0)
+    found = linking.combine_retrievers([(near.where("rank <= 20"), 0.7), (other, 0.3)], 1 << 30)
+    return found.select("mention_key", "record_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def cascade(spark, sf_dir):
+    """Exact, dense and reranked links of slightly misspelt supplier mentions."""
+    registry = supplier_registry(spark, sf_dir)
+    encoder = hashed_encoder()
+    texts = reg.variant_texts(registry)
+    vectors = texts.join(encoder(texts.select("text").distinct()), "text").select("id", "variant", "embedding")
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    mentions = s.selectExpr("s_suppkey as mention_key", "if(s_suppkey % 2 = 0, s_name, concat('The ', s_name)) as word", "n_name as country", "concat('city ', n_nationkey) as city", "cast(null as string) as region")
+    return linking.link_mentions(mentions, registry, LinkConfig(), vectors=vectors, encoder=encoder, reranker=lexical_reranker)
+
+
+# --- spans, entities, groups
+
+
+@query("with s as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as p, text from documents), f as (select doc_id, case when len(p) > 0 then p else [text] end as p from s) select doc_id as source_index, cast(i - 1 as bigint) as span_index, p[i] as raw_text from f, unnest(generate_series(1, len(p))) as u(i)")
+def span_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_index"), F.col("text").alias("raw_text"))
+    return spans.expand_spans(docs, "delimiter", "\n").withColumn("span_index", F.col("span_index").cast("bigint"))
+
+
+@query("select conv_id as source_index, cast(count(*) as bigint) as n, md5(string_agg(text, '|' order by turn)) as texts from conversations group by conv_id")
+def regroup_spans(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_index"), F.col("turn").cast("int").alias("span_index"), F.col("text").alias("raw_text"))
+    inputs = c.select("source_index").distinct().withColumn("raw_text", F.lit(""))
+    out = spans.regroup(c.withColumnRenamed("raw_text", "input"), inputs, ["input"])
+    return out.select("source_index", F.size("outputs").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("outputs", lambda o: o["input"]), "|").cast("binary")).alias("texts"))
+
+
+@query("select conv_id as source_index, role as label, cast(count(*) as bigint) as n, md5(string_agg(text, '|' order by turn)) as words from conversations group by conv_id, role")
+def entity_group(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source_index"), F.lit(0).alias("span_index"), F.col("turn").alias("pos"), F.col("role").alias("label"), F.col("text").alias("word"))
+    each = spans.group_by_label(c).select("source_index", F.explode("ner").alias("label", "w"))
+    return each.select("source_index", "label", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", "|").cast("binary")).alias("words"))
+
+
+@query()
+def merge_adjacent(spark, sf_dir):
+    """Word pieces of conversations, each cut in two, joined again."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    piece = "named_struct('entity_group', 'ORG', 'score', 0.5D + pmod(i, 5) / 10D, 'word', substring(text, i * 3 + 1, 3), 'start', i * 3, 'end', least(i * 3 + 3, length(text)))"
+    rows = c.withColumn("e", F.expr(f"if(length(text) = 0, array(), transform(sequence(0, cast((length(text) - 1) div 3 as int)), i -> {piece}))").cast("array<struct<entity_group:string,score:double,word:string,start:int,end:int>>"))
+    return rows.select("conv_id", "turn", F.posexplode(spans.merge_adjacent(F.col("e"), "text")).alias("pos", "x")).select("conv_id", "turn", "pos", "x.word", "x.score", "x.start", "x.end")
+
+
+@query("select o_orderkey as source_index, min(case when s = 0 then w end) as city, min(case when s = 1 then w end) as country from (select o_orderkey, o_orderpriority as w, o_custkey % 3 as s from orders) group by o_orderkey having count(*) > 0")
+def mention_context(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    label = F.when(F.col("o_custkey") % 3 == 0, "CITY").when(F.col("o_custkey") % 3 == 1, "COUNTRY").otherwise("ORG")
+    m = o.select(F.col("o_orderkey").alias("source_index"), F.lit(0).alias("span_index"), F.lit(0).alias("pos"), label.alias("label"), F.col("o_orderpriority").alias("word"))
+    return linking.mention_context(m).select("source_index", "city", "country")
+
+
+@query("select c_custkey as id, '[MENTION] ' || c_name || ' [CITY] ' || c_mktsegment as tagged, c_name || ' | ' || c_mktsegment || ' | ' || n_name || ' | ' || n_nationkey as document from customer join nation on c_nationkey = n_nationkey")
+def candidate_text(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    doc = tx.candidate_document(F.col("c_name"), F.array("c_mktsegment"), F.col("n_name"), F.col("n_nationkey").cast("string"))
+    return c.select(F.col("c_custkey").alias("id"), tx.tagged(F.col("c_name"), ("CITY", F.col("c_mktsegment"))).alias("tagged"), doc.alias("document"))
+
+
+# --- places
+
+
+@query(
+    f"""with {MENTIONS}, t as (select mention_key, upper(city[1]) || lower(city[2:]) as city, array_to_string(list_transform(string_split(region, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as region, replace(upper(country[1]) || lower(country[2:]), '_', '') as country from m)
+    select mention_key, case when city is not null then 'city:' || concat_ws(', ', city, region, country) when region is not null then 'state:' || concat_ws(', ', region, country) when country is not null then 'country:' || country end as query from t"""
+)
+def geo_query(spark, sf_dir):
+    return customer_mentions(spark, sf_dir).select("mention_key", tx.search_query(F.col("city"), F.col("region"), F.col("country")).alias("query"))
+
+
+@query(
+    """with a as (select n_name as key, n_name as s, r_name as continent, 'C' || n_nationkey as iso3 from nation join region on n_regionkey = r_regionkey union all select 'Republic ' || n_nationkey, n_name, r_name, 'C' || n_nationkey from nation join region on n_regionkey = r_regionkey),
+    x as (select c_custkey, case when c_custkey % 4 = 0 then n_name when c_custkey % 4 = 1 then 'republic ' || n_nationkey when c_custkey % 4 = 2 then ' Republic ' || n_nationkey || ' ' else 'Nowhere ' || n_nationkey end as country, n_name, n_nationkey from customer join nation on c_nationkey = n_nationkey)
+    select c_custkey as id, case when c_custkey % 4 = 3 then country else x.n_name end as country_short, case when c_custkey % 4 < 3 then 'C' || n_nationkey end as country_code, case when c_custkey % 4 < 3 then a.continent end as continent
+    from x join a on a.key = x.n_name"""
+)
+def country_normalise(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    countries = n.selectExpr("n_name as name_short", "concat('Republic ', n_nationkey) as name_official", "concat('C', n_nationkey) as ISO3", "cast(null as string) as ISO2", "r_name as continent", "r_name as UNregion")
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    raw = "case when c_custkey % 4 = 0 then n_name when c_custkey % 4 = 1 then concat('republic ', n_nationkey) when c_custkey % 4 = 2 then concat(' Republic ', n_nationkey, ' ') else concat('Nowhere ', n_nationkey) end"
+    out = geocode.normalise_country(c.select(F.col("c_custkey").alias("id"), F.expr(raw).alias("country")), "country", country_aliases(countries))
+    return out.select("id", "country_short", "country_code", "continent")
+
+
+@query(
+    """with p as (select o_orderkey as point_id, (o_custkey % 160) / 2.0 as lat, (o_orderkey % 320) / 2.0 as lon from orders),
+    r as (select n_nationkey % 4 as level, 'R' || lpad(cast(n_nationkey as varchar), 2, '0') as id, n_nationkey * 5 as x, n_nationkey * 3 as y from nation),
+    h as (select point_id, level, min(id) as id from p join r on lon > x and lon < x + 14 and lat > y and lat < y + 9 group by all)
+    select point_id, max(case when level = 0 then id end) as nuts0, max(case when level = 1 then id end) as nuts1, max(case when level = 2 then id end) as nuts2, max(case when level = 3 then id end) as nuts3 from h group by point_id"""
+)
+def nuts_lookup(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    corner = lambda dx, dy: f"named_struct('x', double(n_nationkey * 5 + {dx}), 'y', double(n_nationkey * 3 + {dy}))"
+    ring = f"array(array({corner(0, 0)}, {corner(14, 0)}, {corner(14, 9)}, {corner(0, 9)}, {corner(0, 0)}))"
+    polygons = n.selectExpr("concat('R', lpad(n_nationkey, 2, '0')) as nuts_id", "n_name as name", "n_nationkey % 4 as level", f"{ring} as rings")
+    points = table(spark, sf_dir, "orders").selectExpr("o_orderkey as point_id", "(o_custkey % 160) / 2D as lat", "(o_orderkey % 320) / 2D as lon")
+    return geocode.regions_of(points, polygons).select("point_id", *[F.try_element_at("nuts", F.lit(f"nuts{i}_id")).alias(f"nuts{i}") for i in range(4)])
+
+
+@query("with t as (select user_id, props, epoch(ts) as seconds, event_id from events where epoch(timestamp '2024-12-31 00:00:00') - epoch(ts) <= 400 * 86400.0) select cast(user_id as varchar) as key, arg_max(props, row(seconds, props)) as value from t group by user_id")
+def cache_latest_ttl(spark, sf_dir):
+    entries = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), F.expr("unix_micros(cast(ts as timestamp)) / 1e6D").alias("created_at"))
+    now = F.expr("unix_micros(timestamp'2024-12-31 00:00:00') / 1e6D")
+    return latest(entries, now, 400).select("key", "value")
+
+
+@query("select c_mktsegment || '-' || c_nationkey as key, case when c_nationkey % 2 = 0 then 'kept' else 'asked ' || c_mktsegment || '-' || c_nationkey end as value from customer group by all")
+def dedupe_before_provider(spark, sf_dir):
+    asked = table(spark, sf_dir, "customer").select(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("q"), "c_nationkey")
+    cached = asked.where("c_nationkey % 2 = 0").select(F.col("q").alias("key"), F.lit("kept").alias("value")).distinct()
+    everything, _ = read_through(asked, "q", cached, lambda df: df.withColumn("answer", F.concat(F.lit("asked "), "query")), F.col("answer"))
+    return everything
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract_string(props, '$.k') is not null as has_k from events")
+def json_props(spark, sf_dir):
+    parsed = F.from_json("props", "struct<k:bigint>")
+    return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"), parsed["k"].isNotNull().alias("has_k"))
+
+
+@query("select c_custkey as id, c_acctbal as lat, cast(c_nationkey as double) as lon, cast(null as double) as bad_lat from customer")
+def coordinates(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    good = tx.coordinates(F.concat(F.lit("('"), F.col("c_acctbal").cast("string"), F.lit("', '"), F.col("c_nationkey").cast("string"), F.lit("')")))
+    bad = tx.coordinates(F.col("c_name"))
+    return c.select(F.col("c_custkey").alias("id"), good["lat"].alias("lat"), good["lon"].alias("lon"), bad["lat"].alias("bad_lat"))
+
+
+@query(
+    """with r as (select o_orderkey, n_name, c_mktsegment, o_custkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)
+    select o_orderkey as source_index, case when o_custkey % 3 = 0 then null when o_custkey % 3 = 1 then c_mktsegment else 'second ' || c_mktsegment end as city, case when o_custkey % 2 = 0 then n_name else 'second ' || n_name end as country from r"""
+)
+def geo_feedback(spark, sf_dir):
+    """City and country of the first linked record that has one."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    links = "array(named_struct('c', if(o_custkey % 3 = 1, c_mktsegment, ''), 'k', if(o_custkey % 2 = 0, n_name, null)), named_struct('c', if(o_custkey % 3 = 0, null, concat('second ', c_mktsegment)), 'k', concat('second ', n_name)))"
+    first = lambda f: F.try_element_at(F.filter(F.transform("l", lambda x: F.nullif(x[f], F.lit(""))), lambda v: v.isNotNull()), F.lit(1))
+    return o.select(F.col("o_orderkey").alias("source_index"), F.expr(links).alias("l")).select("source_index", first("c").alias("city"), first("k").alias("country"))
+
+
+# --- types, output, evaluation
+
+
+@query(
+    """with t as (select p_partkey, case p_size % 4 when 0 then 'Company' when 1 then 'Healthcare' when 2 then 'Higher Education' else null end as lvl1, case p_partkey % 3 when 0 then 'PRC.' when 1 then 'HEA.' else 'HEI.' end || lower(replace(p_type, ' ', '_')) as lvl2 from part)
+    select p_partkey as id, lvl1, case when lvl1 is null or starts_with(lvl2, case lvl1 when 'Company' then 'PRC.' when 'Healthcare' then 'HEA.' else 'HEI.' end) then
+      array_to_string(list_transform(string_split(replace(split_part(lvl2, '.', 2), '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') end as lvl2 from t"""
+)
+def orgtype_prefix(spark, sf_dir):
+    lvl1 = "case p_size % 4 when 0 then 'Company' when 1 then 'Healthcare' when 2 then 'Higher Education' else null end"
+    lvl2 = "concat(case p_partkey % 3 when 0 then 'PRC.' when 1 then 'HEA.' else 'HEI.' end, lower(replace(p_type, ' ', '_')))"
+    t = table(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{lvl1} as lvl1", f"{lvl2} as lvl2")
+    return t.select("id", "lvl1", tx.org_type_label(orgtype.consistent_level2(F.col("lvl1"), F.col("lvl2"))).alias("lvl2"))
+
+
+@query("select s_suppkey as id, case n_nationkey % 3 when 0 then 'fr-fr' when 1 then 'jp-jp' else 'wt-wt' end as region from supplier join nation on s_nationkey = n_nationkey")
+def search_region(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    country = F.when(F.col("n_nationkey") % 3 == 0, " France").when(F.col("n_nationkey") % 3 == 1, "JAPAN").otherwise(F.col("n_name"))
+    return s.select(F.col("s_suppkey").alias("id"), orgtype.search_region(country).alias("region"))
+
+
+@query(
+    """select c_custkey as source_index, case when c_custkey % 2 = 0 then c_mktsegment else n_name end as city, case when c_custkey % 2 = 0 then 'osm' else 'ner' end as city_source, case when c_custkey % 2 = 0 then n_name end as country,
+      case when c_custkey % 2 = 0 then null else round(c_nationkey / 100.0, 6) end as city_confidence, case when c_custkey % 2 = 0 then c_acctbal end as lat, case when c_custkey % 3 = 0 then null else round(c_nationkey / 50.0, 4) end as confidence
+    from customer join nation on c_nationkey = n_nationkey where c_nationkey > 0"""
+)
+def output_location(spark, sf_dir):
+    """Location and confidence of shaped output: from the geocoder for even customers, from entities for odd ones."""
+    c = table(spark, sf_dir, "customer").where("c_nationkey > 0").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    from orgweave import schemas
+
+    osm = "if(c_custkey % 2 = 0, named_struct('city', c_mktsegment, 'state_district', string(null), 'county', string(null), 'province', string(null), 'state', string(null), 'region', string(null), 'country', n_name, 'lat', c_acctbal, 'lon', 1D, 'osm_id', 1L, 'country_code', string(null), 'continent', string(null), 'un_region', string(null), 'nuts', cast(null as map<string,string>)), null)"
+    link = f"named_struct('query', c_name, 'id', cast(null as {schemas.RECORD_ID}), 'score', if(c_custkey % 3 = 0, 0D, bround(c_nationkey / 50D, 4)), 'source', 'x', 'retriever', 'y', 'type', cast(null as {schemas.ORG_TYPE}))"
+    items = c.selectExpr(
+        "c_custkey as source_index", "0 as span_index", "c_name as raw_text", f"array({link}) as links_i", f"cast(array() as array<{schemas.LINK}>) as links_s", "map('CITY', array(n_name, 'other')) as ner",
+        "map(concat('CITY|', n_name), round(c_nationkey / 100D, 6)) as scores", f"{osm} as osm", "string(null) as osm_source", "string(null) as language",
+    )
+    out = output.shape_output(items)
+    at = F.col("location")
+    return out.select("source_index", at["city"].alias("city"), F.try_element_at(at["source"], F.lit("city")).alias("city_source"), at["country"].alias("country"), F.try_element_at(at["confidence"], F.lit("city")).alias("city_confidence"), at["lat"].alias("lat"), "confidence")
+
+
+@query(
+    """with x as (select doc_id, list_distinct(['r' || (doc_id % 5), 'r' || (doc_id % 3)]) as g, case when quality = 1 then list_distinct(['r' || (doc_id % 5), 'r' || (doc_id % 4), 'r9']) else [] end as p from labels),
+    y as (select doc_id, len(list_intersect(g, p)) as n_both, len(g) as ng, len(p) as np from x),
+    z as (select doc_id, case when np = 0 then 0.0 else n_both / np end as p, case when ng = 0 then 1.0 else n_both / ng end as r from y)
+    select doc_id, round(p, 6) as p, round(r, 6) as r, round(case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end, 6) as f1 from z"""
+)
+def eval_prf(spark, sf_dir):
+    item = lambda e: f"concat('Name {{https://ror.org/r', {e}, '}}')"
+    rows = table(spark, sf_dir, "labels").selectExpr("doc_id", f"concat_ws('|', {item('doc_id % 5')}, {item('doc_id % 3')}) as label", f"if(quality = 1, concat_ws('|', {item('doc_id % 5')}, {item('doc_id % 4')}, 'Other {{r9}}'), '') as pred_label".replace("{{", "{").replace("}}", "}"))
+    return evaluate.score_labels(rows).select("doc_id", *[F.round(c, 6).alias(c) for c in ("p", "r", "f1")])
+
+
+@query("select source, cast(count(*) as bigint) as n, cast(count(distinct lang) as bigint) as langs, cast(sum(n_chars) as bigint) as chars, cast(max(n_chars) as bigint) as longest from documents group by source")
+def source_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+
+
+@query("select date_trunc('hour', ts) as start, date_trunc('hour', ts) + interval 1 hour as \"end\", event_type, cast(count(*) as bigint) as n from events group by all")
+def windowed_events(spark, sf_dir):
+    return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query("select cast(page_id as varchar) as text_key, cast(count(*) as bigint) as n from (select page_id, unnest(regexp_extract_all(lower(url), 'example')) as x from pages) group by page_id")
+def gazetteer_match(spark, sf_dir):
+    terms = spark.createDataFrame([("example", "DOMAIN")], "gram string, label string")
+    found = match_terms(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("text_key"), F.col("url").alias("text")), terms, 2)
+    return found.groupBy("text_key").agg(F.count("*").alias("n"))
+
+
+@query()
+def engine_process(spark, sf_dir):
+    """All stages over affiliation texts made of suppliers, one row per span."""
+    return flagship(spark, sf_dir).select("source_index", "raw_text", F.to_json("outputs").alias("outputs"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = supplier_registry(spark, sf_dir)
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    texts = s.selectExpr("s_suppkey as source_index", "concat('Works ', s_suppkey, ', City ', n_nationkey, ', ', n_name, '; SW', s_suppkey, ', ', n_name) as raw_text")
+    names = s.selectExpr("stack(4, concat('Works ', s_suppkey), 'ORG', concat('SW', s_suppkey), 'ORG', concat('City ', n_nationkey), 'CITY', n_name, 'COUNTRY') as (word, label)")
+    places = s.selectExpr("concat('city:City ', n_nationkey, ', Nation', n_nationkey) as query", "concat('City ', n_nationkey) as city", *[f"string(null) as {c}" for c in ("state_district", "county", "province", "state", "region")], "n_name as country", "double(n_nationkey) as lat", "double(n_nationkey) as lon", "bigint(n_nationkey) as osm_id").distinct()
+    engine = Engine(spark, PipelineConfig(enable_language_detect=True, enable_org_types=True), registry=registry, ner=gazetteer_ner(names), geocoder=gazetteer(places), org_types=orgtype.keyword_classifier)
+    return engine.process(texts)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
