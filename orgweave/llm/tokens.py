@@ -1,18 +1,17 @@
-"""Rank-file vocabularies and cached encoding of whole texts in Python workers."""
+"""Rank-file vocabularies and the encoding of whole texts in Python workers."""
 
 from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from dataclasses import dataclass
 
-import numpy as np
 import regex
+import tiktoken
 
 #: Splits a text before the merges (fixed by the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words a worker remembers at most before it starts afresh.
-CACHE_WORDS = 1_000_000
 #: The first id that the vocabulary leaves free; the separator after each document.
 END_OF_DOCUMENT = 50256
 
@@ -60,30 +59,32 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes whole texts; a word's ids are remembered as little-endian 16-bit bytes."""
+    """Encodes whole texts with tiktoken.
+
+    Its pattern engine gives up on very long runs of white space; texts that hold one are split and merged here.
+    """
+
+    LONG_RUN = regex.compile(r"\s{10000}")
 
     def __init__(self, vocabulary: Vocabulary):
         self.ranks = vocabulary.ranks()
+        self.whole = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self.find = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        out = self.known[word] = np.array(merge_word(word.encode("utf-8", "replace"), self.ranks), "<u2").tobytes()
-        return out
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: none) as little-endian 16-bit integers."""
-        known, word = self.known, self.word
-        return b"".join([known.get(w) or word(w) for w in self.find(text or "")])
+        if not text:
+            return b""
+        if len(text) >= 10000 and self.LONG_RUN.search(text):
+            return b"".join([array("H", merge_word(w.encode("utf-8", "replace"), self.ranks)).tobytes() for w in self.find(text)])
+        return array("H", self.whole(text)).tobytes()
 
 
 _encoders: dict[int, Encoder] = {}
 
 
 def encoder_of(vocabulary: Vocabulary) -> Encoder:
-    """One encoder per worker and vocabulary, so that its memory serves all its tasks."""
+    """One encoder per worker and vocabulary, as building one takes a while."""
     key = hash(vocabulary.pieces[-1]) ^ len(vocabulary.pieces)
     if key not in _encoders:
         _encoders.clear()
