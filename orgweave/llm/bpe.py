@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 The merges are Spark higher-order functions: a word becomes the array of its bytes' ids, and `aggregate` folds the ranked merges over it, each
-step merging the adjacent pair of least rank, looked up in a literal rank map. The map is a hash table of literal arrays, since a
+step merging the adjacent pair of least rank, looked up in a literal rank map. The map is a perfect hash table in two flat literal arrays, since a
 MapType lookup reads every key.
 
 Each distinct word is folded once, as far as memory has a bound: words are counted over the whole corpus, the commonest
@@ -16,80 +16,106 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.llm.shared import let, materialise
-from orgweave.llm.tokens import PATTERN, Vocabulary, merge_word
+from orgweave.llm.tokens import Vocabulary, merge_word, word_splitter
 
 DICTIONARY_WORDS = 1_000_000
 LONG_WORD = 96
-_BUCKETS = 1 << 17
-_SPREAD = 40503
-_NONE = (1 << 31) - 1
+_SHIFTS, _SLOTS = 1 << 17, 1 << 19
+_H1, _H2 = 40503, 65599
+#: Ranks from here on mean that a pair does not merge.
+_NONE = 1 << 16
+_NO_SIGN = (1 << 63) - 1
 _HOLE = b"\xff\xff"
 
 
-def rank_map(vocabulary: Vocabulary) -> Column:
-    """The literal rank map: buckets of (pair of ids, id of the merged piece)."""
+@lru_cache(maxsize=2)
+def _tables(vocabulary: Vocabulary) -> str:
+    """The rank map as JSON of flat arrays: shifts, slots, bytes.
+
+    A pair (a, b) of ids that merge to m lies in the slot that its two hashes and the shift of its bucket give; no other pair does, so a lookup
+    reads two array elements. A slot holds a << 32 | b << 16 | m, or -1.
+    """
     ranks = vocabulary.ranks()
-    buckets: list[tuple[list[int], list[int]]] = [([], []) for _ in range(_BUCKETS)]
+    pairs = {}
     for piece, merged in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if a is not None and b is not None:
-                keys, ids = buckets[(a * _SPREAD + b) % _BUCKETS]
-                keys.append(a << 32 | b)
-                ids.append(merged)
-    return F.from_json(F.lit(json.dumps([{"k": k, "v": v} for k, v in buckets])), "array<struct<k:array<bigint>,v:array<int>>>")
+                pairs[a << 16 | b] = merged
+    buckets: dict[int, list[int]] = defaultdict(list)
+    for key in pairs:
+        buckets[key * _H1 >> 15 & _SHIFTS - 1].append(key)
+    slots, shifts = [-1] * _SLOTS, [0] * _SHIFTS
+    for bucket, keys in sorted(buckets.items(), key=lambda x: -len(x[1])):
+        shift = 0
+        while True:
+            places = {(key * _H2 >> 17) + shift * ((key & 4095) + 1) & _SLOTS - 1 for key in keys}
+            if len(places) == len(keys) and all(slots[p] == -1 for p in places):
+                break
+            shift += 1
+        shifts[bucket] = shift
+        for key in keys:
+            slots[(key * _H2 >> 17) + shift * ((key & 4095) + 1) & _SLOTS - 1] = key << 16 | pairs[key]
+    return json.dumps({"shifts": shifts, "slots": slots, "bytes": [ranks[bytes([x])] for x in range(256)]})
+
 
+def rank_map(vocabulary: Vocabulary) -> Column:
+    """The literal rank map."""
+    return F.from_json(F.lit(_tables(vocabulary)), "struct<shifts:array<int>,slots:array<bigint>,bytes:array<bigint>>")
 
-def fold_word(word: Column, table: Column, byte_ids: Column) -> Column:
-    """array<int>: the ids of one word after all ranked merges."""
 
-    def rank(a: Column, b: Column) -> Column:
-        slot = let(F.get(table, F.pmod(a.cast("long") * _SPREAD + b, F.lit(_BUCKETS)).cast("int")), lambda x: F.get(x["v"], F.array_position(x["k"], F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))).cast("int") - 1))
-        return F.coalesce(slot, F.lit(_NONE))
+def fold_words(words: Column, table: Column) -> Column:
+    """array<array<int>>: the ids of each word after all ranked merges."""
+    def fold_with(t: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            def found(k: Column) -> Column:
+                shift = F.get(t["shifts"], F.shiftright(k * _H1, 15).bitwiseAND(_SHIFTS - 1).cast("int"))
+                slot = F.get(t["slots"], (F.shiftright(k * _H2, 17) + shift * (k.bitwiseAND(4095) + 1)).bitwiseAND(_SLOTS - 1).cast("int"))
+                # the pair's own slot leaves its merged id; another pair's, or an empty one, something of 65536 or more
+                return (slot - k * 65536).bitwiseAND(F.lit(_NO_SIGN))
 
-    none = F.array().cast("array<int>")
+            return let(a * 65536 + b, found)
 
-    def step(s: Column, _: Column) -> Column:
-        def merge_at(m: Column, k: Column) -> Column:  # k: place of the left part, from 1
-            p, r, n = s["p"], s["r"], F.size(s["p"])
-            left = F.when(k > 1, F.array(rank(F.get(p, k - 2), m))).otherwise(none)
-            right = F.when(k + 1 < n, F.array(rank(m, F.get(p, k + 1)))).otherwise(none)
-            parts = F.concat(F.slice(p, F.lit(1), k - 1), F.array(m), F.slice(p, k + 2, n))
-            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, n))
-            return F.struct(parts.alias("p"), ranks.alias("r"))
+        def step(s: Column, _: Column) -> Column:
+            p, r = s["p"], s["r"]
 
-        least = F.coalesce(F.array_min(s["r"]), F.lit(_NONE))
-        return let(least, lambda m: F.when(m == _NONE, s).otherwise(let(F.array_position(s["r"], m).cast("int"), lambda k: merge_at(m, k))))
+            def merge_at(m: Column, k: Column) -> Column:  # k: place of the left part, from 0
+                after = F.get(p, k + 2)
+                before = F.get(p, k - 1)
+                parts = F.filter(F.transform(p, lambda x, i: F.when(i == k, m).otherwise(x)), lambda _, i: i != k + 1)
+                renewed = F.transform(r, lambda x, i: F.when(i == k, F.coalesce(rank(m, after), F.lit(_NONE))).when(i == k - 1, rank(before, m)).otherwise(x))
+                return F.struct(parts.alias("p"), F.filter(renewed, lambda _, i: i != k + 1).alias("r"))
 
-    raw = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    first = F.transform(raw, lambda c: F.get(byte_ids, F.ascii(c)))
+            return let(F.array_min(r), lambda m: F.when(m >= _NONE, s).otherwise(let((F.array_position(r, m) - 1).cast("int"), lambda k: merge_at(m, k))))
 
-    def fold(p: Column) -> Column:
-        n = F.size(p)
-        pairs = F.transform(F.slice(p, F.lit(1), n - 1), lambda a, i: rank(a, F.get(p, i + 1)))
-        start = F.struct(p.alias("p"), pairs.alias("r"))
-        return F.aggregate(F.sequence(F.lit(2), n), start, step, lambda s: s["p"])
+        def one(word: Column) -> Column:
+            raw = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # one character per byte
 
-    return let(first, lambda p: F.when(F.size(p) < 2, p).otherwise(fold(p)))
+            def fold(p: Column) -> Column:
+                # r[i]: the rank of parts i and i + 1; the last part has none
+                ranks = F.transform(p, lambda a, i: F.coalesce(rank(a, F.get(p, i + 1)), F.lit(_NONE)))
+                start = F.struct(p.alias("p"), ranks.alias("r"))
+                return F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(p)), start, step, lambda s: s["p"]))
 
+            return let(F.transform(raw, lambda c: F.get(t["bytes"], F.ascii(c))), fold)
 
-def _byte_ids(vocabulary: Vocabulary) -> Column:
-    ranks = vocabulary.ranks()
-    return F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
+        return F.transform(words, one).cast("array<array<int>>")
+
+    return let(table, fold_with)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    find, counts = regex.compile(PATTERN).findall, Counter()
+    find, counts = word_splitter(), Counter()
 
     def flush() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -117,7 +143,7 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_W
             least = row["n"] + 1
             break
     words = counted.where(F.col("n") >= least).select("word")
-    return words.repartition("word").select("word", fold_word(F.col("word"), rank_map(vocabulary), _byte_ids(vocabulary)).alias("ids"))
+    return words.repartition("word").select("word", F.get(fold_words(F.array("word"), rank_map(vocabulary)), F.lit(0)).alias("ids"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -138,7 +164,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_WORDS
         return state["known"], state["ranks"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(PATTERN).findall
+        find = word_splitter()
         words_known, rank_of = known()
         get = words_known.get
         for batch in batches:
@@ -182,8 +208,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_WORDS
 
     slim = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     split = slim.mapInArrow(look_up, "doc_id long, packed binary, rest array<string>, holes array<int>")
-    table_map, byte_ids = rank_map(vocabulary), _byte_ids(vocabulary)
-    folded = split.select("doc_id", "packed", F.transform("rest", lambda w: fold_word(w, table_map, byte_ids)).alias("rest"), "holes")
+    folded = split.select("doc_id", "packed", fold_words(F.col("rest"), rank_map(vocabulary)).alias("rest"), "holes")
     return folded.mapInArrow(fill, "doc_id long, ids binary")
 
 

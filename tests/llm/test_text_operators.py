@@ -7,13 +7,14 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 from orgweave.llm import bpe, components, decontaminate, linededup, rlz, simhash, toxicity
 from orgweave.llm import queries as training
-from orgweave.llm.tokens import PATTERN, Encoder, Vocabulary, merge_word
+from orgweave.llm.tokens import PATTERN, Encoder, Vocabulary, merge_word, word_splitter
 
 VOCABULARY = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=VOCABULARY.ranks(), special_tokens={})
@@ -44,6 +45,13 @@ def test_pattern_is_the_vocabularys():
     assert PATTERN == public_tokenizers.PATTERN
 
 
+def test_both_engines_split_alike():
+    slow, split = regex.compile(PATTERN).findall, word_splitter()
+    everything = "".join(map(chr, [*range(0x20), *range(0x20, 0x2C2)]))
+    for text in [t for t in ODD_TEXTS if t] + [everything, everything[::-1], " ".join(everything), everything[0x20:], " '".join(everything[0x20:])]:
+        assert split(text) == slow(text)
+
+
 def test_bpe_equals_tiktoken(spark):
     texts = [*ODD_TEXTS, *[r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]]
     for most in (bpe.DICTIONARY_WORDS, 20):  # from the dictionary, and mostly folded with the document
