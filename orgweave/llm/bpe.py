@@ -22,13 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.shared import let, materialise
+from orgweave.llm.shared import let, materialise, small_batches
 from orgweave.llm.tokens import Vocabulary, merge_word, word_splitter
 
-DICTIONARY_WORDS = 1_000_000
+DICTIONARY_WORDS = 1 << 20
+#: Words of the dictionary that a Python worker holds as objects; the others lie in flat arrays, found by hash and verified.
+HELD_WORDS = 1 << 16
 LONG_WORD = 96
 _SHIFTS, _SLOTS = 1 << 17, 1 << 19
 _H1, _H2 = 40503, 65599
@@ -125,14 +128,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
             counts.update(find(text.as_py() or ""))
-        if len(counts) > 500_000:
+        if len(counts) > 200_000:
             yield flush()
     if counts:
         yield flush()
 
 
 def dictionary(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_WORDS) -> DataFrame:
-    """(word, ids): the commonest distinct words of `docs`, at most `most`, with their ids. Counts cover all texts."""
+    """(word, n, ids): the commonest distinct words of `docs`, at most `most`, with their number and ids. Counts cover all texts."""
     counted = docs.select(F.col("`text`").cast("string").alias("text")).where("text is not null").mapInArrow(_count_words, "word string, n long")
     counted = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= LONG_WORD)
     counted = materialise(counted, "words")
@@ -142,47 +145,75 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_W
         if held > most:
             least = row["n"] + 1
             break
-    words = counted.where(F.col("n") >= least).select("word")
-    return words.repartition("word").select("word", F.get(fold_words(F.array("word"), rank_map(vocabulary)), F.lit(0)).alias("ids"))
+    words = counted.where(F.col("n") >= least)
+    return words.repartition("word").select("word", "n", F.get(fold_words(F.array("word"), rank_map(vocabulary)), F.lit(0)).alias("ids"))
+
+
+class _Dictionary:
+    """Words and their ids in flat arrays, by the order of the words' hashes."""
+
+    def __init__(self, table: pa.Table):
+        words = table.column("word").combine_chunks().cast(pa.large_binary())
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in words), np.uint64, len(words))
+        order = pa.array(np.argsort(hashes, kind="stable"))
+        self.hashes = hashes[order.to_numpy()]
+        words = words.take(order)
+        ids = table.column("ids").combine_chunks().take(order)
+        pieces = words.to_pylist()
+        self.word_ends = np.concatenate([[0], np.cumsum([len(w) for w in pieces])]).astype(np.int64)
+        self.words = b"".join(pieces)
+        self.id_ends = ids.offsets.to_numpy().astype(np.int64) * 2
+        self.ids = ids.values.to_numpy().astype("<u2").tobytes()
+        counts = table.column("n").combine_chunks().take(order).to_numpy()
+        self.common = np.argsort(-counts, kind="stable")[:HELD_WORDS]
+
+    def held(self) -> dict[str, bytes]:
+        return {self.word(i).decode(): self.value(i) for i in self.common.tolist()}
+
+    def word(self, i: int) -> bytes:
+        return self.words[self.word_ends[i] : self.word_ends[i + 1]]
+
+    def value(self, i: int) -> bytes:
+        return self.ids[self.id_ends[i] : self.id_ends[i + 1]]
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word, None where the dictionary lacks it."""
+        if not len(self.hashes):
+            return [None] * len(words)
+        wanted = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        places = np.where(self.hashes[at] == wanted, at, -1).tolist()
+        return [self.value(i) if i >= 0 and self.word(i) == w else None for i, w in zip(places, words, strict=True)]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_WORDS) -> DataFrame:
     """(doc_id, ids binary): each text's ids as little-endian 16-bit integers; a null text counts as empty. Rows stay as they come."""
     spark = docs.sparkSession
-    table = dictionary(docs, vocabulary, most).toArrow()
-    flat = table.column("ids").combine_chunks()
-    sent = spark.sparkContext.broadcast((table.column("word").combine_chunks(), flat.offsets.to_numpy(), flat.values.to_numpy().astype("<u2")))
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(_Dictionary(dictionary(docs, vocabulary, most).toArrow()))
     ranks = spark.sparkContext.broadcast(vocabulary)
-    state: dict = {}
-
-    def known() -> tuple[dict[str, bytes], dict[bytes, int]]:
-        if "known" not in state:
-            words, offsets, values = sent.value
-            raw, ends = values.tobytes(), (offsets * 2).tolist()
-            state["known"] = dict(zip(words.to_pylist(), [raw[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)], strict=True))
-            state["ranks"] = ranks.value.ranks()
-        return state["known"], state["ranks"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = word_splitter()
-        words_known, rank_of = known()
-        get = words_known.get
+        split, table = word_splitter(), sent.value
+        get, rank_of = table.held().get, None
         for batch in batches:
             packed, rest, holes = [], [], []
             for text in batch.column(1):
-                words = find(text.as_py() or "")
+                words = split(text.as_py() or "")
                 values = list(map(get, words))
                 missing: dict[str, int] = {}
                 order: list[int] = []
-                if None in values:
-                    for i, v in enumerate(values):
-                        if v is None:
-                            w = words[i]
-                            if len(w) > LONG_WORD or len(w.encode("utf-8", "replace")) > LONG_WORD:
-                                values[i] = np.array(merge_word(w.encode("utf-8", "replace"), rank_of), "<u2").tobytes()
-                            else:
-                                order.append(missing.setdefault(w, len(missing)))
-                                values[i] = _HOLE
+                unknown = [i for i, v in enumerate(values) if v is None]
+                raw = [words[i].encode("utf-8", "replace") for i in unknown]
+                for i, w, v in zip(unknown, raw, table.find(raw), strict=True):
+                    if v is not None:
+                        values[i] = v
+                    elif len(w) > LONG_WORD:
+                        rank_of = rank_of or ranks.value.ranks()
+                        values[i] = np.array(merge_word(w, rank_of), "<u2").tobytes()
+                    else:
+                        order.append(missing.setdefault(words[i], len(missing)))
+                        values[i] = _HOLE
                 packed.append(b"".join(values))
                 rest.append(list(missing))
                 holes.append(order)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orgweave.llm.shared import small_batches
+
 PAD_TO = 192
 RATE = 8000
 PACKET = 4096
@@ -165,6 +167,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media = [mux(*payload_of(t.as_py())) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.large_binary()).cast(pa.binary())], ["doc_id", "media"])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, media binary")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.shared import MembershipFilter, materialise
+from orgweave.llm.shared import MembershipFilter, materialise, small_batches
 
 WINDOW = 50
 GRAM = 25
@@ -160,6 +160,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id are never compared; null and short texts have no windows. doc_id is taken to be a key:
     rows with the same doc_id count as one document and don't remove each other's words.
     """
+    small_batches(docs.sparkSession)
     slim = _slim(docs).where("doc_id is not null")
     factors = materialise(slim.mapInArrow(_emit_factors, _FACTOR_SCHEMA), "factors")
     spread = factors.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g")

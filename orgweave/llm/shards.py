@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.shared import discard, materialise, materialise_at
+from orgweave.llm.shared import discard, materialise, materialise_at, small_batches
 from orgweave.llm.tokens import END_OF_DOCUMENT, Vocabulary, encoder_of
 
 SEQUENCE = 1024
@@ -64,6 +64,7 @@ class Feistel:
 
 def sequences(docs: DataFrame, vocabulary: Vocabulary, sequence: int = SEQUENCE) -> DataFrame:
     """(doc_id, seq_no, n_tokens, tokens): each document's ids and separator in pieces of `sequence` tokens. Null texts count as empty: one separator."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     end, size = np.array([END_OF_DOCUMENT], "<u2").tobytes(), 2 * sequence
 

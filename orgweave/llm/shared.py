@@ -2,54 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orgweave.plans.settle import discard, materialise, materialise_at, shared_dir
+
+__all__ = ["MembershipFilter", "discard", "keep_columns", "let", "materialise", "materialise_at", "null_to_empty", "shared_dir", "small_batches"]
+
 #: Largest fixed-size membership filter sent to executors, in bits (128 MiB).
 MAX_FILTER_BITS = 1 << 30
+BATCH_ROWS = 500
 _BUCKET_BITS = 32768
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in `spark.checkpoint.dir`; where that is unset (tests,
-    local mode) a fresh temporary folder is used and set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    current = sc.getCheckpointDir()
-    if current is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="orgweave-shared-"))
-        current = sc.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    return materialise_at(df, tag)[0]
-
-
-def materialise_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """`materialise`, and the path for `discard`."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orgweave/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table written by `materialise_at` once nothing reads it any more."""
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of at most `BATCH_ROWS` rows, as a row may hold a long text. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.llm.components import connected_components
-from orgweave.llm.shared import keep_columns, materialise
+from orgweave.llm.shared import keep_columns, materialise, small_batches
 
 RADIUS = 3
 SHINGLE = 3
@@ -98,6 +98,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     zero and link like any other. A null doc_id keeps its row and is never chosen as a group's id unless the
     group has no other. Extra columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     each = materialise(fingerprints(keep_columns(docs, "doc_id", "text")), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = materialise(distinct, "distinct-fps")

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orgweave.llm.shared import small_batches
 from orgweave.llm.tokens import END_OF_DOCUMENT, Vocabulary, encoder_of
 
 BLOCK_TOKENS = 1 << 18
@@ -28,6 +29,7 @@ def flat_blocks(docs: DataFrame, vocabulary: Vocabulary, block_tokens: int = BLO
     Null texts count as empty: their separator follows the previous one at once. doc_ids serves to name
     the counts later; the scan itself reads only payload.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     end, size = np.array([END_OF_DOCUMENT], "<u2").tobytes(), 2 * block_tokens
 

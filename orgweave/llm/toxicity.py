@@ -8,7 +8,8 @@ with the logistic loss; whenever the second term falls below zero, its gradient
 the fit does not profit from calling the toxic part of the unlabelled text harmless. Training is full-batch Adam in numpy.
 
 Features of a text are the words it has and their prefixes of 4 and 5 letters, so that inflected and compounded forms of
-a known term count. Those that confirmed toxic documents have more often than unlabelled ones (`MIN_Z` standard deviations) enter the model.
+a known term count. Those that confirmed toxic documents have more often than unlabelled ones (`MIN_Z` standard deviations) and that a share
+`MIN_SHARE` of them has enter the model; rarer ones are mostly the words of one text and its copies.
 
 Bounds of the training sample (chosen by hash, so alike for each run): `MAX_POSITIVE` and `MAX_UNLABELLED` documents expected,
 `MAX_FEATURES` features. Scoring covers every document.
@@ -22,15 +23,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.shared import materialise
+from orgweave.llm.shared import materialise, small_batches
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
 MAX_FEATURES = 50_000
 MIN_Z = 4.0
+MIN_SHARE = 0.02
+#: How many times as often toxic texts have a feature as unlabelled ones do; the most there can be is the inverse of the prior.
+MIN_LIFT = 4.0
+#: An estimated prior is raised by this factor, as too low a prior holds the scores of clear cases down while too high a one meets the risk's floor.
+PRIOR_MARGIN = 1.1
 THRESHOLD = 0.7
 PREFIXES = (4, 5)
 _WORD = re.compile(r"\w+")
@@ -65,7 +72,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], dim: int, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], dim: int, prior: float, steps: int = 800, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias from the feature numbers of positive and of unlabelled documents."""
 
     def csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -105,10 +112,21 @@ def _emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int32()), pa.array(found, pa.string())], ["positive", "feature"])
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the least hash of a text's three-word shingles, which near copies mostly share and other texts don't."""
+    for batch in batches:
+        keys = []
+        for text in batch.column(1):
+            w = (text.as_py() or "").encode("utf-8", "replace").split()
+            keys.append(min((xxhash.xxh64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(1)], ["positive", "sketch", "text"])
+
+
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> ToxicityModel:
     """A model from the documents that are not held out. docs: doc_id, text; labels: doc_id, toxic (0/1).
 
-    prior: the share of toxic documents; by default that of the labelled rows used. Labels that are null, held out or of no
+    prior: the share of toxic documents; by default how often unlabelled texts show a feature of the model relative to toxic
+    ones, times `PRIOR_MARGIN`, within 0.7 to 1.3 times the share of toxic rows among the labelled ones used. Labels that are null, held out or of no
     document are not used. Without a confirmed toxic document the model knows no feature and scores every text low.
     """
     slim = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).where("doc_id is not null")
@@ -118,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     n_labelled, n_toxic = counts["n"], counts["k"] or 0
     if not n_toxic:
         return ToxicityModel({}, -4.0, 0.0)
+    given = prior
     prior = prior if prior is not None else min(0.9, max(0.001, n_toxic / n_labelled))
     free = slim.where(~held_out())
     n_free = free.select("doc_id").count()
@@ -130,16 +149,18 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     unlabelled = free.select("doc_id").where(share(MAX_UNLABELLED, n_free, 2)).distinct().select("doc_id", F.lit(0).alias("positive"))
     chosen = positives.union(unlabelled)
     # the bounded sample of ids meets the texts: a broadcast of at most 18,000 ids expected
-    sample = materialise(free.join(F.broadcast(chosen), "doc_id").select("positive", "text"), "toxicity-sample")
+    sample = free.join(F.broadcast(chosen), "doc_id").select("positive", F.coalesce("text", F.lit("")).alias("text"))
+    # copies and near copies would count one document's words many times
+    sample = sample.mapInArrow(_sketch, "positive int, sketch long, text string").groupBy("positive", "sketch").agg(F.min("text").alias("text"))
+    sample = materialise(sample.select("positive", "text"), "toxicity-sample")
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return ToxicityModel({}, -4.0, prior)
-    # copies would count one document's words many times
-    stats = sample.distinct().mapInArrow(_emit_features, "positive int, feature string").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
+    stats = sample.mapInArrow(_emit_features, "positive int, feature string").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
     expected = F.col("u") * (n_p / n_u)
     z = (F.col("p") - expected) / F.sqrt(expected + 0.5)
-    chosen_features = stats.where("p >= 2").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
+    chosen_features = stats.where((F.col("p") >= max(2, MIN_SHARE * n_p)) & (F.col("p") >= MIN_LIFT * expected)).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
     names = {r["feature"]: i for i, r in enumerate(chosen_features)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["positive", "ids"])
 
     rows = sample.mapInArrow(encode, "positive int, ids array<int>").collect()
-    rows.sort(key=lambda r: (r["positive"], r["ids"]))
+    rows.sort(key=lambda r: (r["positive"], r["ids"]))  # sums don't depend on how rows came
     split = {k: [np.array(r["ids"], np.int64) for r in rows if r["positive"] == k] for k in (0, 1)}
+    if given is None:
+        # the share of unlabelled texts with a telling feature over that of toxic ones: what the features can see of the prior
+        seen = [np.mean([len(x) > 0 for x in split[k]]) for k in (0, 1)]
+        prior = float(np.clip(PRIOR_MARGIN * seen[0] / max(seen[1], 1e-9), 0.7 * prior, 1.3 * prior))
     weights, bias = fit_nnpu(split[1], split[0], max(1, len(names)), prior)
     return ToxicityModel({f: float(round(weights[i], 9)) for f, i in names.items()}, round(bias, 9), prior)
 
@@ -159,6 +184,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
 
     Only `text` enters the score; a null or empty text scores the model's bias. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +199,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the rows that the trained model predicts toxic, all columns kept."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
