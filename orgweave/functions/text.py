@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -18,7 +19,7 @@ def blank_to_null(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_accents(x: pd.Series) -> pd.Series:
     def one(s: str | None) -> str | None:
         if s is None or s.isascii():
@@ -29,12 +30,12 @@ def _fold_accents(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(x: pd.Series) -> pd.Series:
     """Upper case after every character that is no letter (`initcap` knows only spaces)."""
     return x.map(lambda s: s if s is None else s.title())
