@@ -323,14 +323,14 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_toxicity_of_odd_rows(spark):
-    texts = [f"kind words here n{i}" for i in range(30)] + [f"rotten words here n{i}" for i in range(30, 36)] + [None, "", "rotten"]
+    texts = [f"kind words here n{i}" for i in range(200)] + [f"rotten words here n{i}" for i in range(200, 240)] + [None, "", "rotten"]
     docs = table(spark, texts)
-    labels = spark.createDataFrame([(i, 1) for i in range(30, 36)] + [(0, 0), (1, None), (None, 1), (999, 1), (30, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, 1) for i in range(200, 240)] + [(0, 0), (1, None), (None, 1), (999, 1), (200, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, prior=0.2)
     rows = toxicity.score(docs, model).collect()
     assert len(rows) == len(texts) and all(0 <= r.score <= 1 for r in rows)
     by = {r.doc_id: r.score for r in rows}
-    assert by[38] > by[37] == by[36]
+    assert by[242] > by[241] == by[240]
     untaught = toxicity.train(docs, labels.where("false"))
     assert all(r.predicted == 0 for r in toxicity.score(docs, untaught).collect())
     assert toxicity.score(docs.where("false"), model).count() == 0
