@@ -323,7 +323,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_toxicity_of_odd_rows(spark):
-    texts = [f"kind words here n{i}" for i in range(200)] + [f"rotten words here n{i}" for i in range(200, 240)] + [None, "", "rotten"]
+    texts = [f"kind a{i} words b{i} here" for i in range(200)] + [f"rotten a{i} words b{i} here" for i in range(200, 240)] + [None, "", "rotten"]
     docs = table(spark, texts)
     labels = spark.createDataFrame([(i, 1) for i in range(200, 240)] + [(0, 0), (1, None), (None, 1), (999, 1), (200, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, prior=0.2)
