@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions import lexicons as L
-from orgweave.functions.text import NOT_WORD, WORD, compose
+from orgweave.functions.text import NOT_WORD, WORD, compose, language_base
 
 
 def _weighted(text: str, separator: str | None = None) -> list[tuple[str, int]]:
@@ -267,46 +267,59 @@ def decide(x: Column, default: str = "en", compat: bool = True, lex: Lexicon = D
     )
 
 
-def combine_with_model(heuristic: Column, first: Column, first_p: Column, second: Column) -> Column:
-    """The heuristic's and a statistical detector's answers as one: the detector's two likeliest codes and the likelier one's probability.
+def combine_with_model(heuristic: Column, first: Column, first_p: Column, second: Column, second_p: Column, name: str = "combined_langdetect") -> Column:
+    """struct(language, method, confidence) from the heuristic's answer and a detector's two likeliest codes with their probabilities.
 
-    Null codes: no answer from the detector.
+    Catalan is the detector's to say, and Dutch where the heuristic didn't say English; English and Spanish are the heuristic's. Kana decide for Japanese; Korean is only
+    believed to be Chinese or Japanese, by the second code. Otherwise the detector's code stands. A null code: no answer, the heuristic's stands alone.
     """
-    east = first.isin("ja", "zh", "zh-cn", "zh-tw", "ko") | heuristic.isin("ja", "zh", "ko")
-    base = F.substring_index(first, "-", 1)
-    east_pick = F.when(heuristic == "ja", "ja").when(heuristic == "zh", "zh").when((base == "ko") & (F.substring_index(second, "-", 1) == "zh"), "zh").otherwise(base)
+    top, other = language_base(first), language_base(second)
+    none = F.lit(None).cast("double")
+    info = lambda language, method, p: F.struct(language.alias("language"), F.lit(method).alias("method"), F.bround(p, 4).alias("confidence"))
+    said = lambda code: info(F.lit(code) if isinstance(code, str) else code, name, first_p)
+    alone = info(heuristic, "heuristic", none)
     return (
-        F.when(first.isNull(), heuristic)
-        .when(base == "ca", "ca")
-        .when((base == "nl") & (heuristic != "en"), heuristic)
-        .when(heuristic.isin("en", "es"), heuristic)
-        .when(east, east_pick)
-        .when(base == heuristic, base)
-        .otherwise(base)
+        F.when(top.isNull(), alone)
+        .when(top == "ca", said("ca"))
+        .when((top == "nl") & (heuristic != "en"), said("nl"))
+        .when(heuristic.isin("en", "es"), alone)
+        .when(top.isin("ja", "zh", "ko") & ((top == "ja") | (heuristic == "ja")), said("ja"))
+        .when(top == "zh", said("zh"))
+        .when((top == "ko") & (other == "zh"), info(F.lit("zh"), name, second_p))
+        .when(top == "ko", said("ja"))
+        .otherwise(said(top))
     )
 
 
-METHODS = ("heuristic", "model", "combined")
+#: Name of a method → whether the detector is weighed against the heuristic (else it is asked where the heuristic is undecided).
+METHODS = {"heuristic": False, "langdetect": False, "e5": False, "fasttext": False, "combined_langdetect": True, "combined_e5": False}
 
 
 def detect(df: DataFrame, column: str, method: str = "heuristic", model=None, default: str = "en", compat: bool = True) -> DataFrame:
     """`df` plus language_info struct(language, method, confidence).
 
-    model: DataFrame → DataFrame that adds first, first_p and second to rows of (text); called for distinct texts. Without one only the heuristic speaks.
+    model: DataFrame → DataFrame that adds first, first_p, second and second_p to rows of (text); called for distinct texts. Without one only the heuristic speaks.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {', '.join(METHODS)}, not {method!r}")
+    weigh = METHODS[method]
     kept = compose(df.withColumn("_nfc", F.col(column)), "_nfc")
-    guess = decide(F.col("_nfc"), "und" if method == "model" and model else default, compat)
-    info = lambda language, name, p: F.struct(language.alias("language"), F.lit(name).alias("method"), p.alias("confidence"))
-    none = F.lit(None).cast("double")
-    if method == "heuristic" or model is None:
-        return kept.withColumn("language_info", info(guess, "heuristic", none)).drop("_nfc")
-    answers = model(kept.select(F.col("_nfc").alias("text")).where("text is not null").distinct())
-    answers = answers.select(F.col("text").alias("_nfc"), F.col("first").alias("_first"), F.col("first_p").alias("_p"), F.col("second").alias("_second"))
-    joined = kept.join(answers, "_nfc", "left").withColumn("_guess", guess)
-    if method == "model":
-        language = F.coalesce(F.when(F.col("_guess") != "und", F.col("_guess")), F.substring_index("_first", "-", 1), F.lit(default))
+    asks = method != "heuristic" and model is not None
+    guess = decide(F.col("_nfc"), "und" if asks and not weigh else default, compat)
+    info = lambda language, name, p: F.struct(language.alias("language"), F.lit(name).alias("method"), p.cast("double").alias("confidence"))
+    if not asks:
+        return kept.withColumn("language_info", info(guess, "heuristic", F.lit(None))).drop("_nfc")
+    guessed = kept.withColumn("_guess", guess)
+    texts = guessed if weigh else guessed.where("_guess = 'und'")
+    answers = model(texts.select(F.col("_nfc").alias("text")).where("text is not null").distinct())
+    names = {"first": "_first", "first_p": "_p", "second": "_second", "second_p": "_p2"}
+    joined = guessed.join(answers.select(F.col("text").alias("_nfc"), *[F.col(k).alias(v) for k, v in names.items()]), "_nfc", "left")
+    if weigh:
+        out = combine_with_model(F.col("_guess"), F.col("_first"), F.col("_p"), F.col("_second"), F.col("_p2"), method)
     else:
-        language = combine_with_model(F.col("_guess"), F.col("_first"), F.col("_p"), F.col("_second"))
-    return joined.withColumn("language_info", info(language, method, F.bround("_p", 4))).drop("_nfc", "_first", "_p", "_second", "_guess")
+        out = (
+            F.when(F.col("_guess") != "und", info(F.col("_guess"), "heuristic", F.lit(None)))
+            .when(F.col("_first").isNotNull(), info(language_base(F.col("_first")), method, F.bround("_p", 4)))
+            .otherwise(info(F.lit(default), "default", F.lit(None)))
+        )
+    return joined.withColumn("language_info", out).drop("_nfc", "_guess", *names.values())

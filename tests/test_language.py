@@ -63,22 +63,30 @@ def test_register_language(spark):
 
 def test_methods(spark):
     df = spark.createDataFrame([(0, "Universidad Autónoma España"), (1, "123"), (2, "Technische Universität München")], "i int, t string")
+    asked = []
 
     def model(texts):
-        return texts.withColumns({"first": F.lit("ca"), "first_p": F.lit(0.87654321), "second": F.lit("es")})
+        asked.append(texts.count())
+        return texts.withColumns({"first": F.lit("ca"), "first_p": F.lit(0.87654321), "second": F.lit("es"), "second_p": F.lit(0.1)})
 
     plain = {r.i: r.language_info for r in lang.detect(df, "t").collect()}
     assert plain[0].language == "es" and plain[0].confidence is None
-    combined = {r.i: r.language_info for r in lang.detect(df, "t", "combined", model).collect()}
-    assert combined[2].language == "ca" and combined[2].confidence == 0.8765
-    fallback = {r.i: r.language_info for r in lang.detect(df, "t", "model", model).collect()}
-    assert fallback[0].language == "es" and fallback[1].language == "ca"
+    combined = {r.i: r.language_info for r in lang.detect(df, "t", "combined_langdetect", model).collect()}
+    assert combined[2].language == "ca" and combined[2].confidence == 0.8765 and combined[2].method == "combined_langdetect"
+    fallback = {r.i: r.language_info for r in lang.detect(df, "t", "e5", model).collect()}
+    assert fallback[0].language == "es" and fallback[0].method == "heuristic" and fallback[1].language == "ca" and fallback[1].method == "e5"
+    assert asked == [3, 1]
     with pytest.raises(ValueError):
         lang.detect(df, "t", "guess")
 
 
 def test_combination_rules(spark):
-    rows = [("en", None, None, "en"), ("fr", "ca", "es", "ca"), ("de", "nl", "de", "de"), ("en", "nl", "de", "en"), ("es", "pt", "es", "es"), ("ja", "zh-cn", None, "ja"), ("fr", "ko", "zh-cn", "zh"), ("fr", "ko", "ja", "ko"), ("fr", "fr", "en", "fr"), ("fr", "it", "en", "it")]
+    rows = [
+        ("en", None, None, "en"), ("fr", "ca", "es", "ca"), ("de", "nl", "de", "nl"), ("en", "nl", "de", "en"), ("es", "pt", "es", "es"), ("ja", "zh-cn", None, "ja"), ("fr", "zh-tw", None, "zh"),
+        ("fr", "ko", "zh-cn", "zh"), ("fr", "ko", "fr", "ja"), ("ja", "ko", "zh", "ja"), ("fr", "fr", "en", "fr"), ("fr", "it", "en", "it"), ("de", "ja", None, "ja"),
+    ]
     df = spark.createDataFrame(rows, "h string, a string, b string, want string")
-    got = df.select(lang.combine_with_model(F.col("h"), F.col("a"), F.lit(0.5), F.col("b")).alias("x"), "want").collect()
-    assert [r.x for r in got] == [r.want for r in got]
+    x = lang.combine_with_model(F.col("h"), F.col("a"), F.lit(0.5), F.col("b"), F.lit(0.25))
+    got = df.select(x.alias("x"), "want").collect()
+    assert [r.x.language for r in got] == [r.want for r in got]
+    assert got[7].x.confidence == 0.25 and got[0].x.method == "heuristic" and got[5].x.confidence == 0.5

@@ -258,3 +258,42 @@ def test_windowed_stream(spark, tmp_path, sf_dir):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("w").collect()) == sorted(stream.windowed_counts(events, "ts", "event_type").collect())
+
+
+def test_cells_find_most_neighbours(spark):
+    from orgweave.operators import ivf
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q, i = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("iid"), "embedding")
+    exact = {(r.qid, r.iid) for r in linking.knn(q, i, 10).collect()}
+    centres = ivf.train_cells(i, 16)
+    found = {(r.qid, r.iid) for r in ivf.search(q, i, 10, centres, 12).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+    assert {(r.qid, r.iid) for r in ivf.search(q, i, 10, centres, 16).collect()} == exact
+    assert ivf.search(q, i, 10, ivf.train_cells(i.where("false"))).count() == 0
+
+
+def test_fetching(tmp_path):
+    import io
+
+    from orgweave.sources import fetch, tables
+    import zipfile
+
+    archive = tmp_path / "b.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("data/small.json", "[]")
+        z.writestr("data/v1-large.json", "[1, 2, 3]")
+        z.writestr("data/../../evil", "x")
+    opened = []
+
+    def open_url(url):
+        opened.append(url)
+        return io.BytesIO(archive.read_bytes() if url.endswith("zip") else b'{"files": [{"key": "a.txt"}, {"key": "b.zip", "links": {"self": "u.zip"}}]}')
+
+    url = fetch.release_archive("api", open_url)
+    for _ in range(2):
+        path = fetch.download(url, str(tmp_path / "d" / "b.zip"), open_url)
+    assert opened == ["api", "u.zip"] and tables.largest_json(path) == "data/v1-large.json"
+    with pytest.raises(ValueError):
+        tables.extract_bundle(path, str(tmp_path / "out"), {"data/": "x"})
+    assert (tmp_path / "out" / "x" / "v1-large.json").read_text() == "[1, 2, 3]"
