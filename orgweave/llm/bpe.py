@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from orgweave.llm.tokens import Vocabulary, merge_word, word_splitter
 
 DICTIONARY_WORDS = 1 << 20
 #: Words of the dictionary that a Python worker holds as objects; the others lie in flat arrays, found by hash and verified.
-HELD_WORDS = 1 << 16
+HELD_WORDS = 1 << 18
 LONG_WORD = 96
 _SHIFTS, _SLOTS = 1 << 17, 1 << 19
 _H1, _H2 = 40503, 65599
@@ -154,17 +155,19 @@ class _Dictionary:
 
     def __init__(self, table: pa.Table):
         words = table.column("word").combine_chunks().cast(pa.large_binary())
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in words), np.uint64, len(words))
-        order = pa.array(np.argsort(hashes, kind="stable"))
-        self.hashes = hashes[order.to_numpy()]
-        words = words.take(order)
-        ids = table.column("ids").combine_chunks().take(order)
-        pieces = words.to_pylist()
-        self.word_ends = np.concatenate([[0], np.cumsum([len(w) for w in pieces])]).astype(np.int64)
-        self.words = b"".join(pieces)
+        hashes = np.empty(len(words), np.uint64)
+        for lo in range(0, len(words), 1 << 14):  # in pieces, as a million objects would take the driver's memory
+            part = words.slice(lo, 1 << 14).to_pylist()
+            hashes[lo : lo + len(part)] = np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        words = words.take(pa.array(order))
+        self.word_ends = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        self.words = words.buffers()[2].to_pybytes() if len(words) else b""
+        ids = table.column("ids").combine_chunks().take(pa.array(order))
         self.id_ends = ids.offsets.to_numpy().astype(np.int64) * 2
         self.ids = ids.values.to_numpy().astype("<u2").tobytes()
-        counts = table.column("n").combine_chunks().take(order).to_numpy()
+        counts = table.column("n").to_numpy()[order]
         self.common = np.argsort(-counts, kind="stable")[:HELD_WORDS]
 
     def held(self) -> dict[str, bytes]:
@@ -255,8 +258,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, with_bytes: bool = True)
             rows = []
             for packed in batch.column(1):
                 ids = np.frombuffer(packed.as_py() or b"", "<u2").tolist()
-                raw = b"".join([pieces[i] for i in ids])
-                rows.append((len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw)[: 3 + with_bytes])
+                raw = b"".join(map(pieces.__getitem__, ids))
+                rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw)[: 3 + with_bytes])
             columns = list(zip(*rows, strict=True)) or [()] * (3 + with_bytes)
             types = [pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=False)]], names_out)
