@@ -47,13 +47,37 @@ class Lexicon:
 DEFAULT = Lexicon()
 
 
+@dataclass(frozen=True)
+class _View:
+    """What the features read of a text, computed once per row."""
+
+    x: Column  # the text
+    low: Column  # in small letters
+    spaced: Column  # its words in small letters, two spaces apart, so that ` word ` counts each occurrence
+    rest: Column  # its characters beyond ASCII
+    words: Column  # number of words
+    windows: Column  # number of three-letter windows inside words
+
+
+def _viewing(x: Column, body) -> Column:
+    """`body` of a text's view. A lambda binds the parts, as an expression this large would compute them anew for each use."""
+    low = F.lower(x)
+    spaced = F.concat(F.lit(" "), F.regexp_replace(low, NOT_WORD, "  "), F.lit(" "))
+    parts = F.struct(
+        x.alias("x"), low.alias("low"), spaced.alias("spaced"), F.regexp_replace(x, r"[\x00-\x7F]+", "").alias("rest"), F.regexp_count(low, F.lit(WORD)).alias("words"),
+        F.regexp_count(low, F.lit(r"(?=[\p{L}\p{N}_]{3})")).alias("windows"),
+    )
+    return F.get(F.transform(F.array(parts), lambda t: body(_View(*(t[n] for n in ("x", "low", "spaced", "rest", "words", "windows"))))), F.lit(0))
+
+
 def _array(scores: list[tuple[str, Column]], keep_zero: bool) -> Column:
     out = F.array(*[F.struct(F.lit(lang).alias("lang"), score.cast("double").alias("score")) for lang, score in scores])
     return out if keep_zero else F.filter(out, lambda s: s["score"] > 0)
 
 
-def _chars(x: Column, chars: str) -> Column:
-    return F.length(x) - F.length(F.translate(x, chars, "")) if chars else F.lit(0)
+def _chars(v: _View, chars: str) -> Column:
+    """Occurrences of characters beyond ASCII."""
+    return F.length(v.rest) - F.length(F.translate(v.rest, chars, "")) if chars else F.lit(0)
 
 
 def _count(x: Column, part: str) -> Column:
@@ -61,64 +85,59 @@ def _count(x: Column, part: str) -> Column:
     return (F.length(x) - F.length(F.replace(x, F.lit(part)))) / len(part)
 
 
-def _in_ranges(x: Column, ranges: list[tuple[int, int]]) -> Column:
+def _in_ranges(v: _View, ranges: list[tuple[int, int]]) -> Column:
     """Characters in the ranges; one in two ranges counts twice."""
     total = None
     for lo, hi in ranges:
-        n = F.length(F.regexp_replace(x, f"[^\\x{{{lo:X}}}-\\x{{{hi:X}}}]", ""))
+        n = F.length(F.regexp_replace(v.rest, f"[^\\x{{{lo:X}}}-\\x{{{hi:X}}}]", ""))
         total = n if total is None else total + n
     return total
 
 
-def _any(x: Column, chars: str) -> Column:
-    return _chars(x, chars) > 0
+def _any(v: _View, chars: str) -> Column:
+    return v.rest.rlike(f"[{chars}]") if chars else F.lit(False)
 
 
-def char_scores(x: Column, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
+def char_scores(v: _View, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
     out = []
     for lang, chars in lex.specific.items():
-        n = _chars(x, chars)
+        n = _chars(v, chars)
         if lang in lex.incompatible:
-            n = F.greatest(F.lit(0), n - 2 * _chars(x, lex.incompatible[lang]))
+            n = F.greatest(F.lit(0), n - 2 * _chars(v, lex.incompatible[lang]))
         out.append((lang, n))
     return out
 
 
-def bigram_scores(x: Column, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
-    low = F.lower(x)
-    return [(lang, sum((_count(low, b) for b in grams), F.lit(0)) / F.greatest(F.lit(1), F.length(x)) * 100) for lang, grams in lex.bigrams.items()]
+def bigram_scores(v: _View, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
+    return [(lang, sum((_count(v.low, b) for b in grams), F.lit(0)) / F.greatest(F.lit(1), F.length(v.x)) * 100) for lang, grams in lex.bigrams.items()]
 
 
-def trigram_scores(x: Column, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
+def trigram_scores(v: _View, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
     """Occurrences, overlapping ones too, per 100 three-letter windows inside words."""
-    low = F.lower(x)
-    windows = F.regexp_count(low, F.lit(r"(?=[\p{L}\p{N}_]{3})"))
-    return [(lang, sum((F.regexp_count(low, F.lit(f"(?={g})")) for g in grams), F.lit(0)) / F.greatest(F.lit(1), windows) * 100) for lang, grams in lex.trigrams.items()]
 
+    def count(g: str) -> Column:
+        laps = any(g[:i] == g[-i:] for i in range(1, len(g)))
+        return F.regexp_count(v.low, F.lit(f"(?={g})")) if laps else _count(v.low, g)
 
-def _spaced(x: Column) -> Column:
-    """Words apart by two spaces, so that ` word ` counts each occurrence."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(x), NOT_WORD, "  "), F.lit(" "))
+    return [(lang, sum((count(g) for g in grams), F.lit(0)) / F.greatest(F.lit(1), v.windows) * 100) for lang, grams in lex.trigrams.items()]
 
 
-def word_scores(x: Column, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
-    spaced, n = _spaced(x), F.greatest(F.lit(1), F.regexp_count(F.lower(x), F.lit(WORD)))
-    return [(lang, sum((w * _count(spaced, f" {word} ") for word, w in words), F.lit(0)) / n * 100) for lang, words in lex.words.items()]
+def word_scores(v: _View, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
+    n = F.greatest(F.lit(1), v.words)
+    return [(lang, sum((w * _count(v.spaced, f" {word} ") for word, w in words), F.lit(0)) / n * 100) for lang, words in lex.words.items()]
 
 
-def keyword_scores(x: Column, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
-    low, spaced = F.lower(x), _spaced(x)
-
+def keyword_scores(v: _View, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
     def present(kw: str) -> Column:
         if " " in kw:
-            return low.rlike(f"(^|[^\\p{{L}}\\p{{N}}_]){kw}([^\\p{{L}}\\p{{N}}_]|$)")
-        return F.contains(spaced, F.lit(f" {kw} "))
+            return F.contains(v.low, F.lit(kw)) & v.low.rlike(f"(^|[^\\p{{L}}\\p{{N}}_]){kw}([^\\p{{L}}\\p{{N}}_]|$)")
+        return F.contains(v.spaced, F.lit(f" {kw} "))
 
     return [(lang, sum((F.when(present(kw), w).otherwise(0) for kw, w in kws), F.lit(0))) for lang, kws in lex.keywords.items()]
 
 
-def script_scores(x: Column, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
-    return [(lang, _in_ranges(x, ranges)) for lang, ranges in lex.scripts.items()]
+def script_scores(v: _View, lex: Lexicon = DEFAULT) -> list[tuple[str, Column]]:
+    return [(lang, _in_ranges(v, ranges)) for lang, ranges in lex.scripts.items()]
 
 
 FEATURES = {
@@ -134,91 +153,104 @@ FEATURES = {
 def feature(name: str, x: Column, lex: Lexicon = DEFAULT) -> Column:
     """array<struct(lang, score)>; chars, trigrams, words and scripts leave zeros out."""
     scores, keep_zero = FEATURES[name]
-    return _array(scores(x, lex), keep_zero)
+    return _viewing(x, lambda v: _array(scores(v, lex), keep_zero))
+
 
+def _n(v: _View, lo: int, hi: int) -> Column:
+    return _in_ranges(v, [(lo, hi)])
 
-def _n(x: Column, lo: int, hi: int) -> Column:
-    return _in_ranges(x, [(lo, hi)])
+
+def _japanese(v: _View) -> Column:
+    hiragana, katakana = _n(v, 0x3040, 0x309F), _n(v, 0x30A0, 0x30FF)
+    score = hiragana * 2 + katakana * 1.5 + _n(v, 0x4E00, 0x9FFF) * 0.5 + _chars(v, L.JAPANESE_PUNCTUATION) * 0.5
+    return F.when(~v.rest.rlike(r"[\x{3040}-\x{30FF}]"), 0.0).otherwise(score)
+
+
+def _chinese(v: _View) -> Column:
+    punctuation = _chars(v, L.CHINESE_PUNCTUATION.replace('"', "")) + _count(v.x, '"')
+    return F.when(v.rest.rlike(r"[\x{3040}-\x{30FF}]"), 0.0).otherwise(_n(v, 0x4E00, 0x9FFF) + punctuation * 0.5)
+
+
+def _korean(v: _View) -> Column:
+    hangul, jamo = _n(v, 0xAC00, 0xD7AF), _n(v, 0x1100, 0x11FF)
+    return F.when(~v.rest.rlike(r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]"), 0.0).otherwise(hangul * 2 + jamo * 1.5 + _chars(v, L.KOREAN_PUNCTUATION) * 0.5)
 
 
 def japanese_score(x: Column) -> Column:
-    hiragana, katakana = _n(x, 0x3040, 0x309F), _n(x, 0x30A0, 0x30FF)
-    score = hiragana * 2 + katakana * 1.5 + _n(x, 0x4E00, 0x9FFF) * 0.5 + _chars(x, L.JAPANESE_PUNCTUATION) * 0.5
-    return F.when(hiragana + katakana == 0, 0.0).otherwise(score)
+    """Kana, and beside them Han characters and punctuation; 0 without kana."""
+    return _viewing(x, _japanese)
 
 
 def chinese_score(x: Column) -> Column:
     """Han characters and punctuation, the ASCII double quote among it; 0 beside kana."""
-    score = _n(x, 0x4E00, 0x9FFF) + _chars(x, L.CHINESE_PUNCTUATION) * 0.5
-    return F.when(_n(x, 0x3040, 0x309F) + _n(x, 0x30A0, 0x30FF) > 0, 0.0).otherwise(score)
+    return _viewing(x, _chinese)
 
 
 def korean_score(x: Column) -> Column:
-    hangul, jamo = _n(x, 0xAC00, 0xD7AF), _n(x, 0x1100, 0x11FF)
-    return F.when(hangul + jamo == 0, 0.0).otherwise(hangul * 2 + jamo * 1.5 + _chars(x, L.KOREAN_PUNCTUATION) * 0.5)
+    return _viewing(x, _korean)
 
 
 def is_latin(x: Column) -> Column:
     return ~x.rlike(r"[\p{L}&&[^\x{0000}-\x{052F}\x{1E00}-\x{1EFF}]]")
 
 
-def _patterns(x: Column, lex: Lexicon) -> dict[str, Column]:
+def _patterns(v: _View, lex: Lexicon) -> dict[str, Column]:
     """Where a language's spelling habits show; 50 points each."""
-    low = F.lower(x)
+    low = v.low
     has = lambda *parts: low.rlike("|".join(parts))
-    own = lambda lang: _any(x, lex.specific[lang])
+    own = lambda lang: _any(v, lex.specific[lang])
     return {
-        "de": (_any(x, "ß") | has("ch")) & own("de"),
-        "fr": _any(x, "çÇ") | has("eau", "aux"),
-        "es": _any(x, "ñÑ¿¡") | has("ll", "rr"),
+        "de": (_any(v, "ß") | has("ch")) & own("de"),
+        "fr": _any(v, "çÇ") | has("eau", "aux"),
+        "es": _any(v, "ñÑ¿¡") | has("ll", "rr"),
         "it": has("cch", "zz") & own("it"),
-        "pt": _any(x, "ãõÃÕ") | has("ção"),
-        "sv": _any(x, "åÅ"),
+        "pt": _any(v, "ãõÃÕ") | has("ção"),
+        "sv": _any(v, "åÅ"),
         "no": has("og", "på") & own("no"),
         "da": has("og", "af") & own("da"),
         "fi": has("aa", "ii") & own("fi"),
         "nl": has("ij", "sch") & own("nl"),
-        "ro": has("ul") | _any(x, "șț"),
-        "is": _any(x, "þÞ"),
-        "cs": _any(x, "řěďťňšžč"),
-        "hu": _any(x, "őű"),
-        "tr": _any(x, "ıİğ"),
-        "pl": _any(x, "łńśźż"),
+        "ro": has("ul") | _any(v, "șț"),
+        "is": _any(v, "þÞ"),
+        "cs": _any(v, "řěďťňšžč"),
+        "hu": _any(v, "őű"),
+        "tr": _any(v, "ıİğ"),
+        "pl": _any(v, "łńśźż"),
         "id": has("yang", "dan", "untuk", "dengan", "dari", "universitas", "indonesia"),
-        "ja": x.rlike(r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"),
+        "ja": v.rest.rlike(r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"),
     }
 
 
-def _boosts(x: Column) -> list[tuple[str, Column]]:
+def _boosts(v: _View) -> list[tuple[str, Column]]:
     """Distinctive characters and words; 75 points each."""
-    low = F.lower(x)
+    low = v.low
     has = lambda *parts: low.rlike("|".join(parts))
-    nordic, danish = _any(x, "åÅ"), _any(x, "æøÆØ")
+    nordic, danish = _any(v, "åÅ"), _any(v, "æøÆØ")
     return [
-        ("pt", _any(x, "ãõÃÕ")),
-        ("es", _any(x, "ñÑ")),
+        ("pt", _any(v, "ãõÃÕ")),
+        ("es", _any(v, "ñÑ")),
         ("no", nordic & danish & has("på")),
         ("da", nordic & danish & ~has("på")),
         ("sv", nordic & ~danish),
-        ("hu", _any(x, "őűŐŰ")),
-        ("cs", _any(x, "řěďťňŘĚĎŤŇ")),
-        ("pl", _any(x, "łńśźżŁŃŚŹŻ")),
-        ("tr", _any(x, "ıİğĞ")),
-        ("ro", _any(x, "șțȘȚ")),
-        ("is", _any(x, "þÞðÐ")),
-        ("de", _any(x, "ß")),
+        ("hu", _any(v, "őűŐŰ")),
+        ("cs", _any(v, "řěďťňŘĚĎŤŇ")),
+        ("pl", _any(v, "łńśźżŁŃŚŹŻ")),
+        ("tr", _any(v, "ıİğĞ")),
+        ("ro", _any(v, "șțȘȚ")),
+        ("is", _any(v, "þÞðÐ")),
+        ("de", _any(v, "ß")),
         ("id", has("indonesia", "universitas", "depok", "jakarta")),
         ("nl", has("ij") & has("universiteit", "nederland", "amsterdam")),
     ]
 
 
-def latin_scores(x: Column, lex: Lexicon = DEFAULT) -> Column:
+def latin_scores(v: _View, lex: Lexicon = DEFAULT) -> Column:
     """array<struct(score, order, lang)> of the languages that have a score at all.
 
     order stands for first-come precedence: languages with own characters in the text, then the bigram table, then the rest.
     """
-    chars, bi, tri, words, kws = (dict(f(x, lex)) for f in (char_scores, bigram_scores, trigram_scores, word_scores, keyword_scores))
-    patterns, boosts = _patterns(x, lex), dict(_boosts(x))
+    chars, bi, tri, words, kws = (dict(f(v, lex)) for f in (char_scores, bigram_scores, trigram_scores, word_scores, keyword_scores))
+    patterns, boosts = _patterns(v, lex), dict(_boosts(v))
     langs = list(dict.fromkeys([*bi, *chars, *tri, *words, *kws, *patterns, *boosts]))
     rows = []
     for lang in langs:
@@ -245,26 +277,31 @@ def latin_scores(x: Column, lex: Lexicon = DEFAULT) -> Column:
 def decide(x: Column, default: str = "en", compat: bool = True, lex: Lexicon = DEFAULT) -> Column:
     """The language of a text in composed form. `compat` keeps the Latin script rows, which let a single letter such as `ł` or `œ` decide for Polish."""
     lex = lex if compat else lex.without_latin_scripts()
-    scripts = F.array(*[F.struct(n.alias("score"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(script_scores(x, lex))])
+    return F.when(x.isNull() | (F.regexp_replace(x, r"(?U)\s+", "") == "") | x.rlike(r"^[\x00-\x7F&&[^A-Za-z]]*$"), default).otherwise(_viewing(x, lambda v: _decide(v, default, lex)))
+
+
+def _decide(v: _View, default: str, lex: Lexicon) -> Column:
+    # no script row reaches below U+0100, so a text without such characters has no script
+    scripts = F.array(*[F.struct(n.alias("score"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(script_scores(v, lex))])
     best_script = F.array_max(F.filter(scripts, lambda s: s["score"] > 0))["lang"]
-    cyrillic = _in_ranges(x, [(0x0400, 0x04FF)]) > 0
-    arabic = _in_ranges(x, [(0x0600, 0x06FF), (0x0750, 0x077F)]) > 0
-    persian = arabic | (_in_ranges(x, [(0xFB50, 0xFDFF)]) > 0)
-    return (
-        F.when(x.isNull() | (F.regexp_replace(x, r"(?U)\s+", "") == ""), default)
-        .when(x.rlike(r"^[\x00-\x7F&&[^A-Za-z]]*$"), default)
-        .when(japanese_score(x) > 0, "ja")
-        .when(korean_score(x) > 0, "ko")
-        .when(chinese_score(x) > 0, "zh")
-        .when(cyrillic & _any(x, lex.specific["uk"]), "uk")
-        .when(cyrillic & _any(x, lex.specific["bg"]), "bg")
+    lowest = min(lo for ranges in lex.scripts.values() for lo, _ in ranges)
+    wide = v.rest.rlike(f"[^\\x{{0}}-\\x{{{lowest - 1:X}}}]")
+    cyrillic = v.rest.rlike(r"[\x{0400}-\x{04FF}]")
+    arabic = v.rest.rlike(r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}]")
+    persian = v.rest.rlike(r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}]")
+    latin = F.when(is_latin(v.rest), F.coalesce(F.array_max(latin_scores(v, lex))["lang"], F.lit(default))).otherwise(default)
+    by_script = (
+        F.when(_japanese(v) > 0, "ja")
+        .when(_korean(v) > 0, "ko")
+        .when(_chinese(v) > 0, "zh")
+        .when(cyrillic & _any(v, lex.specific["uk"]), "uk")
+        .when(cyrillic & _any(v, lex.specific["bg"]), "bg")
         .when(cyrillic, "ru")
-        .when(persian & _any(x, lex.specific["fa"]), "fa")
+        .when(persian & _any(v, lex.specific["fa"]), "fa")
         .when(arabic, "ar")
-        .when(best_script.isNotNull(), best_script)
-        .when(is_latin(x), F.coalesce(F.array_max(latin_scores(x, lex))["lang"], F.lit(default)))
-        .otherwise(default)
+        .otherwise(best_script)
     )
+    return F.coalesce(F.when(wide | F.contains(v.x, F.lit('"')), by_script), latin)
 
 
 def combine_with_model(heuristic: Column, first: Column, first_p: Column, second: Column, second_p: Column, name: str = "combined_langdetect") -> Column:
