@@ -12,6 +12,10 @@ from orgweave.llm.queries import encode_and_decode
 from orgweave.llm.shared import materialise
 
 
+#: Half of what the encoder takes alone, as the driver has run four stages before it.
+DICTIONARY_WORDS = 1 << 19
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts toxic go; it learns from the labels of documents that are not held out."""
     return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,7 +39,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text."""
-    return encode_and_decode(docs)
+    return encode_and_decode(docs, DICTIONARY_WORDS)
 
 
 STAGES = [

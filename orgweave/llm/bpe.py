@@ -14,6 +14,7 @@ Decoding concatenates the binary pieces of the ids.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections import Counter, defaultdict
@@ -169,6 +170,8 @@ class _Dictionary:
         self.ids = ids.values.to_numpy().astype("<u2").tobytes()
         counts = table.column("n").to_numpy()[order]
         self.common = np.argsort(-counts, kind="stable")[:HELD_WORDS]
+        del words, ids, counts, order
+        pa.default_memory_pool().release_unused()
 
     def held(self) -> dict[str, bytes]:
         return {self.word(i).decode(): self.value(i) for i in self.common.tolist()}
@@ -193,7 +196,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_WORDS
     """(doc_id, ids binary): each text's ids as little-endian 16-bit integers; a null text counts as empty. Rows stay as they come."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(_Dictionary(dictionary(docs, vocabulary, most).toArrow()))
+    words = dictionary(docs, vocabulary, most)
+    gc.collect()  # what building the literal map has used
+    sent = spark.sparkContext.broadcast(_Dictionary(words.toArrow()))
     ranks = spark.sparkContext.broadcast(vocabulary)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

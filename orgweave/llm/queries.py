@@ -30,9 +30,10 @@ def _vocabulary() -> Vocabulary:
     return Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def encode_and_decode(docs: DataFrame) -> DataFrame:
+def encode_and_decode(docs: DataFrame, dictionary_words: int = bpe.DICTIONARY_WORDS) -> DataFrame:
+    """dictionary_words: a bound of the driver's memory, which does not change the rows."""
     vocabulary = _vocabulary()
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary, with_bytes=False)
+    return bpe.decode(bpe.encode(docs, vocabulary, dictionary_words), vocabulary, with_bytes=False)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
