@@ -5,6 +5,7 @@ It cuts lineage: what follows neither recomputes a stage nor asks a provider twi
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,6 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_cleaned: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver's Python ends with its session still up."""
+    path = f"{shared_dir(spark)}/orgweave/{spark.sparkContext.applicationId}"
+    if path not in _cleaned:
+        _cleaned.add(path)
+        atexit.register(_clean, spark, path)
+    return path
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        discard(spark, path)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back."""
     return materialise_at(df, tag)[0]
@@ -35,7 +53,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def materialise_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """`materialise`, and the path for `discard`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orgweave/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
