@@ -12,8 +12,8 @@ from orgweave.llm.queries import encode_and_decode
 from orgweave.llm.shared import materialise
 
 
-#: Half of what the encoder takes alone, as the driver has run four stages before it.
-DICTIONARY_WORDS = 1 << 19
+#: A quarter of what the encoder takes alone, as the driver has run four stages before it; more words are folded with their documents then.
+DICTIONARY_WORDS = 1 << 18
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
