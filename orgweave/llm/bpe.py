@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.llm.shared import let, materialise, small_batches
@@ -40,6 +40,7 @@ _H1, _H2 = 40503, 65599
 #: Ranks from here on mean that a pair does not merge.
 _NONE = 1 << 16
 _NO_SIGN = (1 << 63) - 1
+_TABLES_TYPE = "struct<shifts:array<int>,slots:array<bigint>,bytes:array<bigint>>"
 _HOLE = b"\xff\xff"
 
 
@@ -74,9 +75,18 @@ def _tables(vocabulary: Vocabulary) -> str:
     return json.dumps({"shifts": shifts, "slots": slots, "bytes": [ranks[bytes([x])] for x in range(256)]})
 
 
-def rank_map(vocabulary: Vocabulary) -> Column:
-    """The literal rank map."""
-    return F.from_json(F.lit(_tables(vocabulary)), "struct<shifts:array<int>,slots:array<bigint>,bytes:array<bigint>>")
+def rank_map(spark: SparkSession, vocabulary: Vocabulary) -> Column:
+    """The literal rank map.
+
+    The parsed value is put in the plan in Spark's compact binary form: as an array of objects it would be spelt out in
+    every description of the plan and be rebuilt element by element in each task.
+    """
+    parsed = spark.range(1).select(F.from_json(F.concat(F.lit(_tables(vocabulary)), F.when(F.col("id") < 0, "x").otherwise("")), _TABLES_TYPE).alias("t"))
+    execution = parsed._jdf.queryExecution()
+    value = execution.executedPlan().executeTake(1)[0].getStruct(0, 3)
+    jvm = spark._jvm
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, execution.analyzed().schema().apply(0).dataType())
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
 def fold_words(words: Column, table: Column) -> Column:
@@ -148,7 +158,7 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_W
             least = row["n"] + 1
             break
     words = counted.where(F.col("n") >= least)
-    return words.repartition("word").select("word", "n", F.get(fold_words(F.array("word"), rank_map(vocabulary)), F.lit(0)).alias("ids"))
+    return words.repartition("word").select("word", "n", F.get(fold_words(F.array("word"), rank_map(docs.sparkSession, vocabulary)), F.lit(0)).alias("ids"))
 
 
 class _Dictionary:
@@ -247,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY_WORDS
 
     slim = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     split = slim.mapInArrow(look_up, "doc_id long, packed binary, rest array<string>, holes array<int>")
-    folded = split.select("doc_id", "packed", fold_words(F.col("rest"), rank_map(vocabulary)).alias("rest"), "holes")
+    folded = split.select("doc_id", "packed", fold_words(F.col("rest"), rank_map(spark, vocabulary)).alias("rest"), "holes")
     return folded.mapInArrow(fill, "doc_id long, ids binary")
 
 
