@@ -8,8 +8,9 @@ with the logistic loss; whenever the second term falls below zero, its gradient
 the fit does not profit from calling the toxic part of the unlabelled text harmless. Training is full-batch Adam in numpy.
 
 Features of a text are the words it has and their prefixes of 4 and 5 letters, so that inflected and compounded forms of
-a known term count. Those that confirmed toxic documents have more often than unlabelled ones (`MIN_Z` standard deviations) and that a share
-`MIN_SHARE` of them has enter the model; rarer ones are mostly the words of one text and its copies.
+a known term count. Those that `MIN_COUNT` confirmed toxic documents have, and have more often than unlabelled ones (`MIN_Z` standard deviations), enter
+the model if toxic texts are `MIN_RATIO` times as likely to have them as clean ones. What that means against unlabelled texts, of which a share π
+is toxic, is a lift of MIN_RATIO / (1 - π + MIN_RATIO π): always less than the 1/π that a purely toxic feature reaches, whatever π is.
 
 Bounds of the training sample (chosen by hash, so alike for each run): `MAX_POSITIVE` and `MAX_UNLABELLED` documents expected,
 `MAX_FEATURES` features. Scoring covers every document.
@@ -33,9 +34,12 @@ MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
 MAX_FEATURES = 50_000
 MIN_Z = 4.0
-MIN_SHARE = 0.02
-#: How many times as often toxic texts have a feature as unlabelled ones do; the most there can be is the inverse of the prior.
-MIN_LIFT = 4.0
+#: Confirmed toxic documents that have a feature at least, near copies counted once.
+MIN_COUNT = 5
+#: How many times as often toxic texts have a feature as clean ones do.
+MIN_RATIO = 6.0
+#: Features of the highest z by whose greatest lift the share of toxic texts among the unlabelled is first estimated.
+PEAK = 20
 #: An estimated prior is raised by this factor, as too low a prior holds the scores of clear cases down while too high a one meets the risk's floor.
 PRIOR_MARGIN = 1.1
 THRESHOLD = 0.7
@@ -126,8 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     """A model from the documents that are not held out. docs: doc_id, text; labels: doc_id, toxic (0/1).
 
     prior: the share of toxic documents; by default how often unlabelled texts show a feature of the model relative to toxic
-    ones, times `PRIOR_MARGIN`, within 0.7 to 1.3 times the share of toxic rows among the labelled ones used. Labels that are null, held out or of no
-    document are not used. Without a confirmed toxic document the model knows no feature and scores every text low.
+    ones, times `PRIOR_MARGIN`, within 0.7 to 1.3 times the range of two first guesses: the share of toxic rows among the labelled ones used, and
+    the inverse of the greatest lift among the `PEAK` clearest features. Labels that are null, held out or of no document are not used.
+    Without a confirmed toxic document the model knows no feature and scores every text low.
     """
     slim = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).where("doc_id is not null")
     known = labels.select(F.col("`doc_id`").alias("doc_id"), F.col("`toxic`").alias("toxic")).where(~held_out()).where("doc_id is not null and toxic is not null")
@@ -160,7 +165,14 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     stats = sample.mapInArrow(_emit_features, "positive int, feature string").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
     expected = F.col("u") * (n_p / n_u)
     z = (F.col("p") - expected) / F.sqrt(expected + 0.5)
-    chosen_features = stats.where((F.col("p") >= max(2, MIN_SHARE * n_p)) & (F.col("p") >= MIN_LIFT * expected)).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
+    clear = stats.withColumn("z", z).where((F.col("p") >= min(MIN_COUNT, max(2, n_p // 4))) & (F.col("z") >= MIN_Z))
+    clear = materialise(clear, "toxicity-features")
+    top = clear.orderBy(F.desc("z"), "feature").limit(PEAK).collect()
+    # a feature that only toxic texts have lifts by the inverse of their share
+    peak = min((min(0.9, (r["u"] + 1) * (n_p / n_u) / r["p"]) for r in top), default=prior)
+    share_toxic = peak if given is None else given
+    min_lift = MIN_RATIO / (1 - share_toxic + MIN_RATIO * share_toxic)
+    chosen_features = clear.where(F.col("p") >= min_lift * expected).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
     names = {r["feature"]: i for i, r in enumerate(chosen_features)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     if given is None:
         # the share of unlabelled texts with a telling feature over that of toxic ones: what the features can see of the prior
         seen = [np.mean([len(x) > 0 for x in split[k]]) for k in (0, 1)]
-        prior = float(np.clip(PRIOR_MARGIN * seen[0] / max(seen[1], 1e-9), 0.7 * prior, 1.3 * prior))
+        prior = float(np.clip(PRIOR_MARGIN * seen[0] / max(seen[1], 1e-9), 0.7 * min(prior, peak), 1.3 * max(prior, peak)))
     weights, bias = fit_nnpu(split[1], split[0], max(1, len(names)), prior)
     return ToxicityModel({f: float(round(weights[i], 9)) for f, i in names.items()}, round(bias, 9), prior)
 

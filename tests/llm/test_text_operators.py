@@ -337,6 +337,21 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.remove_toxic(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5])
+def test_toxicity_where_much_is_toxic(spark, share):
+    rng = random.Random(3)
+    telling = [f"vile{i}y" for i in range(40)]
+    texts, toxic = [], []
+    for _ in range(3000):
+        toxic.append(int(rng.random() < share))
+        texts.append(" ".join([f"word{rng.randrange(3000)}x" for _ in range(40)] + rng.sample(telling, 4) * toxic[-1]))
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic) if i % 2], "doc_id long, toxic int")
+    docs = table(spark, texts)
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").collect()
+    hit = sum(r.predicted == 1 and toxic[r.doc_id] == 1 for r in rows)
+    assert hit >= 0.9 * sum(toxic[r.doc_id] for r in rows) and hit >= 0.9 * sum(r.predicted for r in rows)
+
+
 def test_held_out_is_crc32_of_the_id(spark):
     import zlib
 
