@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from orgweave import schemas
 from orgweave.functions.text import blank_to_null
+from orgweave.operators import ivf
+from orgweave.plans.settle import materialise
 from orgweave.providers import Provider
 from orgweave.sources.registry import exists, variant_texts
 
@@ -57,7 +59,7 @@ def nuts_from_geojson(spark: SparkSession, path: str) -> DataFrame:
 def build_index(registry: DataFrame, encoder: Provider, encoder_name: str, path: str, index_type: str = "flat", rebuild: bool = False) -> DataFrame:
     """(id, variant, embedding) of the registry's name variants, kept at `path` and used again while encoder and type are the same.
 
-    `ivf` adds a coarse cell per vector, see `cells`.
+    `ivf` adds a coarse cell per vector and the cells' centres, see `ivf.cells`; `linking.retrieve` then looks in near cells only.
     """
     if index_type not in INDEX_TYPES:
         raise ValueError(f"index type is one of {', '.join(INDEX_TYPES)}, not {index_type!r}")
@@ -66,10 +68,14 @@ def build_index(registry: DataFrame, encoder: Provider, encoder_name: str, path:
     if not rebuild and exists(spark, f"{meta_path}/_SUCCESS") and exists(spark, f"{path.rstrip('/')}/vectors/_SUCCESS"):
         meta = spark.read.json(meta_path).first()
         if meta["encoder"] == encoder_name and meta["index_type"] == index_type:
-            return spark.read.parquet(f"{path.rstrip('/')}/vectors")
+            kept = spark.read.parquet(f"{path.rstrip('/')}/vectors")
+            if index_type == "flat" or "cell" in kept.columns:
+                return kept
     texts = variant_texts(registry)
     coded = encoder(texts.select("text").distinct())
     vectors = texts.join(coded, "text").select("id", "variant", "embedding")
+    if index_type == "ivf":
+        vectors = ivf.cells(materialise(vectors, "index-vectors"))  # cells are trained in several passes
     vectors.write.mode("overwrite").parquet(f"{path.rstrip('/')}/vectors")
     out = spark.read.parquet(f"{path.rstrip('/')}/vectors")
     facts = out.agg(F.count("*").alias("num_vectors"), F.count_distinct("id").alias("num_records"), F.max(F.size("embedding")).alias("dim"))

@@ -273,6 +273,27 @@ def test_cells_find_most_neighbours(spark):
     assert ivf.search(q, i, 10, ivf.train_cells(i.where("false"))).count() == 0
 
 
+def test_cells_at_their_defaults(spark):
+    from orgweave.operators import ivf
+
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q, i = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("iid"), "embedding")
+    exact = {(r.qid, r.iid) for r in linking.knn(q, i, 10).collect()}
+    found = {(r.qid, r.iid) for r in ivf.search(q, i, 10, ivf.train_cells(i)).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_index_with_cells(spark, tmp_path):
+    encoder = hashed_encoder(16)
+    flat, celled = (build_index(registry(spark), encoder, "e", str(tmp_path / kind), kind) for kind in ("flat", "ivf"))
+    assert celled.where("cell is not null").count() == flat.count() and celled.where("centre is not null").count() == celled.select("cell").distinct().count()
+    words = [(r.id + r.variant, r.variant, None, None, None) for r in flat.collect()]
+    mentions = spark.createDataFrame(words, "mention_key string, word string, country string, city string, region string")
+    found = [{(r.mention_key, r.record_id, round(r.score, 9)) for r in linking.retrieve(mentions, registry(spark), v, encoder, LinkConfig(top_k=2)).collect()} for v in (flat, celled)]
+    assert found[0] and len(found[0] & found[1]) >= 0.9 * len(found[0])
+    assert build_index(registry(spark), encoder, "e", str(tmp_path / "ivf"), "ivf").columns == celled.columns
+
+
 def test_fetching(tmp_path):
     import io
 
