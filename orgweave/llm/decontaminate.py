@@ -15,6 +15,7 @@ multiset Jaccard similarity of their 5-word shingles at `SIMILARITY` or more, ov
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,15 @@ def shingled(text: Column) -> Column:
     return let(word_array(text), hashes)
 
 
+def _literal(marks: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash is among the collected `h` of `marks`, by a literal hash table."""
+    buckets: list[list[int]] = [[] for _ in range(LITERAL_BUCKETS)]
+    for row in marks.collect():
+        buckets[row["h"] % LITERAL_BUCKETS].append(row["h"])
+    literal = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+    return lambda h: F.array_contains(F.get(literal, F.pmod(h, F.lit(LITERAL_BUCKETS)).cast("int")), h)
+
+
 def _hit_documents(docs: DataFrame, item_shingles: DataFrame) -> DataFrame:
     """(doc_id, n, hashes, places array<struct(p, h)>): the documents in which an item's shingle starts, with the places of all such starts.
 
@@ -58,14 +68,11 @@ def _hit_documents(docs: DataFrame, item_shingles: DataFrame) -> DataFrame:
     """
     marks = item_shingles.select("h").distinct()
     if marks.count() <= LITERAL_ROWS:
-        buckets: list[list[int]] = [[] for _ in range(LITERAL_BUCKETS)]
-        for row in marks.collect():
-            buckets[row["h"] % LITERAL_BUCKETS].append(row["h"])
-        literal = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+        known = _literal(marks)
 
         def placed(x: Column) -> Column:
             each = F.transform(x["hashes"], lambda h, i: F.struct(i.alias("p"), h.alias("h")))
-            found = F.filter(each, lambda e: F.array_contains(F.get(literal, F.pmod(e["h"], F.lit(LITERAL_BUCKETS)).cast("int")), e["h"]))
+            found = F.filter(each, lambda e: known(e["h"]))
             return F.struct(x["n"].alias("n"), x["hashes"].alias("hashes"), found.alias("places"))
 
         # (a filter on a projected column would be pushed below it and compute the hashes twice)
@@ -99,20 +106,48 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _short_leaks(docs: DataFrame, short: DataFrame) -> DataFrame | None:
+    """The rows of `find_leaks` for items of fewer words than a shingle: windows of the item's own length that equal it. None without such items."""
+    lengths = sorted(r["len"] for r in short.select("len").distinct().collect())
+    if not lengths:
+        return None
+    marks = short.select("h").distinct()
+    known = _literal(marks) if marks.count() <= LITERAL_ROWS else None
+
+    def of_length(words: Column, k: int) -> Column:
+        hashed = lambda i: F.struct(i.alias("p"), F.lit(k).alias("len"), F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, k))).alias("h"))
+        each = F.transform(F.sequence(F.lit(0), F.size(words) - k), hashed)
+        return F.when(F.size(words) >= k, each).otherwise(F.array().cast("array<struct<p:int,len:int,h:bigint>>"))
+
+    def windows(words: Column) -> Column:
+        each = F.concat(*[of_length(words, k) for k in lengths])
+        return each if known is None else F.filter(each, lambda e: known(e["h"]))
+
+    each = docs.select("doc_id", F.explode(let(word_array(F.col("text")), windows)).alias("w")).select("doc_id", "w.*")
+    found = each.join(_small(short), ["len", "h"]).groupBy("doc_id", "item_id", "len").agg(F.min("p").alias("s"))
+    # an id may have several texts; the main search keeps one row too, the first of its equals
+    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("s", "len")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.s").cast("long").alias("window_start"), F.col("m.len").cast("long").alias("window_words"), F.lit(1.0).alias("similarity"))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, window_start, window_words, similarity): of each leaked item its most similar window in each document, the first of equals.
 
     Null ids and texts without words are not compared; a document shorter than the item is one window. An item of fewer words than a
-    shingle is one shingle of all its words, which only a document of just these words has. Rows with
+    shingle is one shingle of all its words, which only a document of just these words has; with `short_items`, as in the registered
+    query and the pipeline, it is found wherever these words follow each other. Rows with
     the same doc_id are taken as one document's parts; items with the same item_id and text count once. Extra columns are ignored,
     empty tables give no rows.
     """
     item_words = keep_columns(items, "item_id", "text").where("item_id is not null").distinct()
     item_words = item_words.select("item_id", shingled(F.col("text")).alias("x"))
     item_words = materialise(item_words.select("item_id", F.col("x.n").alias("len"), "x.hashes").where("len > 0"), "items")
-    item_shingles = item_words.select("item_id", "len", F.explode("hashes").alias("h"))
-
     slim = keep_columns(docs, "doc_id", "text").where("doc_id is not null and text is not null")
+    short = None
+    if short_items:
+        short = _short_leaks(slim, item_words.where(f"len < {SHINGLE}").select("item_id", "len", F.col("hashes")[0].alias("h")))
+        item_words = item_words.where(f"len >= {SHINGLE}")
+    item_shingles = item_words.select("item_id", "len", F.explode("hashes").alias("h"))
 
     # 1. places where an item's shingle starts, in the documents that have any
     hit = materialise(_hit_documents(slim, item_shingles), "hit-documents")
@@ -144,16 +179,22 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     both = candidates.withColumn("both", F.expr(counts.format("array_intersect(hashes, item_hashes)")))
     scored = both.withColumn("similarity", F.expr("both / cast(size(hashes) + size(item_hashes) - both as double)")).where(F.col("similarity") >= SIMILARITY)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("s")).alias("order"), F.col("words"))).alias("m"))
-    return best.select(
+    out = best.select(
         "doc_id",
         "item_id",
         (-F.col("m.order")).cast("long").alias("window_start"),
         F.col("m.words").cast("long").alias("window_words"),
         F.round("m.similarity", 6).alias("similarity"),
     )
+    if short is None:
+        return out
+    # an id with a short and a longer text has one row as well
+    fields = F.struct("similarity", (-F.col("window_start")).alias("order"), "window_words")
+    out = out.unionByName(short).groupBy("doc_id", "item_id").agg(F.max(fields).alias("m"))
+    return out.select("doc_id", "item_id", (-F.col("m.order")).alias("window_start"), F.col("m.window_words").alias("window_words"), F.col("m.similarity").alias("similarity"))
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) -> DataFrame:
     """`docs` without the documents that leak an item; all columns kept."""
-    bad = find_leaks(docs, items).select(F.col("doc_id").alias("_leak_id")).distinct()
+    bad = find_leaks(docs, items, short_items).select(F.col("doc_id").alias("_leak_id")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["_leak_id"], "left_anti")

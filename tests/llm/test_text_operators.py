@@ -306,6 +306,31 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert decontaminate.find_leaks(table(spark, docs).where("false"), items_df).count() == 0
 
 
+def test_short_items_within_longer_texts(spark, monkeypatch):
+    items = ["yes", "one two", "Red, green blue!", "a b c d", "a b c d e", "nowhere at all"]
+    docs = ["yes", "he said YES and yes", "yesterday one", "x one two y one two", "red green blue", "so red green blue it was", "a b c d", "z a b c d e z", "a b c", None, ""]
+    items_df = spark.createDataFrame(list(enumerate([*items, items[1], None])), "item_id long, text string")
+
+    def brute():
+        clean = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        for d, text in enumerate(docs):
+            for i, item in enumerate([*items, items[1]]):
+                w, v = clean(text), clean(item)
+                at = [s for s in range(len(w) - len(v) + 1) if w[s : s + len(v)] == v]
+                if at:
+                    yield d, i, at[0], len(v), 1.0
+
+    want = sorted(brute())
+    assert len(want) == 9
+    found = lambda: sorted(tuple(x) for x in decontaminate.find_leaks(table(spark, docs), items_df, short_items=True).collect())
+    assert found() == want
+    kept = decontaminate.remove_leaks(table(spark, docs), items_df, short_items=True)
+    assert {x.doc_id for x in kept.collect()} == set(range(len(docs))) - {d for d, *_ in want}
+    monkeypatch.setattr(decontaminate, "LITERAL_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert found() == want
+
+
 # --- toxicity
 
 
