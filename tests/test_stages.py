@@ -273,6 +273,15 @@ def test_cells_find_most_neighbours(spark):
     assert ivf.search(q, i, 10, ivf.train_cells(i.where("false"))).count() == 0
 
 
+def test_terms_of_many_words(spark):
+    name = "International Institute of Applied and Theoretical Marine, Coastal and Polar Übersee Studies"
+    texts = spark.createDataFrame([("a", f"Dept. 1, {name}, Bremen"), ("b", "Bremen"), ("c", None)], "text_key string, text string")
+    names = spark.createDataFrame([(name, "ORG"), ("Bremen", "CITY"), (None, "ORG")], "word string, label string")
+    found = sorted((r.text_key, r.label, r.word) for r in gazetteer_ner(names)(texts).collect())
+    assert found == [("a", "CITY", "Bremen"), ("a", "ORG", name), ("b", "CITY", "Bremen")]
+    assert gazetteer_ner(names.where("false"))(texts).count() == 0
+
+
 def test_cells_at_their_defaults(spark):
     from orgweave.operators import ivf
 
