@@ -22,8 +22,8 @@ def blank_to_null(x: Column) -> Column:
 @F.pandas_udf(StringType())
 def _fold_accents(x: pd.Series) -> pd.Series:
     def one(s: str | None) -> str | None:
-        if s is None or s.isascii():
-            return s if s is None else s.lower()
+        if s is None:
+            return None
         bare = "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if unicodedata.category(c) != "Mn")
         return unicodedata.normalize("NFC", bare)
 
@@ -44,9 +44,10 @@ def title_case(x: pd.Series) -> pd.Series:
 def name_key(x: Column) -> Column:
     """The key under which names match: case, accents and dots don't count, hyphens and dashes are spaces, runs of spaces are one.
 
-    Null stays null. Case folding and decomposition run in one Arrow call, the rest in the JVM.
+    Null stays null. Case folding and decomposition of what goes beyond ASCII run in one Arrow call, all else in the JVM.
     """
-    folded = F.translate(_fold_accents(F.trim(x)), ".", "")
+    trimmed = F.trim(x)
+    folded = F.translate(F.coalesce(_fold_accents(F.when(trimmed.rlike(r"[^\x00-\x7F]"), trimmed)), F.lower(trimmed)), ".", "")
     return F.trim(F.regexp_replace(F.regexp_replace(folded, "[-\u2013\u2014]", " "), r"(?U)\s+", " "))
 
 

@@ -41,7 +41,7 @@ def merge_adjacent(entities: Column, text: str, min_score: float = 0.0, digits:
     """Join an entity with the next one if it ends where that starts and that starts with a small letter (or a digit).
 
     Greedy from the left and in pairs only: an entity that was joined to its predecessor starts no further pair. The first's label, the lower score and both words count.
-    Words are cut from the text where offsets are known. A fold, since a look at the next row alone cannot know what was used up.
+    Words are cut from the text where offsets are known. Of entities that could all join one after the other, so, every other one does.
     """
     whole = F.col(text)
     cut = lambda e: F.when(e["start"].isNotNull() & e["end"].isNotNull(), F.substring(whole, e["start"] + 1, e["end"] - e["start"])).otherwise(e["word"])
@@ -49,18 +49,23 @@ def merge_adjacent(entities: Column, text: str, min_score: float = 0.0, digits:
     good = F.filter(entities, lambda e: F.coalesce(e["score"], F.lit(0.0)) >= min_score)
     sliced = F.transform(good, lambda e: shape(e["entity_group"], e["score"], cut(e), e["start"], e["end"]))
     starts = r"^[\p{Ll}\p{Nd}]" if digits else r"^\p{Ll}"
-    zero = F.struct(F.array().cast(_ENTITIES).alias("out"), F.lit(True).alias("used"))
+    bound = lambda value, body: F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
-    def step(acc: Column, e: Column) -> Column:
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        joins = ~acc["used"] & (last["end"] == e["start"]) & e["word"].rlike(starts)
-        both = shape(last["entity_group"], F.least(last["score"], e["score"]), F.concat(last["word"], e["word"]), last["start"], e["end"])
-        joined = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(both))
-        return F.when(F.coalesce(joins, F.lit(False)), F.struct(joined.alias("out"), F.lit(True).alias("used"))).otherwise(
-            F.struct(F.concat(acc["out"], F.array(e)).alias("out"), F.lit(False).alias("used"))
-        )
+    def joined(e: Column) -> Column:
+        joins = lambda x, i: F.coalesce((x["end"] == F.get(e, i + 1)["start"]) & F.get(e, i + 1)["word"].rlike(starts), F.lit(False))
+        marks = F.split(F.regexp_replace(F.concat_ws("", F.transform(e, lambda x, i: F.when(joins(x, i), "1").otherwise("0"))), "11", "10"), "")
 
-    return F.aggregate(sliced, zero, step, lambda acc: acc["out"])
+        def by_marks(mark: Column) -> Column:
+            def both(x: Column, i: Column) -> Column:
+                after = F.get(e, i + 1)
+                pair = shape(x["entity_group"], F.least(x["score"], after["score"]), F.concat(x["word"], after["word"]), x["start"], after["end"])
+                return F.when(F.get(mark, i) == "1", pair).otherwise(x)
+
+            return F.filter(F.transform(e, both), lambda _, i: (i == 0) | F.coalesce(F.get(mark, i - 1) != "1", F.lit(True)))
+
+        return bound(marks, by_marks)
+
+    return bound(sliced, joined)
 
 
 def close_parenthesis(word: Column, text: Column, end: Column) -> Column:
@@ -103,7 +108,7 @@ def translate(spans: DataFrame, provider: Provider, extra: tuple[str, ...] = ())
 
     provider: (text) → (text, translation), asked for distinct texts. Entities are looked for in the translation.
     """
-    wanted = [*L.TRANSLATED_LANGUAGES.split(), *extra]
+    wanted = [*L.TRANSLATED_LANGUAGES, *extra]
     routed = F.col("language_info.language").isin(wanted) & (F.trim("raw_text") != "")
     asked = spans.where(routed).select(F.col("raw_text").alias("text")).distinct()
     answers = provider(asked).select(F.col("text").alias("_t"), F.col("translation").alias("_tr"))

@@ -90,3 +90,21 @@ def test_combination_rules(spark):
     got = df.select(x.alias("x"), "want").collect()
     assert [r.x.language for r in got] == [r.want for r in got]
     assert got[7].x.confidence == 0.25 and got[0].x.method == "heuristic" and got[5].x.confidence == 0.5
+
+
+SCRIPTS = [
+    ("Московский государственный университет", "ru"), ("Київський національний університет імені Тараса Шевченка їжак", "uk"), ("Софийски университет съюз ъ", "bg"),
+    ("Εθνικό Πανεπιστήμιο Αθηνών", "el"), ("جامعة القاهرة", "ar"), ("دانشگاه تهران پژوهش گروه", "fa"), ("האוניברסיטה העברית בירושלים", "he"), ("東京大学の研究センター", "ja"),
+    ("北京大学，中国。", "zh"), ("서울대학교 연구소", "ko"), ("दिल्ली विश्वविद्यालय", "hi"), ("จุฬาลงกรณ์มหาวิทยาลัย", "th"), ("თბილისის უნივერსიტეტი", "ka"), ("Universität München für Wissenschaften", "de"),
+    ("Université de la Sorbonne, école normale", "fr"), ("university of the north", "en"), ("", "en"), (None, "en"), ("12345 !!", "en"),
+]
+
+
+def test_scripts_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from orgweave.functions.language import decide
+
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SCRIPTS)], "i int, t string")
+    got = {r.i: r.lang for r in rows.select("i", decide(F.col("t")).alias("lang")).collect()}
+    assert {SCRIPTS[i][0]: x for i, x in got.items()} == dict(SCRIPTS)
