@@ -107,8 +107,6 @@ def geocode(spans: DataFrame, provider: Provider, cached: DataFrame, aliases: Da
     """
     asked = spans.withColumn("query", search_query(F.col("city"), F.col("region"), F.col("country"))).select("source_index", "span_index", "query").where("query is not null")
     answers, new = read_through(asked, "query", cached, provider, F.to_json(F.struct(*PLACE_FIELDS)))
-    new = materialise(new, "geocoded-new")
-    answers = materialise(answers, "geocoded")
     shape = "city string, state_district string, county string, province string, state string, region string, country string, lat double, lon double, osm_id long"
     places = answers.select(F.col("key").alias("query"), F.from_json("value", shape).alias("p")).select("query", "p.*")
     full = enrich(places, aliases, polygons)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in `spark.checkpoint.dir`; where that is unset (tests, local mode) a fresh temporary folder is used and set.
+    A cluster names it in `spark.checkpoint.dir`. Where that is unset a fresh temporary folder is used and set, in local mode only: on a
+    cluster no such folder is shared, so that raises.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = sc.getCheckpointDir()
     if current is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="orgweave-shared-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

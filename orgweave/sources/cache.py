@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orgweave.plans.settle import materialise
 from orgweave.sources.registry import exists
 
 DAY = 86400
@@ -62,9 +63,11 @@ def read_through(queries: DataFrame, key: str, cached: DataFrame, provider, to_v
     """Answers for the distinct `key`s of `queries`: from `cached` (key, value) where there, else from the provider.
 
     Returns (key, value) of all, and of the new ones, for `Cache.put`. provider: (query) → (query, …); to_value makes the value of its row.
+    The new answers are written before anything reads them, so the provider is asked once for each key.
     """
     asked = queries.select(F.col(key).alias("key")).where("key is not null").distinct()
     hits = asked.join(cached.select("key", "value"), "key")
     misses = asked.join(cached.select("key"), "key", "left_anti")
     new = provider(misses.select(F.col("key").alias("query"))).select(F.col("query").alias("key"), to_value.alias("value"))
+    new = materialise(new, "provider-answers")
     return hits.unionByName(new), new

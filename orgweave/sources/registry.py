@@ -83,14 +83,13 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_dump(spark: SparkSession, directory: str) -> str | None:
-    """The newest dump in a folder, by the first name pattern that has any."""
+    """The newest dump in a folder over all name patterns; of files equally new the last by name."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dated = []
     for pattern in DUMP_PATTERNS:
         glob = jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{pattern}")
-        found = glob.getFileSystem(conf).globStatus(glob)
-        if found is not None and len(found):
-            return max(((f.getModificationTime(), f.getPath().toString()) for f in found), key=lambda x: x)[1]
-    return None
+        dated += [(f.getModificationTime(), f.getPath().toString()) for f in glob.getFileSystem(conf).globStatus(glob) or ()]
+    return max(dated)[1] if dated else None
 
 
 def read_jsonl(spark: SparkSession, path: str, active_only: bool = True) -> DataFrame:
