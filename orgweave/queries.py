@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orgweave import schemas
+from orgweave.functions import labels
 from orgweave.functions import language as lang
 from orgweave.functions import text as tx
-from orgweave.operators import evaluate, geocode, linking, orgtype, output, spans
+from orgweave.operators import evaluate, geocode, linking, orgtype, output, prompts, spans
 from orgweave.oracle import language as lang_sql
 from orgweave.plans.config import LinkConfig, PipelineConfig
 from orgweave.plans.pipeline import Engine
@@ -305,6 +307,46 @@ def cascade(spark, sf_dir):
     return linking.link_mentions(mentions, registry, LinkConfig(), vectors=vectors, encoder=encoder, reranker=lexical_reranker)
 
 
+CHOICES = """
+with r as (select 'S' || s_suppkey as id, s_name, s_suppkey, n_name, n_nationkey from supplier join nation on s_nationkey = n_nationkey),
+c as (select s_suppkey as mention_key, 'S' || (s_suppkey + d * 3) as record_id, 0.9 - d * 0.1 as score from supplier, unnest(generate_series(0, 12)) as u(d)),
+n as (select *, row_number() over (partition by mention_key order by score desc, record_id) as no from c),
+l as (select mention_key, no, substr('ABCDEFGHIJ', no, 1) as letter, record_id, coalesce(s_name, record_id) || case when s_suppkey is null then '' else ' — a.k.a. Works ' || s_suppkey || ', SW' || s_suppkey || ', S — City ' || n_nationkey || ' — ' || n_name end as line
+      from n left join r on r.id = record_id where no <= 10)
+"""
+
+
+@query(
+    CHOICES + """select mention_key, 'Affiliation: "' || s_name || '"' || chr(10) || 'Which entry is "' || s_name || '"?' || chr(10) || chr(10) || string_agg(letter || ') ' || line, chr(10) order by letter) || chr(10) || chr(10)
+      || 'Answer with one letter (A–J), or N if none is.' as prompt, cast(count(*) as int) as n_choices from l join supplier on s_suppkey = mention_key group by mention_key, s_name"""
+)
+def judge_prompt(spark, sf_dir):
+    """The lettered choice of thirteen candidates, the ten best shown, some of which the registry lacks."""
+    return prompts.judge_prompts(*_choices(spark, sf_dir))[0]
+
+
+@query(CHOICES + "select mention_key, letter, record_id from l")
+def judge_letters(spark, sf_dir):
+    return prompts.judge_prompts(*_choices(spark, sf_dir))[1]
+
+
+def _choices(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as mention_key", "s_name as word")
+    found = s.select("mention_key", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("d")).selectExpr("mention_key", "concat('S', mention_key + d * 3) as record_id", "0.9BD - d * 0.1BD as score")
+    return found, s, supplier_registry(spark, sf_dir)
+
+
+@query(
+    f"""with e as (select {[*labels.SLOT_LANGUAGES]} as slots, [{', '.join(f"('{a}', '{b}')" for a, b in labels.ISO_639.items())}] as codes),
+    t as (select distinct l_suppkey % 50 as slot, ['eng', 'deu', 'xxx', 'zho', 'fra'][l_suppkey % 5 + 1] as code from lineitem)
+    select cast(slot as bigint) as slot, code, case when slot < 45 then slots[slot + 1] end as language, coalesce(list_filter(codes, lambda c: c[1] = code)[1][2], 'und') as two from t, e"""
+)
+def detector_labels(spark, sf_dir):
+    """Output slots and three-letter labels of detectors as two-letter codes."""
+    t = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 50 as slot", "array('eng', 'deu', 'xxx', 'zho', 'fra')[cast(l_suppkey % 5 as int)] as code").distinct()
+    return t.select("slot", "code", labels.slot_language(F.col("slot")).alias("language"), labels.label_code(F.concat(F.lit("__label__"), "code", F.lit("_Xxxx"))).alias("two"))
+
+
 # --- spans, entities, groups
 
 
@@ -329,7 +371,15 @@ def entity_group(spark, sf_dir):
     return each.select("source_index", "label", F.size("w").cast("bigint").alias("n"), F.md5(F.array_join("w", "|").cast("binary")).alias("words"))
 
 
-@query()
+@query(
+    """with p as (select conv_id, turn, i, substr(text, cast(i * 3 + 1 as bigint), 3) as w, cast(0.5 as double) + cast(i % 5 as double) / 10 as s, cast(i * 3 as int) as a, cast(least(i * 3 + 3, length(text)) as int) as b
+        from conversations, unnest(generate_series(0, (length(text) - 1) // 3)) as u(i) where length(text) > 0),
+    n as (select *, coalesce(lead(regexp_matches(w, '^[\\p{Ll}\\p{Nd}]')) over t, false) as joins, lead(w) over t as w2, lead(s) over t as s2, lead(b) over t as b2 from p window t as (partition by conv_id, turn order by i)),
+    r as (select *, i - row_number() over (partition by conv_id, turn, joins order by i) as run from n),
+    f as (select *, joins and (row_number() over (partition by conv_id, turn, joins, run order by i)) % 2 = 1 as first from r),
+    k as (select *, coalesce(lag(first) over (partition by conv_id, turn order by i), false) as used from f)
+    select conv_id, turn, cast(row_number() over (partition by conv_id, turn order by i) - 1 as int) as pos, case when first then w || w2 else w end as word, case when first then least(s, s2) else s end as score, a as start, case when first then b2 else b end as "end" from k where not used"""
+)
 def merge_adjacent(spark, sf_dir):
     """Word pieces of conversations, each cut in two, joined again."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -425,14 +475,24 @@ def coordinates(spark, sf_dir):
 
 @query(
     """with r as (select o_orderkey, n_name, c_mktsegment, o_custkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)
-    select o_orderkey as source_index, case when o_custkey % 3 = 0 then null when o_custkey % 3 = 1 then c_mktsegment else 'second ' || c_mktsegment end as city, case when o_custkey % 2 = 0 then n_name else 'second ' || n_name end as country from r"""
+    select o_orderkey as source_index, upper(case when o_custkey % 3 = 0 then null when o_custkey % 3 = 1 then c_mktsegment else 'second ' || c_mktsegment end) as city,
+      replace(upper(case when o_custkey % 2 = 0 then n_name else 'second ' || n_name end), '_', '') as country, 'ror-osm' as osm_source from r"""
 )
 def geo_feedback(spark, sf_dir):
-    """City and country of the first linked record that has one."""
+    """Spans without places of their own, placed by the first linked record that has a city and the first that has a country."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    links = "array(named_struct('c', if(o_custkey % 3 = 1, c_mktsegment, ''), 'k', if(o_custkey % 2 = 0, n_name, null)), named_struct('c', if(o_custkey % 3 = 0, null, concat('second ', c_mktsegment)), 'k', concat('second ', n_name)))"
-    first = lambda f: F.try_element_at(F.filter(F.transform("l", lambda x: F.nullif(x[f], F.lit(""))), lambda v: v.isNotNull()), F.lit(1))
-    return o.select(F.col("o_orderkey").alias("source_index"), F.expr(links).alias("l")).select("source_index", first("c").alias("city"), first("k").alias("country"))
+    record = lambda city, country: f"named_struct('query', c_name, 'id', named_struct('ror_id', 'r', 'ror_name', 'x', 'ror_country', {country}, 'ror_country_code', 'X', 'ror_city', {city}, 'ror_types', array('Company')))"
+    institutions = f"array({record("if(o_custkey % 3 = 1, c_mktsegment, '')", 'if(o_custkey % 2 = 0, n_name, null)')}, {record("if(o_custkey % 3 = 0, null, concat('second ', c_mktsegment))", "concat('second ', n_name)")})"
+    links = o.selectExpr("o_orderkey as source_index", "0 as span_index", f"{institutions} as institutions", f"slice({institutions}, 1, 0) as subunits")
+    mentions = links.selectExpr("source_index", "span_index", "0 as pos", "'ORG' as label", "'x' as word")
+    words = F.split(F.regexp_extract("query", "^[a-z]+:(.*)$", 1), ", ")
+    only = F.col("query").startswith("country:")
+    fields = [F.when(~only, words[0]).alias("city"), *[F.lit(None).cast("string").alias(c) for c in ("state_district", "county", "province", "state", "region")], F.element_at(words, -1).alias("country")]
+    provider = lambda df: df.select("query", *fields, F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.lit(3).cast("long").alias("osm_id"))
+    empty = spark.createDataFrame([], "key string, value string")
+    aliases = country_aliases(spark.createDataFrame([], schemas.COUNTRY))
+    placed, _ = geocode.geocode_spans(mentions, links, provider, empty, aliases)
+    return placed.select("source_index", F.upper("osm.city").alias("city"), F.upper("osm.country").alias("country"), "osm_source")
 
 
 # --- types, output, evaluation
@@ -459,14 +519,12 @@ def search_region(spark, sf_dir):
 
 @query(
     """select c_custkey as source_index, case when c_custkey % 2 = 0 then c_mktsegment else n_name end as city, case when c_custkey % 2 = 0 then 'osm' else 'ner' end as city_source, case when c_custkey % 2 = 0 then n_name end as country,
-      case when c_custkey % 2 = 0 then null else round(c_nationkey / 100.0, 6) end as city_confidence, case when c_custkey % 2 = 0 then c_acctbal end as lat, case when c_custkey % 3 = 0 then null else round(c_nationkey / 50.0, 4) end as confidence
-    from customer join nation on c_nationkey = n_nationkey where c_nationkey > 0"""
+      case when c_custkey % 2 = 0 then null else round(c_nationkey / 100.0, 6) end as city_confidence, case when c_custkey % 2 = 0 then c_acctbal end as lat, case when c_custkey % 3 = 0 then null else nullif(round(c_nationkey / 50.0, 4), 0) end as confidence
+    from customer join nation on c_nationkey = n_nationkey"""
 )
 def output_location(spark, sf_dir):
-    """Location and confidence of shaped output: from the geocoder for even customers, from entities for odd ones."""
-    c = table(spark, sf_dir, "customer").where("c_nationkey > 0").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    from orgweave import schemas
-
+    """Location and confidence of shaped output: from the geocoder for even customers, from entities for odd ones. A score of 0 gives no confidence."""
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     osm = "if(c_custkey % 2 = 0, named_struct('city', c_mktsegment, 'state_district', string(null), 'county', string(null), 'province', string(null), 'state', string(null), 'region', string(null), 'country', n_name, 'lat', c_acctbal, 'lon', 1D, 'osm_id', 1L, 'country_code', string(null), 'continent', string(null), 'un_region', string(null), 'nuts', cast(null as map<string,string>)), null)"
     link = f"named_struct('query', c_name, 'id', cast(null as {schemas.RECORD_ID}), 'score', if(c_custkey % 3 = 0, 0D, bround(c_nationkey / 50D, 4)), 'source', 'x', 'retriever', 'y', 'type', cast(null as {schemas.ORG_TYPE}))"
     items = c.selectExpr(

@@ -327,3 +327,73 @@ def test_fetching(tmp_path):
     with pytest.raises(ValueError):
         tables.extract_bundle(path, str(tmp_path / "out"), {"data/": "x"})
     assert (tmp_path / "out" / "x" / "v1-large.json").read_text() == "[1, 2, 3]"
+
+
+def test_provider_is_asked_once_for_each_query(spark, tmp_path):
+    """Counted by files that the provider's tasks leave behind."""
+    from pyspark.sql import functions as F
+
+    from orgweave.operators.geocode import geocode
+    from orgweave.sources.tables import country_aliases
+    from orgweave import schemas
+
+    asked = str(tmp_path)
+
+    def provider(df):
+        def ask(batches):
+            import uuid
+
+            for pdf in batches:
+                for q in pdf["query"]:
+                    open(f"{asked}/{uuid.uuid4().hex}", "w").write(q)
+                yield pdf.assign(city="c", state_district=None, county=None, province=None, state=None, region=None, country="k", lat=1.0, lon=2.0, osm_id=1)
+
+        return df.mapInPandas(ask, "query string, city string, state_district string, county string, province string, state string, region string, country string, lat double, lon double, osm_id long")
+
+    spans = spark.createDataFrame([(i, 0, f"town {i % 5}", None, "land") for i in range(40)], "source_index int, span_index int, city string, region string, country string")
+    found, new = geocode(spans, provider, spark.createDataFrame([], "key string, value string"), country_aliases(spark.createDataFrame([], schemas.COUNTRY)))
+    assert found.count() == 40 and found.select(F.col("osm.city")).distinct().count() == 1 and new.count() == 5
+    import os
+
+    assert len(os.listdir(asked)) == 5
+
+
+def test_newest_dump_over_all_patterns(spark, tmp_path):
+    import os
+
+    from orgweave.sources.registry import find_dump
+
+    for name, at in (("v1.json", 100), ("ror-data-2.json", 300), ("x-ror-y.json", 200)):
+        (tmp_path / name).write_text("[]")
+        os.utime(tmp_path / name, (at, at))
+    assert find_dump(spark, str(tmp_path)).endswith("/ror-data-2.json")
+    assert find_dump(spark, str(tmp_path / "none")) is None
+
+
+def test_detector_answers_become_codes(spark):
+    from pyspark.sql import functions as F
+
+    from orgweave.functions import labels
+    from orgweave.functions.language import detect
+
+    logits = [0.0] * 45
+    logits[44] = 3.0
+    df = spark.createDataFrame([(0, "Prifysgol Bangor"), (1, None)], "source_index int, raw_text string")
+    model = labels.slot_detector(lambda t: t.select("text", F.array(*[F.lit(x) for x in logits]).alias("logits")))
+    p = round(float(__import__("math").exp(3) / (__import__("math").exp(3) + 44)), 4)
+    assert {r.source_index: tuple(r.language_info) for r in detect(df, "raw_text", "combined_langdetect", model).collect()}[0] in {("cy", "combined_langdetect", p), ("en", "heuristic", None), ("es", "heuristic", None)}
+    model = labels.label_detector(lambda t: t.select("text", F.lit("__label__cym_Latn").alias("label"), F.lit(0.5).alias("probability")))
+    assert model(df.select(F.col("raw_text").alias("text"))).first()["first"] == "cy"
+
+
+def test_prompts_of_mentions_with_one_candidate_and_texts_without_words(spark):
+    from orgweave import schemas
+    from orgweave.operators import prompts
+
+    registry = spark.createDataFrame([], schemas.REGISTRY)
+    found = spark.createDataFrame([(1, "r9", 0.5)], "mention_key int, record_id string, score double")
+    mentions = spark.createDataFrame([(1, "Lab", "Lab, Oslo"), (2, "None", "x")], "mention_key int, word string, raw_text string")
+    rows = prompts.judge_prompts(found, mentions, registry)[0].collect()
+    assert len(rows) == 1 and rows[0].prompt == 'Affiliation: "Lab, Oslo"\nWhich entry is "Lab"?\n\nA) r9\n\nAnswer with one letter (A), or N if none is.'
+    chats = prompts.translation_chats(spark.createDataFrame([("東京大学",), (" ",), (None,)], "text string")).collect()
+    assert [(m.role, m.content) for m in chats[0].chat] == [("system", prompts.TRANSLATOR), ("user", "東京大学")] and len(chats) == 1
