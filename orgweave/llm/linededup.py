@@ -1,8 +1,9 @@
 """Line dedup over overlapping windows of three lines (DataFrame functions only).
 
 Lines are what newlines separate. Each run of three consecutive lines is a window; of equal windows,
-in the order of (doc_id, line), all but the first are repeats. A line is removed if a repeat covers it.
-Texts of fewer than three lines have no window and stay as they are.
+in the order of (doc_id, text, line), all but the first are repeats. A line is removed if a repeat covers it.
+Texts of fewer than three lines have no window and stay as they are. A document is known by its doc_id and text, so that rows
+which share a doc_id but not the text are documents of their own; texts are ordered by `text_key`.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from orgweave.llm.shared import keep_columns, let, materialise
 LINES = 3
 
 
+def text_key(text: str = "text") -> Column:
+    return F.substring(F.md5(F.col(f"`{text}`").cast("binary")), 1, 16)
+
+
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, k1, k2): each window's first line (from 0) and its two 64-bit keys."""
+    """(doc_id, text_key, pos, k1, k2): each window's first line (from 0) and its two 64-bit keys."""
 
     def keys(lines: Column) -> Column:
         def pair(i: Column) -> Column:
@@ -27,34 +32,33 @@ def windows(docs: DataFrame) -> DataFrame:
         return F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), pair)).otherwise(none)
 
     split = keep_columns(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    out = split.select("doc_id", F.posexplode(let(F.split("text", "\n", -1), keys)).alias("pos", "k"))
-    return out.select("doc_id", "pos", "k.k1", "k.k2")
+    out = split.select("doc_id", text_key().alias("text_key"), F.posexplode(let(F.split("text", "\n", -1), keys)).alias("pos", "k"))
+    return out.select("doc_id", "text_key", "pos", "k.k1", "k.k2")
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the sorted, distinct numbers (from 0) of the lines that repeats cover; documents with any."""
+    """(doc_id, text_key, gone): the sorted, distinct numbers (from 0) of the lines that repeats cover; documents with any."""
     table = materialise(windows(docs), "line-windows")
-    first = (
-        table.groupBy("k1", "k2")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
-        .where("n > 1")
-        .select("k1", "k2", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    )
-    later = table.join(first, ["k1", "k2"]).where("doc_id > first_doc or pos > first_pos")
+    place = F.struct("doc_id", "text_key", "pos")
+    first = table.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("k1", "k2", "first")
+    # (written, so that the join has two plain exchanges and a very common window can be split)
+    first = materialise(first, "repeated-windows")
+    later = table.join(first, ["k1", "k2"]).where(place > F.col("first"))
     lines = F.expr(f"flatten(transform(collect_set(pos), p -> sequence(p, p + {LINES - 1})))")
-    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(lines)).alias("gone"))
+    return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(lines)).alias("gone"))
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """`docs` with the repeated lines taken out of `text`, plus n_lines and n_removed.
 
     Every row stays, a text whose lines all go becomes empty. Null texts stay null (0 lines); rows with a
-    null doc_id are neither compared nor changed; rows that share a doc_id are taken in line order as one another's copies
-    only if a line number differs. Other columns pass through, but for any called n_lines or n_removed, which are replaced.
+    null doc_id are neither compared nor changed. Rows with the same doc_id and text are one document given again, and all lose what
+    it loses; rows with the same doc_id and other texts are compared like any two documents. Other columns pass through, but for
+    any called n_lines or n_removed, which are replaced.
     """
-    gone = covered_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
+    gone = covered_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("gone").alias("_gone"))
     base = docs.drop("n_lines", "n_removed")
-    joined = base.join(gone, base["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
+    joined = base.join(gone, (base["doc_id"] == gone["_gone_id"]) & (text_key() == gone["_gone_key"]), "left").drop("_gone_id", "_gone_key")
     lines = F.split(F.col("text"), "\n", -1)
 
     def cut(x: Column) -> Column:
