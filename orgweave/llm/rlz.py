@@ -12,7 +12,7 @@ with a smaller doc_id. The parse that finds those windows without comparing docu
 4. Factor boundaries. A factor that is new as a whole but shares its anchor with another one
    may still agree with it over a part; only there each single window is looked up.
 
-Adjacent spans merge, which gives the maximal repeated stretches. Keys are two independent 64-bit hashes, 128 bits together.
+Adjacent spans merge, which gives the maximal repeated stretches. Keys are two sums of 64-bit hashes of the words: 64 bits a word, so two windows of other words are taken as equal only if words' hashes collide or both sums do.
 Every step is an aggregate or an equi-join on factor or window keys, linear in the input; long groups of copies collapse to one
 factor before anything else is done with them.
 """
@@ -110,35 +110,42 @@ def _factors(words: list[bytes]) -> tuple[np.ndarray, ...] | None:
     return gram[a], starts, counts, _mix(roll.first(starts, ends) + shape), _mix(roll.second(starts, ends) ^ shape)
 
 
-_FACTOR_SCHEMA = "doc_id long, g long, w0 int, nw int, s1 long, s2 long"
+_FACTOR_SCHEMA = "doc_id long, text_key long, g long, w0 int, nw int, s1 long, s2 long"
 
 
 def _emit_factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "g", "w0", "nw", "s1", "s2"]
+    names = ["doc_id", "text_key", "g", "w0", "nw", "s1", "s2"]
     for batch in batches:
         got: list[tuple] = []
         ids: list[np.ndarray] = []
+        text_keys: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             g, w0, nw, s1, s2 = (np.concatenate(x) for x in zip(*got, strict=True))
-            columns = [np.concatenate(ids), g.view(np.int64), w0.astype(np.int32), nw.astype(np.int32), s1.view(np.int64), s2.view(np.int64)]
+            columns = [np.concatenate(ids), np.concatenate(text_keys), g.view(np.int64), w0.astype(np.int32), nw.astype(np.int32), s1.view(np.int64), s2.view(np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if (f := _factors(words_of(text.as_py()))) is not None:
                 got.append(f)
                 ids.append(np.full(len(f[0]), doc, np.int64))
+                text_keys.append(np.full(len(f[0]), key, np.int64))
                 held += len(f[0])
                 if held > 200_000:
                     yield flush()
-                    got, ids, held = [], [], 0
+                    got, ids, text_keys, held = [], [], [], 0
         if got:
             yield flush()
 
 
+_TEXTS = "doc_id long, text_key long, text string"
+
+
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
+    """A row is known by its doc_id and a hash of its text."""
+    text = F.col("`text`").cast("string")
+    return docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
 
 def _only(members: MembershipFilter, column: int, wanted: bool = True):
@@ -155,49 +162,52 @@ def _only(members: MembershipFilter, column: int, wanted: bool = True):
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): word ranges, overlapping ones included, that an earlier document also has.
+    """(doc_id, text_key, lo, hi): word ranges, overlapping ones included, that a document of smaller doc_id also has.
 
-    Rows with a null doc_id are never compared; null and short texts have no windows. doc_id is taken to be a key:
-    rows with the same doc_id count as one document and don't remove each other's words.
+    Rows with a null doc_id are never compared; null and short texts have no windows. Rows with the same doc_id don't remove each
+    other's words; those of another text have spans of their own.
     """
     small_batches(docs.sparkSession)
     slim = _slim(docs).where("doc_id is not null")
     factors = materialise(slim.mapInArrow(_emit_factors, _FACTOR_SCHEMA), "factors")
     spread = factors.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g")
     repeated = MembershipFilter.build(materialise(spread, "anchors"), "g")
-    kept = materialise(factors.mapInArrow(_only(repeated, 1), _FACTOR_SCHEMA), "kept-factors")
+    kept = materialise(factors.mapInArrow(_only(repeated, 2), _FACTOR_SCHEMA), "kept-factors")
 
     known = kept.groupBy("s1", "s2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("g").alias("g"))
     known = materialise(known, "known-factors")
     variants = known.groupBy("g").agg(F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi")).where("lo < hi").select("g", F.col("lo").alias("g_first"))
+    # (written, here and below, so that a join has two plain exchanges and a very common anchor or factor can be split)
+    variants = materialise(variants, "variants")
     checked = known.join(variants, "g", "left").select("s1", "s2", "first_doc", "last_doc", F.col("g_first").isNotNull().alias("open"))
-    checked = checked.where("open or first_doc < last_doc")
-    seen = kept.join(checked, ["s1", "s2"]).select("doc_id", "w0", "nw", "first_doc", "open")
+    checked = materialise(checked.where("open or first_doc < last_doc"), "checked-factors")
+    seen = kept.join(checked, ["s1", "s2"]).select("doc_id", "text_key", "w0", "nw", "first_doc", "open")
     seen = materialise(seen, "seen-factors")
-    whole = seen.where("doc_id > first_doc").select("doc_id", F.col("w0").alias("lo"), F.expr(f"w0 + nw - 1 + {WINDOW}").alias("hi"))
+    whole = seen.where("doc_id > first_doc").select("doc_id", "text_key", F.col("w0").alias("lo"), F.expr(f"w0 + nw - 1 + {WINDOW}").alias("hi"))
 
-    asked = seen.where("doc_id = first_doc and open").groupBy("doc_id").agg(F.collect_list(F.struct("w0", "nw")).alias("asked"))
+    asked = seen.where("doc_id = first_doc and open").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("w0", "nw")).alias("asked"))
     asked = materialise(asked, "asked")
     members = MembershipFilter.build(asked.select("doc_id"), "doc_id")
-    texts = slim.mapInArrow(_only(members, 0), "doc_id long, text string")
-    windows = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_emit_windows, "doc_id long, pos int, k1 long, k2 long")
+    texts = slim.mapInArrow(_only(members, 0), _TEXTS)
+    windows = texts.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "asked").mapInArrow(_emit_windows, "doc_id long, text_key long, pos int, k1 long, k2 long")
     windows = materialise(windows, "windows")
     earlier = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("k1", "k2", "m")
-    single = windows.join(earlier, ["k1", "k2"]).where("doc_id > m").select("doc_id", F.col("pos").alias("lo"), F.expr(f"pos + {WINDOW}").alias("hi"))
+    earlier = materialise(earlier, "earlier-windows")
+    single = windows.join(earlier, ["k1", "k2"]).where("doc_id > m").select("doc_id", "text_key", F.col("pos").alias("lo"), F.expr(f"pos + {WINDOW}").alias("hi"))
     return whole.union(single)
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for doc, key, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             roll = _Rolling(words_of(text.as_py()))
             ranges = sorted((x["w0"], x["nw"]) for x in asked.as_py())
             pos = np.unique(np.concatenate([np.arange(w, w + k) for w, k in ranges]))
             pos = pos[pos + WINDOW <= roll.n]
             k1, k2 = _mix(roll.first(pos, pos + WINDOW)), _mix(roll.second(pos, pos + WINDOW))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(pos), doc, np.int64)), pa.array(pos.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
-                ["doc_id", "pos", "k1", "k2"],
+                [pa.array(np.full(len(pos), doc, np.int64)), pa.array(np.full(len(pos), key, np.int64)), pa.array(pos.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
+                ["doc_id", "text_key", "pos", "k1", "k2"],
             )
 
 
@@ -234,15 +244,16 @@ def _cutter(with_text: bool):
 def remove_duplicate_spans(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, kept_sha256 and, `with_text`, the kept words joined by one space.
 
-    Null or empty texts have no words and keep none (the hash of the empty string). A null doc_id keeps all its words.
+    Null or empty texts have no words and keep none (the hash of the empty string). A null doc_id keeps all its words. Rows with
+    the same doc_id and text are one document given again and lose the same words; with another text they are cut each for itself.
     Extra columns are ignored; an empty table gives no rows.
     """
-    merged = duplicate_spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    merged = duplicate_spans(docs).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     merged = materialise(merged, "spans")
     members = MembershipFilter.build(merged.select("doc_id"), "doc_id")
     run, schema = _cutter(with_text)
     slim = _slim(docs)
     # only documents that may have a span are shuffled to meet it
-    untouched = slim.mapInArrow(_only(members, 0, wanted=False), "doc_id long, text string").mapInArrow(run, schema)
-    maybe = slim.mapInArrow(_only(members, 0), "doc_id long, text string").join(merged, "doc_id", "left").select("doc_id", "text", "spans")
+    untouched = slim.mapInArrow(_only(members, 0, wanted=False), _TEXTS).select("doc_id", "text").mapInArrow(run, schema)
+    maybe = slim.mapInArrow(_only(members, 0), _TEXTS).join(merged, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
     return untouched.union(maybe.mapInArrow(run, schema))
