@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.llm.components import connected_components
@@ -53,15 +53,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. A null text counts as empty; rows stay as they come."""
+    """(doc_id, text_key, fp): a hash of the text, and its fingerprint as a signed long. A null text counts as empty; rows stay as they come."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    slim = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    return slim.mapInArrow(compute, "doc_id long, fp long")
+    slim = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("`text`").cast("string").alias("text"))
+    return slim.mapInArrow(compute, "doc_id long, text_key long, fp long")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("`text`").cast("string"), F.lit("")))
 
 
 def _adjacent_links(fps: DataFrame) -> DataFrame:
@@ -91,29 +95,41 @@ def _ball_links(groups: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, …): doc_id, fingerprint (16 hex digits), component_id.
-
-    component_id is the least doc_id reachable over links. Null or empty texts have fingerprint
-    zero and link like any other. A null doc_id keeps its row and is never chosen as a group's id unless the
-    group has no other. Extra columns are ignored; an empty table gives no rows.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, fp, first): each row's group by its first member, struct(no_id, doc_id, text_key); members without an id come last."""
     small_batches(docs.sparkSession)
     each = materialise(fingerprints(keep_columns(docs, "doc_id", "text")), "fingerprints")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    distinct = each.groupBy("fp").agg(F.min(member).alias("least"))
     distinct = materialise(distinct, "distinct-fps")
     first = connected_components(_adjacent_links(distinct))
     grouped = distinct.join(first, distinct.fp == first.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("grp"))
     grouped = materialise(grouped, "fp-groups")
     second = connected_components(_ball_links(grouped)).select(F.col("node").alias("grp"), F.col("component").alias("root"))
     final = grouped.join(second, "grp", "left").select("fp", "least", F.coalesce("root", "grp").alias("root"))
-    # the group's least doc_id, pre-aggregated by fingerprint already
-    ids = final.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = final.join(ids, "root").select("fp", "component_id")
-    return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # the group's first member, pre-aggregated by fingerprint already
+    ids = final.groupBy("root").agg(F.min("least").alias("first"))
+    ids = final.join(ids, "root").select("fp", "first")
+    return each.join(ids, "fp").select("doc_id", "text_key", "fp", "first")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, …): doc_id, fingerprint (16 hex digits), component_id.
+
+    component_id is the least doc_id reachable over links. Null or empty texts have fingerprint
+    zero and link like any other. A null doc_id keeps its row and is never chosen as a group's id unless the
+    group has no other. Rows that share a doc_id are fingerprinted each for itself. Extra columns are ignored; an empty table gives no rows.
+    """
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with only the row of least doc_id of each near-duplicate group, all columns kept."""
-    gone = near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """`docs` with only the document of least doc_id of each near-duplicate group, all columns kept.
+
+    Of documents with the same doc_id in a group the one whose text has the least hash stays; rows with the same doc_id and text are one document
+    given again, and stay or go together. Rows without a doc_id stay.
+    """
+    member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    gone = _grouped(docs).where(F.col("doc_id").isNotNull() & (member > F.col("first")))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (_text_key() == gone["gone_key"]), "left_anti")
