@@ -27,7 +27,7 @@ SIMILARITY = 0.8
 BLOCKS, BLOCK_BITS, BALL = 8, 8, 2
 #: BLOCKS * (BALL + 1) - 1: some block of two fingerprints no further apart than this differs in BALL bits or fewer.
 RADIUS = BLOCKS * (BALL + 1) - 1
-#: Rows of the items' tables up to which they are broadcast (some 40 bytes each).
+#: Rows (of some 40 bytes) or, in tables of arrays, array elements (of 8 bytes) of the items' tables up to which they are broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Distinct shingles of items up to which the documents' shingles are looked up in a literal table.
 LITERAL_ROWS = 200_000
@@ -60,8 +60,14 @@ def _literal(marks: DataFrame) -> Callable[[Column], Column]:
     return lambda h: F.array_contains(F.get(literal, F.pmod(h, F.lit(LITERAL_BUCKETS)).cast("int")), h)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text): a row is known by its doc_id and a hash of its text."""
+    slim = keep_columns(docs, "doc_id", "text").where("doc_id is not null and text is not null")
+    return slim.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
 def _hit_documents(docs: DataFrame, item_shingles: DataFrame) -> DataFrame:
-    """(doc_id, n, hashes, places array<struct(p, h)>): the documents in which an item's shingle starts, with the places of all such starts.
+    """(doc_id, text_key, n, hashes, places array<struct(p, h)>): the documents in which an item's shingle starts, with the places of all such starts.
 
     Up to `LITERAL_ROWS` distinct shingles of items are looked up within the row, in a literal hash table, so that no text is shuffled;
     more are joined.
@@ -77,11 +83,11 @@ def _hit_documents(docs: DataFrame, item_shingles: DataFrame) -> DataFrame:
 
         # (a filter on a projected column would be pushed below it and compute the hashes twice)
         rows = F.filter(F.array(let(shingled(F.col("text")), placed)), lambda x: F.size(x["places"]) > 0)
-        return docs.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
-    each = docs.select("doc_id", F.posexplode(let(shingled(F.col("text")), lambda x: x["hashes"])).alias("p", "h"))
-    places = each.join(_small(marks), "h").groupBy("doc_id").agg(F.collect_list(F.struct("p", "h")).alias("places"))
-    rows = docs.join(places, "doc_id").select("doc_id", shingled(F.col("text")).alias("x"), "places")
-    return rows.select("doc_id", "x.n", "x.hashes", "places")
+        return docs.select("doc_id", "text_key", F.explode(rows).alias("x")).select("doc_id", "text_key", "x.*")
+    each = docs.select("doc_id", "text_key", F.posexplode(let(shingled(F.col("text")), lambda x: x["hashes"])).alias("p", "h"))
+    places = each.join(_small(marks), "h").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "h")).alias("places"))
+    rows = docs.join(places, ["doc_id", "text_key"]).select("doc_id", "text_key", shingled(F.col("text")).alias("x"), "places")
+    return rows.select("doc_id", "text_key", "x.n", "x.hashes", "places")
 
 
 def _simhash(rows: DataFrame, keys: list[str], h: str) -> DataFrame:
@@ -101,9 +107,26 @@ def _blocks(sim: str) -> Column:
     return F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> named_struct('no', b, 'value', cast(shiftrightunsigned({sim}, b * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1} as int)))")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast only if its counted rows allow it; else joins shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, arrays: str | None = None) -> DataFrame:
+    """Marked for broadcast only if its counted rows, or the elements of its column `arrays`, allow it; else joins shuffle."""
+    size = df.count() if arrays is None else df.agg(F.coalesce(F.sum(F.size(arrays) + 5), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
+
+
+def _numbered(hashes: Column) -> Column:
+    """The hashes with each repeat replaced by a hash of it and its number, so that the intersection of two such arrays counts repeats. Linear but for the sort."""
+
+    def by_runs(x: Column) -> Column:
+        def spelt(starts: Column) -> Column:
+            def run(b: Column, j: Column) -> Column:
+                last = F.coalesce(F.get(starts, j + 1), F.size(x)) - 1
+                return F.transform(F.sequence(b, last), lambda i: F.when(i == b, F.get(x, b)).otherwise(F.xxhash64(F.get(x, b), i - b)))
+
+            return F.flatten(F.transform(starts, run))
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i - 1) != F.get(x, i))), spelt)
+
+    return F.when(F.size(hashes) == 0, hashes).otherwise(let(F.array_sort(hashes), by_runs))
 
 
 def _short_leaks(docs: DataFrame, short: DataFrame) -> DataFrame | None:
@@ -123,11 +146,11 @@ def _short_leaks(docs: DataFrame, short: DataFrame) -> DataFrame | None:
         each = F.concat(*[of_length(words, k) for k in lengths])
         return each if known is None else F.filter(each, lambda e: known(e["h"]))
 
-    each = docs.select("doc_id", F.explode(let(word_array(F.col("text")), windows)).alias("w")).select("doc_id", "w.*")
-    found = each.join(_small(short), ["len", "h"]).groupBy("doc_id", "item_id", "len").agg(F.min("p").alias("s"))
+    each = docs.select("doc_id", "text_key", F.explode(let(word_array(F.col("text")), windows)).alias("w")).select("doc_id", "text_key", "w.*")
+    found = each.join(_small(short), ["len", "h"]).groupBy("doc_id", "text_key", "item_id", "len").agg(F.min("p").alias("s"))
     # an id may have several texts; the main search keeps one row too, the first of its equals
-    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("s", "len")).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.s").cast("long").alias("window_start"), F.col("m.len").cast("long").alias("window_words"), F.lit(1.0).alias("similarity"))
+    best = found.groupBy("doc_id", "text_key", "item_id").agg(F.min(F.struct("s", "len")).alias("m"))
+    return best.select("doc_id", "text_key", "item_id", F.col("m.s").cast("long").alias("window_start"), F.col("m.len").cast("long").alias("window_words"), F.lit(1.0).alias("similarity"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) -> DataFrame:
@@ -135,14 +158,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) ->
 
     Null ids and texts without words are not compared; a document shorter than the item is one window. An item of fewer words than a
     shingle is one shingle of all its words, which only a document of just these words has; with `short_items`, as in the registered
-    query and the pipeline, it is found wherever these words follow each other. Rows with
-    the same doc_id are taken as one document's parts; items with the same item_id and text count once. Extra columns are ignored,
-    empty tables give no rows.
+    query and the pipeline, it is found wherever these words follow each other. Rows that share a doc_id
+    are searched each for itself, and the best of their windows is returned; items with the same item_id and text count once. Extra columns
+    are ignored, empty tables give no rows.
     """
+    fields = F.struct("similarity", (-F.col("window_start")).alias("order"), "window_words")
+    best = _text_leaks(docs, items, short_items).groupBy("doc_id", "item_id").agg(F.max(fields).alias("m"))
+    return best.select("doc_id", "item_id", (-F.col("m.order")).alias("window_start"), F.col("m.window_words").alias("window_words"), F.col("m.similarity").alias("similarity"))
+
+
+def _text_leaks(docs: DataFrame, items: DataFrame, short_items: bool) -> DataFrame:
+    """`find_leaks` with text_key beside doc_id: rows of one item may come twice, from its longer and its shorter text."""
     item_words = keep_columns(items, "item_id", "text").where("item_id is not null").distinct()
     item_words = item_words.select("item_id", shingled(F.col("text")).alias("x"))
     item_words = materialise(item_words.select("item_id", F.col("x.n").alias("len"), "x.hashes").where("len > 0"), "items")
-    slim = keep_columns(docs, "doc_id", "text").where("doc_id is not null and text is not null")
+    slim = _keyed(docs)
     short = None
     if short_items:
         short = _short_leaks(slim, item_words.where(f"len < {SHINGLE}").select("item_id", "len", F.col("hashes")[0].alias("h")))
@@ -152,49 +182,44 @@ def find_leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) ->
     # 1. places where an item's shingle starts, in the documents that have any
     hit = materialise(_hit_documents(slim, item_shingles), "hit-documents")
     lengths = item_shingles.groupBy("h").agg(F.collect_set("len").alias("lens"))
-    places = hit.select("doc_id", "n", F.explode("places").alias("x")).select("doc_id", "n", "x.p", "x.h").join(_small(lengths), "h")
-    starts = places.select("doc_id", "n", "p", F.explode("lens").alias("len")).select("doc_id", "len", F.expr("greatest(0, least(p, n - len))").alias("s")).distinct()
-    wanted = starts.groupBy("doc_id").agg(F.collect_list(F.struct("len", "s")).alias("wanted"))
+    places = hit.select("doc_id", "text_key", "n", F.explode("places").alias("x")).select("doc_id", "text_key", "n", "x.p", "x.h").join(_small(lengths), "h")
+    starts = places.select("doc_id", "text_key", "n", "p", F.explode("lens").alias("len")).select("doc_id", "text_key", "len", F.expr("greatest(0, least(p, n - len))").alias("s")).distinct()
+    wanted = starts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("len", "s")).alias("wanted"))
 
     def cut(w: Column) -> Column:
         part = F.slice("hashes", w["s"] + 1, F.greatest(F.lit(1), w["len"] - (SHINGLE - 1)))
         return F.struct(w["len"].alias("len"), w["s"].alias("s"), part.alias("hashes"), F.least(w["len"], F.col("n") - w["s"]).alias("words"))
 
-    window = hit.join(wanted, "doc_id").select("doc_id", F.explode(F.transform("wanted", cut)).alias("w"))
-    window = materialise(window.select("doc_id", "w.*"), "leak-windows")
+    window = hit.dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode(F.transform("wanted", cut)).alias("w"))
+    window = materialise(window.select("doc_id", "text_key", "w.*"), "leak-windows")
 
     # 2. fingerprints and blocks
-    window_sims = _simhash(window.select("doc_id", "len", "s", F.explode("hashes").alias("h")), ["doc_id", "len", "s"], "h")
+    window_sims = _simhash(window.select("doc_id", "text_key", "len", "s", F.explode("hashes").alias("h")), ["doc_id", "text_key", "len", "s"], "h")
     item_sims = _simhash(item_shingles, ["item_id", "len"], "h")
     near = F.array(*[F.lit(v) for v in _ball()])
     table = item_sims.select("item_id", "len", F.col("sim").alias("item_sim"), F.explode(_blocks("sim")).alias("b"))
     table = table.select("item_id", "len", "item_sim", "b.no", F.explode(F.transform(near, lambda v: v.bitwiseXOR(F.col("b.value")))).alias("value"))
-    probes = window_sims.select("doc_id", "len", "s", "sim", F.explode(_blocks("sim")).alias("b")).select("doc_id", "len", "s", "sim", "b.no", "b.value")
+    probes = window_sims.select("doc_id", "text_key", "len", "s", "sim", F.explode(_blocks("sim")).alias("b")).select("doc_id", "text_key", "len", "s", "sim", "b.no", "b.value")
     found = probes.join(_small(table), ["len", "no", "value"]).where(f"bit_count(sim ^ item_sim) <= {RADIUS}")
-    found = found.select("doc_id", "len", "s", "item_id").distinct()
+    found = found.select("doc_id", "text_key", "len", "s", "item_id").distinct()
 
     # 3. exact weighted shingles: sum of the smaller over sum of the larger counts
-    candidates = found.join(window, ["doc_id", "len", "s"]).join(_small(item_words.select("item_id", F.col("hashes").alias("item_hashes"))), "item_id")
-    counts = "aggregate(array_distinct({0}), 0L, (a, h) -> a + least(size(filter(hashes, x -> x = h)), size(filter(item_hashes, x -> x = h))))"
-    both = candidates.withColumn("both", F.expr(counts.format("array_intersect(hashes, item_hashes)")))
+    candidates = found.join(window, ["doc_id", "text_key", "len", "s"]).join(_small(item_words.select("item_id", F.col("hashes").alias("item_hashes")), "item_hashes"), "item_id")
+    both = candidates.withColumn("both", F.size(F.array_intersect(_numbered(F.col("hashes")), _numbered(F.col("item_hashes")))))
     scored = both.withColumn("similarity", F.expr("both / cast(size(hashes) + size(item_hashes) - both as double)")).where(F.col("similarity") >= SIMILARITY)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("s")).alias("order"), F.col("words"))).alias("m"))
+    best = scored.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("s")).alias("order"), F.col("words"))).alias("m"))
     out = best.select(
         "doc_id",
+        "text_key",
         "item_id",
         (-F.col("m.order")).cast("long").alias("window_start"),
         F.col("m.words").cast("long").alias("window_words"),
         F.round("m.similarity", 6).alias("similarity"),
     )
-    if short is None:
-        return out
-    # an id with a short and a longer text has one row as well
-    fields = F.struct("similarity", (-F.col("window_start")).alias("order"), "window_words")
-    out = out.unionByName(short).groupBy("doc_id", "item_id").agg(F.max(fields).alias("m"))
-    return out.select("doc_id", "item_id", (-F.col("m.order")).alias("window_start"), F.col("m.window_words").alias("window_words"), F.col("m.similarity").alias("similarity"))
+    return out if short is None else out.unionByName(short)
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, short_items: bool = False) -> DataFrame:
-    """`docs` without the documents that leak an item; all columns kept."""
-    bad = find_leaks(docs, items, short_items).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leak_id"], "left_anti")
+    """`docs` without the rows whose text leaks an item; all columns kept. Rows without a doc_id or a text stay."""
+    bad = _text_leaks(docs, items, short_items).select(F.col("doc_id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct()
+    return docs.join(bad, (docs["doc_id"] == bad["_leak_id"]) & (F.xxhash64(docs["text"]) == bad["_leak_key"]), "left_anti")
