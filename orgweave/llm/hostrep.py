@@ -5,6 +5,9 @@ shrunk to that of the level above through a beta-binomial prior:
 
     corpus → suffix → registered domain → host
 
+The suffix is the last label of a host, or the last two where they are a public suffix of two labels (`TWO_LABEL_SUFFIXES`, a parameter); the registered domain
+has one label more. A port doesn't count. An IP address is its own domain, under a suffix that all addresses share.
+
 The prior's strength (its pseudo-count) is fitted at each level by the method of moments from the spread of its children's rates. A host
 is blocked if even the lower posterior bound of its bad rate exceeds `BLOCK_ABOVE`: mean - Z * sd of its beta posterior.
 Explicit rules on host and path go first; the longest that fits wins. Hosts without a labelled page inherit
@@ -13,16 +16,23 @@ their domain's, suffix's or the corpus' rate with that prior's own uncertainty.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgweave.llm.shared import materialise
+
 BLOCK_ABOVE = 0.25
 Z = 1.645
 #: Bounds of a fitted prior's pseudo-count.
 STRENGTH_MIN, STRENGTH_MAX = 2.0, 200.0
 ROUND = 9
+#: Second-level labels under which country registries sell names, and the countries that do so for most of them.
+_SECOND, _COUNTRIES = ("ac", "co", "com", "edu", "gov", "net", "or", "org"), ("ar", "au", "br", "cn", "id", "il", "in", "jp", "ke", "kr", "mx", "my", "nz", "sg", "th", "tr", "tw", "uk", "za")
+TWO_LABEL_SUFFIXES = tuple(f"{a}.{b}" for a in _SECOND for b in _COUNTRIES)
+ADDRESSES = "(address)"
 
 
 @dataclass(frozen=True)
@@ -49,8 +59,15 @@ def url_path(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(u, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _tail(host: str, labels: int) -> str:
-    return f"substring_index({host}, '.', -{labels})"
+def with_domain(hosts: DataFrame, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """`hosts` (host, …) plus domain and suffix."""
+    bare = F.regexp_replace("host", ":[0-9]*$", "")
+    address = bare.rlike(r"^([0-9]{1,3}[.]){3}[0-9]{1,3}$|^\[")
+    last = F.substring_index(bare, ".", -2)
+    two = last.isin(*two_label)
+    domain = F.when(address, bare).when(two, F.substring_index(bare, ".", -3)).otherwise(last)
+    suffix = F.when(address, ADDRESSES).when(two, last).otherwise(F.substring_index(bare, ".", -1))
+    return hosts.withColumns({"domain": domain, "suffix": suffix})
 
 
 def fitting_rule(rules: list[Rule], host: str = "host", path: str = "path") -> Column:
@@ -80,12 +97,13 @@ def _strength(children: DataFrame, child_rate: str, by: list[str]) -> DataFrame:
 def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     """outcomes: (host, bad 0/1) per labelled page; hosts: (host), distinct → host, alpha, beta, mean, low, high of its bad rate.
 
-    Rows with a null host or bad are not counted. Without any outcome the corpus rate is taken as 0. Each rate is rounded to nine
+    Rows with a null host or bad are not counted; bad is null where a label leaves it open, not where one of two known faults suffices. Without any outcome the corpus rate is taken as 0. Each rate is rounded to nine
     places, so results don't depend on the order of sums.
     """
     per_host = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("k"))
-    per_host = per_host.withColumn("domain", F.expr(_tail("host", 2))).withColumn("suffix", F.expr(_tail("host", 1)))
-    per_domain = per_host.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    # (each level is read by several of those below)
+    per_host = materialise(with_domain(per_host), "host-outcomes")
+    per_domain = materialise(per_host.groupBy("domain").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("k").alias("k")), "domain-outcomes")
     per_suffix = per_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     top = per_suffix.agg(F.expr(f"round(coalesce(sum(k) / nullif(sum(n), 0), 0), {ROUND})").alias("m0"))
 
@@ -93,17 +111,19 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     suffix = per_suffix.crossJoin(F.broadcast(top))
     s0 = _strength(suffix.withColumn("one", F.lit(1)), "m0", ["one"]).select(F.col("strength").alias("s0"))
     suffix = suffix.crossJoin(F.broadcast(s0)).select("suffix", F.expr(f"round((k + s0 * m0) / (n + s0), {ROUND})").alias("m_suffix"))
+    suffix = materialise(suffix, "suffix-rates")
 
     domain = per_domain.join(suffix, "suffix")
     s1 = _strength(domain, "m_suffix", ["suffix"]).select("suffix", F.col("strength").alias("s_suffix"))
-    suffix = suffix.join(s1, "suffix")
-    domain = domain.join(s1, "suffix").select("domain", F.expr(f"round((k + s_suffix * m_suffix) / (n + s_suffix), {ROUND})").alias("m_domain"))
+    suffix = materialise(suffix.join(s1, "suffix"), "suffix-priors")
+    domain = domain.join(suffix.select("suffix", "s_suffix"), "suffix").select("domain", F.expr(f"round((k + s_suffix * m_suffix) / (n + s_suffix), {ROUND})").alias("m_domain"))
+    domain = materialise(domain, "domain-rates")
 
     known = per_host.join(domain, "domain")
     s2 = _strength(known, "m_domain", ["domain"]).select("domain", F.col("strength").alias("s_domain"))
     domain = domain.join(s2, "domain")
 
-    all_hosts = hosts.select("host").distinct().withColumn("domain", F.expr(_tail("host", 2))).withColumn("suffix", F.expr(_tail("host", 1)))
+    all_hosts = with_domain(hosts.select("host").distinct())
     joined = all_hosts.join(per_host.select("host", "n", "k"), "host", "left").join(domain, "domain", "left").join(suffix, "suffix", "left").crossJoin(F.broadcast(top))
     mean, strength = "coalesce(m_domain, m_suffix, m0)", f"coalesce(s_domain, s_suffix, {STRENGTH_MIN})"
     beta = joined.select("host", F.expr(f"coalesce(k, 0) + {strength} * {mean}").alias("alpha"), F.expr(f"coalesce(n, 0) - coalesce(k, 0) + {strength} * (1 - {mean})").alias("beta"))

@@ -30,10 +30,9 @@ def _vocabulary() -> Vocabulary:
     return Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def encode_and_decode(docs: DataFrame, dictionary_words: int = bpe.DICTIONARY_WORDS) -> DataFrame:
-    """dictionary_words: a bound of the driver's memory, which does not change the rows."""
+def encode_and_decode(docs: DataFrame) -> DataFrame:
     vocabulary = _vocabulary()
-    return bpe.decode(bpe.encode(docs, vocabulary, dictionary_words), vocabulary, with_bytes=False)
+    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary, with_bytes=False)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +63,14 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     # a page shows the document whose number its path ends in
     shown = pages.select("url", F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint)").alias("doc_id"))
+    # (one known fault is enough, whatever the other label; without one both must be known)
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.expr("cast(toxic = 1 or quality = 0 as int)").alias("bad"))
     return hostrep.judge_urls(pages, shown.join(labels, "doc_id").select("url", "bad"), URL_RULES)
 
 
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+_SUFFIXES = ", ".join(f"'{s}'" for s in hostrep.TWO_LABEL_SUFFIXES)
 OP6_SQL = f"""
 with cut as (
   select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
@@ -93,9 +94,13 @@ p as (
   select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
 q as (select page_id, coalesce(host, '') as host, coalesce(path, '') as path, try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint) as doc_id from p),
-o as (select host, cast(toxic = 1 or quality = 0 as int) as bad from q join labels using (doc_id) where host <> '' and toxic is not null and quality is not null),
-h as (select host, cast(count(*) as double) as n, cast(sum(bad) as double) as k, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain,
-             list_extract(string_split(host, '.'), -1) as suffix from o group by host),
+o as (select host, cast(toxic = 1 or quality = 0 as int) as bad from q join labels using (doc_id) where host <> '' and (toxic = 1 or quality = 0) is not null),
+bare as (select distinct host, regexp_replace(host, ':[0-9]*$', '') as b from q),
+cuts as (select host, b, regexp_matches(b, '^([0-9]{{1,3}}[.]){{3}}[0-9]{{1,3}}$|^\\[') as address, array_to_string(list_slice(string_split(b, '.'), -2, -1), '.') as two,
+                array_to_string(list_slice(string_split(b, '.'), -3, -1), '.') as three, list_extract(string_split(b, '.'), -1) as one from bare),
+names as (select host, case when address then b when two in ({_SUFFIXES}) then three else two end as domain,
+                 case when address then '{hostrep.ADDRESSES}' when two in ({_SUFFIXES}) then two else one end as suffix from cuts),
+h as (select host, any_value(domain) as domain, any_value(suffix) as suffix, cast(count(*) as double) as n, cast(sum(bad) as double) as k from o join names using (host) group by host),
 d as (select domain, any_value(suffix) as suffix, sum(n) as n, sum(k) as k from h group by domain),
 s as (select suffix, sum(n) as n, sum(k) as k from d group by suffix),
 t as (select round(coalesce(sum(k) / nullif(sum(n), 0), 0), 9) as m0 from s),
@@ -113,9 +118,7 @@ v2 as (select domain, greatest((sum(n * (k / n - m) * (k / n - m)) - (count(*) -
               count(*) as c, any_value(m) as m from hj group by domain),
 d2 as (select domain, m, round(least(greatest(case when c < 2 or v <= 0 or v is null then 200.0 else m * (1 - m) / v - 1 end, 2.0), 200.0), 9) as strength from v2),
 x as (select a.host, coalesce(h.n, 0) as n, coalesce(h.k, 0) as k, coalesce(d2.m, s2.m, t.m0) as mean, coalesce(d2.strength, s2.strength, 2.0) as strength
-      from (select distinct host from q) a left join h using (host)
-      left join d2 on d2.domain = array_to_string(list_slice(string_split(a.host, '.'), -2, -1), '.')
-      left join s2 on s2.suffix = list_extract(string_split(a.host, '.'), -1), t),
+      from names a left join h using (host) left join d2 on d2.domain = a.domain left join s2 on s2.suffix = a.suffix, t),
 b as (select host, k + strength * mean as al, n - k + strength * (1 - mean) as be from x),
 r as (select host, round(greatest(al / (al + be) - 1.645 * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1))), 0), 6) as low from b),
 rules(rh, rp, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
@@ -126,27 +129,30 @@ from q join r using (host) left join fit using (page_id)
 """
 
 OP7_SQL = """
-with l as (select doc_id, string_split(text, chr(10)) as lines from documents),
-w as (select doc_id, i as pos, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] as key from l, unnest(generate_series(1, len(lines) - 2)) as u(i) where doc_id is not null),
-r as (select doc_id, pos, row_number() over (partition by key order by doc_id, pos) as n from w),
-g as (select distinct doc_id, pos + j as line from r, unnest([0, 1, 2]) as u(j) where n > 1),
-x as (select l.doc_id, i, lines[i] as line from l, unnest(generate_series(1, len(lines))) as u(i)),
-k as (select x.doc_id, string_agg(x.line, chr(10) order by i) as kept from x left join g on g.doc_id = x.doc_id and g.line = x.i where g.line is null group by x.doc_id),
-c as (select doc_id, count(*) as n from g group by doc_id)
-select l.doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, cast(coalesce(c.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
-from l left join c using (doc_id) left join k using (doc_id)
+with rows as (select doc_id, text, substr(md5(text), 1, 16) as t, string_split(text, chr(10)) as lines from documents),
+l as (select distinct doc_id, t, lines from rows where doc_id is not null and text is not null),
+w as (select doc_id, t, i as pos, lines[i] || chr(10) || lines[i + 1] || chr(10) || lines[i + 2] as key from l, unnest(generate_series(1, len(lines) - 2)) as u(i)),
+r as (select doc_id, t, pos, row_number() over (partition by key order by doc_id, t, pos) as n from w),
+g as (select distinct doc_id, t, pos + j as line from r, unnest([0, 1, 2]) as u(j) where n > 1),
+x as (select doc_id, t, i, lines[i] as line from l, unnest(generate_series(1, len(lines))) as u(i)),
+k as (select x.doc_id, x.t, string_agg(x.line, chr(10) order by i) as kept from x left join g on g.doc_id = x.doc_id and g.t = x.t and g.line = x.i where g.line is null group by x.doc_id, x.t),
+c as (select doc_id, t, count(*) as n from g group by doc_id, t)
+select rows.doc_id, cast(coalesce(len(rows.lines), 0) as bigint) as n_lines, cast(coalesce(c.n, 0) as bigint) as n_removed,
+       sha256(coalesce(case when c.n is null then rows.text else k.kept end, '')) as kept_sha256
+from rows left join c on c.doc_id = rows.doc_id and c.t = rows.t left join k on k.doc_id = rows.doc_id and k.t = rows.t
 """
 
 OP8_SQL = """
-with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
-w as (select doc_id, i as pos, md5(array_to_string(list_slice(words, i, i + 49), ' ')) as key from d, unnest(generate_series(1, len(words) - 49)) as u(i)),
+with rows as (select doc_id, md5(coalesce(text, '')) as t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
+d as (select distinct doc_id, t, words from rows),
+w as (select doc_id, t, i as pos, md5(array_to_string(list_slice(words, i, i + 49), ' ')) as key from d, unnest(generate_series(1, len(words) - 49)) as u(i)),
 m as (select key, min(doc_id) as first_doc from w group by key),
-g as (select distinct doc_id, pos + j as word from w join m using (key), unnest(generate_series(0, 49)) as u(j) where doc_id > first_doc),
-x as (select d.doc_id, i, words[i] as word from d, unnest(generate_series(1, len(words))) as u(i)),
-k as (select x.doc_id, string_agg(x.word, ' ' order by i) as kept from x left join g on g.doc_id = x.doc_id and g.word = x.i where g.word is null group by x.doc_id),
-c as (select doc_id, count(*) as n from g group by doc_id)
-select d.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(c.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
-from d left join c using (doc_id) left join k using (doc_id)
+g as (select distinct doc_id, t, pos + j as word from w join m using (key), unnest(generate_series(0, 49)) as u(j) where doc_id > first_doc),
+x as (select doc_id, t, i, words[i] as word from d, unnest(generate_series(1, len(words))) as u(i)),
+k as (select x.doc_id, x.t, string_agg(x.word, ' ' order by i) as kept from x left join g on g.doc_id is not distinct from x.doc_id and g.t = x.t and g.word = x.i where g.word is null group by x.doc_id, x.t),
+c as (select doc_id, t, count(*) as n from g group by doc_id, t)
+select rows.doc_id, cast(len(rows.words) as bigint) as n_words, cast(coalesce(c.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from rows left join c on c.doc_id = rows.doc_id and c.t = rows.t left join k on k.doc_id is not distinct from rows.doc_id and k.t = rows.t
 """
 
 
