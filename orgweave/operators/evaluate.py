@@ -29,6 +29,18 @@ def score_labels(df: DataFrame, gold: str = "label", predicted: str = "pred_labe
     return score_rows(df.withColumn("_g", registry_ids(F.col(gold))).withColumn("_p", registry_ids(F.col(predicted))), "_g", "_p").drop("_g", "_p")
 
 
+def join_predictions(gold: DataFrame, predictions: DataFrame, on: str, gold_ids: str = "gold", predicted_ids: str = "predicted") -> DataFrame:
+    """Rows of `gold` with the predictions of the same key, scored as by `score_rows`. A row without a prediction counts as predicted nothing; predictions
+    without a gold row are not scored; of repeated predictions of a key all ids count."""
+    found = predictions.where(F.col(on).isNotNull()).groupBy(on).agg(F.flatten(F.collect_list(F.coalesce(predicted_ids, F.array().cast("array<string>")))).alias(predicted_ids))
+    return score_rows(gold.drop(predicted_ids).join(found, on, "left"), gold_ids, predicted_ids)
+
+
+def stage_means(times: DataFrame) -> DataFrame:
+    """(stage, seconds) of each run → (stage, runs, seconds): the mean time of each stage."""
+    return times.groupBy("stage").agg(F.count("*").alias("runs"), F.avg("seconds").alias("seconds"))
+
+
 def summarise(scored: DataFrame, *by: str) -> DataFrame:
     """Macro means of p, r and f1, with the number of rows."""
     return scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("r").alias("r"), F.avg("f1").alias("f1"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave import schemas
+from orgweave.adapters import release
 from orgweave.functions import language as lang
 from orgweave.operators import evaluate, geocode, linking, orgtype, output, spans
 from orgweave.plans.config import PipelineConfig
@@ -46,6 +48,27 @@ class Engine:
     countries: DataFrame | None = None
     polygons: DataFrame | None = None
     org_types: Provider | None = None
+    #: (stage, seconds) of each stage that has run, for `evaluate.stage_means`.
+    times: list[tuple[str, float]] = field(default_factory=list)
+
+    def _settled(self, df: DataFrame, stage: str) -> DataFrame:
+        """A stage, written; how long that took is noted."""
+        began = time.perf_counter()
+        out = materialise(df, stage)
+        self.times.append((stage, time.perf_counter() - began))
+        return out
+
+    def stage_times(self) -> DataFrame:
+        """(stage, runs, seconds): the mean time of each stage so far."""
+        return evaluate.stage_means(self.spark.createDataFrame(self.times, "stage string, seconds double"))
+
+    def close(self) -> None:
+        """Let go of models that providers hold in this process, and of providers that can be closed."""
+        release()
+        for provider in (self.ner, self.span_model, self.language_model, self.translator, self.encoder, self.reranker, self.judge, self.geocoder, self.org_types):
+            close = getattr(provider, "close", None)
+            if close is not None:
+                close()
 
     def __post_init__(self) -> None:
         wanted = {"span_strategy model": (self.config.span_strategy == "model", self.span_model), "enable_translation": (self.config.enable_translation, self.translator), "enable_org_types": (self.config.enable_org_types, self.org_types), "llm_judge": (self.config.link.llm_judge, self.judge)}
@@ -89,16 +112,16 @@ class Engine:
         """All stages, one row per span, before the public shape."""
         c, keys = self.config, ["source_index", "span_index"]
         # several branches read each stage, so it is settled before they part
-        base = materialise(self.get_translation(self.get_language(self.get_spans(inputs))), "spans")
-        mentions = materialise(self.get_ner(base), "mentions")
+        base = self._settled(self.get_translation(self.get_language(self.get_spans(inputs))), "spans")
+        mentions = self._settled(self.get_ner(base), "mentions")
         out = base.join(spans.group_by_label(mentions), keys, "left").join(output.score_lookup(mentions), keys, "left")
         links = None
         if c.enable_entity_linking and self.registry is not None:
-            links = materialise(self.get_links(mentions), "links")
+            links = self._settled(self.get_links(mentions), "links")
             if c.enable_org_types:
                 each = links.select(F.explode("institutions").alias("i")).select(F.coalesce("i.id.ror_name", "i.query").alias("name"), "i.id.ror_country")
                 links = orgtype.add_types(links, orgtype.classify(each.withColumnRenamed("ror_country", "country"), self.org_types))
-                links = materialise(links, "typed-links")
+                links = self._settled(links, "typed-links")
             out = out.join(links, keys, "left")
         else:
             out = out.withColumn("institutions", F.expr(_EMPTY_LINKS)).withColumn("subunits", F.expr(_EMPTY_LINKS))

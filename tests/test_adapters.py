@@ -99,3 +99,61 @@ def test_model_provider_on_any_rows(spark, n):
     out = adapters.model_provider("m", object, lambda model, rows: {"size": [0] * len(rows)}, "size int")(df)
     assert out.columns == ["i", "text", "size"] and out.count() == n
     assert out.agg(F.sum("size")).first()[0] in (0, None)
+
+
+def shapefile(records, prj):
+    """Bytes of .shp and .dbf: records are (id, name, level, rings)."""
+    import struct
+
+    shp, dbf = b"\0" * 100, b""
+    for no, (_, _, _, rings) in enumerate(records, 1):
+        points = [p for r in rings for p in r]
+        starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
+        body = struct.pack("<i4d2i", 5, 0, 0, 1, 1, len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        body = body if rings else struct.pack("<i", 0)
+        shp += struct.pack(">2i", no, len(body) // 2) + body
+    fields = [("NUTS_ID", 5), ("LEVL_CODE", 2), ("NUTS_NAME", 12)]
+    for name, size in fields:
+        dbf += name.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([size]) + b"\0" * 15
+    rows = b"".join(b" " + i.encode().ljust(5) + str(level).encode().ljust(2) + name.encode().ljust(12) for i, name, level, _ in records)
+    head = struct.pack("<B3BIHH", 3, 0, 0, 0, len(records), 32 + len(dbf) + 1, 20) + b"\0" * 20
+    return shp, head + dbf + b"\x0d" + rows, prj
+
+
+def test_shapefile_in_degrees_and_on_the_grid(spark, tmp_path):
+    from orgweave.sources import shapes
+
+    assert np.allclose(shapes.from_european_grid(np.array([[4321000.0, 3210000.0], [3962799.45, 2999718.85]])), [[10, 52], [5, 50]], atol=1e-6)
+    assert np.allclose(shapes.from_web_map(np.array([[0.0, 0.0], [1113194.9079327357, 6446275.841017158]])), [[0, 0], [10, 50]], atol=1e-9)
+    square = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0), (0.0, 0.0)]
+    hole = [(0.5, 0.5), (1.0, 0.5), (1.0, 1.0), (0.5, 0.5)]
+    shp, dbf, _ = shapefile([("AA", "Ångland", 0, [square, hole]), ("BB1", "none", 1, [])], "")
+    folder = tmp_path / "data"
+    folder.mkdir()
+    assert shapes.find_shapes(spark, str(tmp_path)) is None
+    (folder / "x.shp").write_bytes(shp)
+    (folder / "x.dbf").write_bytes(dbf)
+    rows = shapes.nuts_from_shapefile(spark, shapes.find_shapes(spark, str(tmp_path))).collect()
+    assert [(r.nuts_id, r.name, r.level) for r in rows] == [("AA", "Ångland", 0)]
+    assert [[(p.x, p.y) for p in ring] for ring in rows[0].rings] == [square, hole]
+    grid = [(3962799.45, 2999718.85), (4321000.0, 3210000.0), (4321000.0, 2999718.85), (3962799.45, 2999718.85)]
+    shp, dbf, prj = shapefile([("CC", "Grid", 3, [grid])], 'PROJCS["ETRS89_LAEA_Europe"]')
+    nearer = tmp_path / "cache" / "nuts"
+    nearer.mkdir(parents=True)
+    for end, content in (("shp", shp), ("dbf", dbf), ("prj", prj.encode())):
+        (nearer / f"y.{end}").write_bytes(content)
+    at = shapes.find_shapes(spark, str(tmp_path))
+    assert at.endswith("cache/nuts/y.shp")
+    ring = shapes.nuts_from_shapefile(spark, at).first().rings[0]
+    assert np.allclose([(p.x, p.y) for p in ring[:2]], [(5, 50), (10, 52)], atol=1e-6)
+    with pytest.raises(ValueError):
+        shapes.to_degrees('PROJCS["Transverse_Mercator"]')
+
+
+def test_predictions_join_gold(spark):
+    from orgweave.operators import evaluate
+
+    gold = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, [])], "i int, gold array<string>")
+    predicted = spark.createDataFrame([(1, ["a"]), (1, ["c"]), (4, ["a"]), (None, ["x"])], "i int, predicted array<string>")
+    got = {r.i: (r.p, r.r) for r in evaluate.join_predictions(gold, predicted, "i").collect()}
+    assert got == {1: (0.5, 0.5), 2: (0.0, 0.0), 3: (0.0, 1.0)}
