@@ -38,9 +38,10 @@ def null_to_empty(column: str | Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once per row.
 
-    A column that a lambda refers to may be inlined there by the optimiser and then be computed for every element.
+    A column that a lambda refers to may be inlined there by the optimiser and then be computed for every element. (An aggregate over no elements hands
+    its start value to its last lambda as it is, where a transform of a one-element array would copy what comes out.)
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 class MembershipFilter:

@@ -52,11 +52,13 @@ def test_both_engines_split_alike():
         assert split(text) == slow(text)
 
 
-def test_bpe_equals_tiktoken(spark):
-    texts = [*ODD_TEXTS, *[r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]]
-    for most in (bpe.DICTIONARY_WORDS, 20):  # from the dictionary, and mostly folded with the document
-        coded = bpe.encode(table(spark, texts).repartition(3), VOCABULARY, most)
-        got = {r.doc_id: r for r in bpe.decode(coded, VOCABULARY).collect()}
+def test_bpe_equals_tiktoken(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [*ODD_TEXTS, *[r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()], "banana bananana ananas"]
+    texts += ["".join(r.choice("abcdeinorst an=é漢") for _ in range(r.randint(0, 300))) for _ in range(100)] + [texts[5], texts[5]]
+    for chars in (bpe.CHUNK_CHARS, 500):  # one chunk in a task, and many
+        monkeypatch.setattr(bpe, "CHUNK_CHARS", chars)
+        got = {r.doc_id: r for r in bpe.decode(bpe.encode(table(spark, texts).repartition(3), VOCABULARY), VOCABULARY).collect()}
         assert len(got) == len(texts)
         for i, t in enumerate(texts):
             ids = REFERENCE.encode_ordinary(t or "")
@@ -65,6 +67,27 @@ def test_bpe_equals_tiktoken(spark):
             assert bytes(got[i].decoded) == (t or "").encode()
 
 
+def test_bpe_of_very_long_words_and_rows_without_an_id(spark):
+    r = random.Random(10)
+    texts = ["a" * 200_000, "=-" * 20_000, "".join(r.choice("etaoinshrdlu") for _ in range(3000)), " " * 9000, "again", "again"]
+    got = bpe.decode(bpe.encode(table(spark, texts, [1, 2, 3, None, None, 3]), VOCABULARY), VOCABULARY).collect()
+    want = sorted((merge_word_ids(t), hashlib.sha256(t.encode()).hexdigest()) for t in texts)
+    assert sorted((row.n_tokens, row.decoded_sha256) for row in got) == want
+    assert sorted((row.doc_id or 0) for row in got) == [0, 0, 1, 2, 3, 3]
+
+
+def merge_word_ids(text):
+    return sum(len(merge_word(w.encode(), VOCABULARY.ranks())) for w in word_splitter()(text))
+
+
+def test_bpe_of_pieces_looked_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 7)
+    texts = ["one two three four five six seven eight nine ten eleven", "one two three four five six seven", None]
+    for row in bpe.decode(bpe.encode(table(spark, texts), VOCABULARY), VOCABULARY).collect():
+        ids = REFERENCE.encode_ordinary(texts[row.doc_id] or "")
+        assert (row.n_tokens, row.ids_sha256, bytes(row.decoded)) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), (texts[row.doc_id] or "").encode())
+
+
 def test_bpe_of_no_rows(spark):
     assert bpe.decode(bpe.encode(table(spark, ["x"]).where("false"), VOCABULARY), VOCABULARY).count() == 0
 
