@@ -2,8 +2,10 @@
 
 Documents are encoded, closed by a separator and cut into sequences of `SEQUENCE` tokens. Sequences are numbered 0..N-1 by the files they are first
 written to; a keyed Feistel permutation of that range, walking cycles until the value falls below N, gives each its global slot. A range
-of `PER_SHARD` slots is a shard: records of one fixed length in slot order, so any slot's shard and byte offset follow by division, and a
-reader resumes anywhere without an index.
+of `PER_SHARD` slots is a shard: records of one fixed length in slot order, so any slot's shard and its place in the shard's payload follow by division, and a
+reader resumes anywhere without an index. A task writes a range of shards, so files follow each other in slot order too.
+
+The permutation is of sequence numbers; which sequence has a number depends on how the input is split. A table once written keeps its order.
 
 Record: doc_id int64, sequence number int32, tokens used int32, then `SEQUENCE` ids of 16 bits, filled up with separators; little-endian.
 """
@@ -104,8 +106,8 @@ def with_slots(staged: DataFrame, key: int) -> DataFrame:
     return numbered.mapInArrow(run, numbered.schema)
 
 
-def shard_table(slotted: DataFrame, sequence: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
-    """(shard, first_slot, n_records, stride, payload): the fixed-stride shards."""
+def shard_table(slotted: DataFrame, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, n: int | None = None) -> DataFrame:
+    """(shard, first_slot, n_records, stride, payload): the fixed-stride shards. n: the number of slots, counted if it isn't given."""
     size, fill = stride(sequence), np.array([END_OF_DOCUMENT], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +127,30 @@ def shard_table(slotted: DataFrame, sequence: int = SEQUENCE, per_shard: int = P
         if parts:
             yield cut()
 
-    dealt = slotted.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartition("shard").sortWithinPartitions("shard", "slot")
+    spark = slotted.sparkSession
+    last = slotted.agg(F.max("slot")).first()[0] if n is None else n - 1
+    shards = (last or 0) // per_shard + 1
+    ranges = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # slots are dense, so the ranges are known without a sample of them
+    dealt = slotted.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {shards} as int)")).sortWithinPartitions("shard", "slot")
     return dealt.select("shard", "doc_id", "seq_no", "n_tokens", "tokens").mapInArrow(run, "shard long, first_slot long, n_records int, stride int, payload binary")
 
 
-def write_training_order(docs: DataFrame, vocabulary: Vocabulary, key: int = 0, sequence: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
-    """The shards of `docs`, written to the shared folder. No documents: no shards; extra columns are ignored."""
-    staged, path = materialise_at(sequences(docs, vocabulary, sequence), "sequences")
-    shards = materialise(shard_table(with_slots(staged, key), sequence, per_shard), "shards")
-    discard(docs.sparkSession, path)
-    return shards
+def write_training_order(docs: DataFrame, vocabulary: Vocabulary, key: int = 0, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, path: str | None = None) -> DataFrame:
+    """The shards of `docs`, written to `path`, to be read by later jobs too; by default to the shared folder, for this one.
+
+    No documents: no shards. Rows that repeat or share a doc_id have sequences each; extra columns are ignored.
+    """
+    spark = docs.sparkSession
+    staged, staged_path = materialise_at(sequences(docs, vocabulary, sequence), "sequences")
+    shards = shard_table(with_slots(staged, key), sequence, per_shard, staged.count())
+    if path is None:
+        written = materialise(shards, "shards")
+    else:
+        shards.write.parquet(path)
+        written = spark.read.parquet(path)
+    discard(spark, staged_path)
+    return written
 
 
 def read_records(shards: DataFrame, first_slot: int = 0) -> DataFrame:
