@@ -295,7 +295,16 @@ def combined_retriever(spark, sf_dir):
     return found.select("mention_key", "record_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    """with r as (select s_suppkey, s_name, n_name, n_nationkey from supplier join nation on s_nationkey = n_nationkey),
+    words as (select s_suppkey, unnest(list_distinct(list_filter(string_split_regex(lower(s_name || ' City ' || n_nationkey || ' ' || n_name), '[^\\p{L}\\p{N}_]+'), lambda w: w <> ''))) as w from r),
+    asked as (select s_suppkey as k, unnest(list_distinct(list_filter(string_split_regex(lower('The ' || s_name), '[^\\p{L}\\p{N}_]+'), lambda w: w <> ''))) as w from supplier where s_suppkey % 2 = 1),
+    sizes as (select s_suppkey, count(*) as n from words group by all), sizes_q as (select k, count(*) as n from asked group by all),
+    pairs as (select k, s_suppkey, count(*) as shared from asked join words using (w) group by all),
+    scored as (select k, 'S' || s_suppkey as record_id, round(shared / (sizes.n + sizes_q.n - shared), 4) as score from pairs join sizes using (s_suppkey) join sizes_q using (k))
+    select s_suppkey as mention_key, 'S' || s_suppkey as record_id, cast(1 as double) as score, 'direct_match' as retriever from supplier where s_suppkey % 2 = 0
+    union all select k, arg_min(record_id, row(-score, record_id)), max(score), 'cross_encoder' from scored group by k"""
+)
 def cascade(spark, sf_dir):
     """Exact, dense and reranked links of slightly misspelt supplier mentions."""
     registry = supplier_registry(spark, sf_dir)
@@ -565,7 +574,22 @@ def gazetteer_match(spark, sf_dir):
     return found.groupBy("text_key").agg(F.count("*").alias("n"))
 
 
-@query()
+def _place(query: tuple[str, str], source: str) -> str:
+    """SQL of one span's output as JSON: its input, its one institution, its place and where that came from."""
+    parts = [
+        "'{\"input\":\"' || ", query[0], " || '\",\"institutions\":[{\"name\":\"' || s_name || '\",\"raw\":\"' || ", query[1],
+        " || '\",\"id\":{\"ror_id\":\"S' || k || '\",\"ror_name\":\"' || s_name || '\",\"ror_country\":\"' || n_name || '\",\"ror_country_code\":\"C' || n || '\",\"ror_city\":\"City ' || n || '\",\"ror_types\":[\"Company\"]},'",
+        " || '\"confidence\":1.0,\"source\":\"suppliers\",\"type\":{\"lvl1\":\"Unknown\"}}],\"subunits\":[],\"location\":{\"city\":\"City ' || n || '\",\"country\":\"' || n_name || '\",\"lat\":' || n || '.0,\"lon\":' || n || '.0,'",
+        f" || '\"source\":{{\"city\":\"{source}\",\"country\":\"{source}\"}}}},\"language\":\"en\",\"confidence\":1.0}}'",
+    ]
+    return "".join(parts)
+
+
+@query(
+    f"""with t as (select s_suppkey as k, s_name, n_name, n_nationkey as n from supplier join nation on s_nationkey = n_nationkey)
+    select k as source_index, 'Works ' || k || ', City ' || n || ', ' || n_name || '; SW' || k || ', ' || n_name as raw_text,
+      '[' || {_place(("'Works ' || k || ', City ' || n || ', ' || n_name", "'Works ' || k"), "osm")} || ',' || {_place(("'SW' || k || ', ' || n_name", "'SW' || k"), "ror-osm")} || ']' as outputs from t"""
+)
 def engine_process(spark, sf_dir):
     """All stages over affiliation texts made of suppliers, one row per span."""
     return flagship(spark, sf_dir).select("source_index", "raw_text", F.to_json("outputs").alias("outputs"))
