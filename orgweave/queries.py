@@ -316,6 +316,64 @@ def cascade(spark, sf_dir):
     return linking.link_mentions(mentions, registry, LinkConfig(), vectors=vectors, encoder=encoder, reranker=lexical_reranker)
 
 
+def _dump(spark, sf_dir, schema: str, text: str) -> DataFrame:
+    """Suppliers as the entries of a registry dump: JSON text made by a SQL expression, read by the dump's schema."""
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.from_json(F.expr(text), schema).alias("d")).select("d.*")
+
+
+def _flat(registry: DataFrame) -> DataFrame:
+    lists = [F.array_join(c, "|").alias(c) for c in ("aliases", "acronyms", "labels", "types")]
+    return registry.select("id", "name", *lists, "country", "country_code", "city", "status", "source", "url", "parent_id", "successor_id")
+
+
+@query(
+    """select 'r' || s_suppkey as id, s_name as name, case when s_suppkey % 3 = 0 then '' else 'Alias ' || s_suppkey end as aliases, 'SX' as acronyms, case when s_suppkey % 2 = 0 then 'Etikett' else '' end as labels, 'Company' as types,
+      n_name as country, 'C' || n_nationkey as country_code, case when s_suppkey % 5 = 0 then '' else 'Town' end as city, case when s_suppkey % 7 = 0 then 'inactive' else 'active' end as status, 'ror' as source,
+      'http://a/' || s_suppkey as url, case when s_suppkey % 4 = 0 then 'p2' else 'x' end as parent_id, case when s_suppkey % 7 = 0 then 'r' || (s_suppkey + 1) end as successor_id
+    from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 11 <> 0"""
+)
+def registry_first_schema(spark, sf_dir):
+    """Entries of the first dump schema: entries without an id go, empty labels don't count, the last parent counts."""
+    text = """concat('{"id":', if(s_suppkey % 11 = 0, if(s_suppkey % 2 = 0, 'null', '"  "'), concat('"r', s_suppkey, '"')), ',"name":"', s_name, '"', if(s_suppkey % 3 = 0, '', concat(',"aliases":["Alias ', s_suppkey, '"]')), ',"acronyms":["SX"]',
+      ',"labels":[{"label":"', if(s_suppkey % 2 = 0, 'Etikett', ''), '"},{"label":null}],"country":{"country_name":"', n_name, '","country_code":"C', n_nationkey, '"},"addresses":', if(s_suppkey % 5 = 0, '[]', '[{"city":"Town"},{"city":"Other"}]'),
+      ',"types":["Company"]', if(s_suppkey % 7 = 0, concat(',"status":"inactive"'), ''), ',"links":["http://a/', s_suppkey, '","http://b"],"unknown":1,"relationships":[{"type":"Parent","id":"', if(s_suppkey % 4 = 0, 'p1', 'x'), '"},{"type":"',
+      if(s_suppkey % 4 = 0, 'parent', 'Child'), '","id":"p2"}', if(s_suppkey % 7 = 0, concat(',{"type":"Successor","id":"r', s_suppkey + 1, '"}'), ''), ']}')"""
+    return _flat(reg.normalise_v1(_dump(spark, sf_dir, schemas.DUMP_V1, text)))
+
+
+@query(
+    """select 'r' || s_suppkey as id, case when s_suppkey % 3 = 0 then 'First ' || s_suppkey else s_name end as name, 'Other' as aliases, 'SX' as acronyms, case when s_suppkey % 3 = 0 then 'First ' || s_suppkey else '' end as labels, 'company' as types, n_name as country,
+      'C' || n_nationkey as country_code, 'Town' as city, 'active' as status, 'ror' as source, case when s_suppkey % 2 = 0 then 'http://w/' || s_suppkey else '' end as url, cast(null as varchar) as parent_id, cast(null as varchar) as successor_id
+    from supplier join nation on s_nationkey = n_nationkey"""
+)
+def registry_second_schema(spark, sf_dir):
+    """Entries of the second dump schema: of a name's types the first of displayed, acronym, alias and label counts; without a displayed name the first stands."""
+    text = """concat('{"id":"r', s_suppkey, '","names":[', if(s_suppkey % 3 = 0, concat('{"value":"First ', s_suppkey, '","types":["label"]}'), concat('{"value":"', s_name, '","types":["label","ror_display"]}')), ',{"value":"SX","types":["alias","acronym"]},
+      {"value":"Other","types":["alias"]},{"value":"","types":["label"]}],"locations":[{"geonames_details":{"country_name":"', n_name, '","country_code":"C', n_nationkey, '","name":"Town"}}],"types":["company"],"status":"active",
+      "links":[{"type":"wikipedia","value":"http://x"}', if(s_suppkey % 2 = 0, concat(',{"type":"website","value":"http://w/', s_suppkey, '"}'), ''), '],"relationships":[]}')"""
+    return _flat(reg.normalise_v2(_dump(spark, sf_dir, schemas.DUMP_V2, text)))
+
+
+@query(
+    """select c_custkey as source_index, case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then 'entity ' || c_nationkey else '' end as institutions, case when c_custkey % 2 = 0 then 'unit' else '' end as subunits,
+      case when c_custkey % 3 = 0 then nullif(c_nationkey / 50.0, 0) when c_custkey % 3 = 1 then cast(0.25 as double) end as confidence from customer"""
+)
+def output_mentions(spark, sf_dir):
+    """Institutions and subunits of shaped output: linked ones where there are any mentions, else the entities as they were found."""
+    link = f"named_struct('query', c_name, 'id', cast(null as {schemas.RECORD_ID}), 'score', c_nationkey / 50D, 'source', 'x', 'retriever', 'y', 'type', cast(null as {schemas.ORG_TYPE}))"
+    none = f"cast(array() as array<{schemas.LINK}>)"
+    osm = "cast(null as struct<city:string,state_district:string,county:string,province:string,state:string,region:string,country:string,lat:double,lon:double,osm_id:bigint,country_code:string,continent:string,un_region:string,nuts:map<string,string>>)"
+    items = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as source_index", "0 as span_index", "c_name as raw_text", f"if(c_custkey % 3 = 0, array({link}), {none}) as links_i", f"{none} as links_s",
+        "map('ORG', if(c_custkey % 3 = 1, array(concat('entity ', c_nationkey), ''), array()), 'SUB', if(c_custkey % 2 = 0, array('unit'), array(''))) as ner", "map(concat('ORG|entity ', c_nationkey), 0.25D) as scores", f"{osm} as osm",
+        "string(null) as osm_source", "string(null) as language",
+    )
+    out = output.shape_output(items)
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), "|").alias(c)
+    return out.select("source_index", names("institutions"), names("subunits"), "confidence")
+
+
 CHOICES = """
 with r as (select 'S' || s_suppkey as id, s_name, s_suppkey, n_name, n_nationkey from supplier join nation on s_nationkey = n_nationkey),
 c as (select s_suppkey as mention_key, 'S' || (s_suppkey + d * 3) as record_id, 0.9 - d * 0.1 as score from supplier, unnest(generate_series(0, 12)) as u(d)),
