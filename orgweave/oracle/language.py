@@ -55,10 +55,10 @@ def _base(table: str, key: str, text: str) -> str:
           flatten(list_transform(ws, lambda w: list_transform(generate_series(1, greatest(0, len(w) - 2)), lambda i: w[i:i + 2]))) as grams from b)"""
 
 
-def feature_sql(name: str, lex: Lexicon = DEFAULT) -> str:
+def feature_sql(name: str, lex: Lexicon = DEFAULT, text: str = "text") -> str:
     rows = ", ".join(f"{{'lang': {_q(k)}, 'score': cast({v} as double)}}" for k, v in scores(name, lex).items())
     keep = "true" if name in ("bigrams", "keywords") else "s.score > 0"
-    return f"with {_base('documents', 'doc_id', 'text')}, s as (select id, unnest([{rows}]) as s from c) select id as doc_id, s.lang as lang, round(s.score, 6) as score from s where {keep}"
+    return f"with {_base('documents', 'doc_id', text)}, s as (select id, unnest([{rows}]) as s from c) select id as doc_id, s.lang as lang, round(s.score, 6) as score from s where {keep}"
 
 
 def _east() -> tuple[str, str, str]:
@@ -74,12 +74,12 @@ def _east() -> tuple[str, str, str]:
 _LATIN = "not regexp_matches(regexp_replace(x, '[\\x{0}-\\x{52F}\\x{1E00}-\\x{1EFF}]', '', 'g'), '\\p{L}')"
 
 
-def script_sql() -> str:
+def script_sql(table: str = "pages", key: str = "page_id", text: str = "html") -> str:
     ja, zh, ko = _east()
-    return f"with a as (select page_id, html as x from pages) select page_id, cast({ja} as double) as japanese, cast({zh} as double) as chinese, cast({ko} as double) as korean, {_LATIN} as latin from a"
+    return f"with a as (select {key}, {text} as x from {table}) select {key}, cast({ja} as double) as japanese, cast({zh} as double) as chinese, cast({ko} as double) as korean, {_LATIN} as latin from a"
 
 
-def decide_sql(compat: bool = True, lex: Lexicon = DEFAULT) -> str:
+def decide_sql(compat: bool = True, lex: Lexicon = DEFAULT, text: str = "text") -> str:
     lex = lex if compat else lex.without_latin_scripts()
     has = lambda *p: f"regexp_matches(low, '{'|'.join(p)}')"
     own = lambda k: _any(lex.specific[k])
@@ -112,7 +112,7 @@ def decide_sql(compat: bool = True, lex: Lexicon = DEFAULT) -> str:
     ja, zh, ko = _east()
     cyrillic, arabic, persian = _ranges([(0x0400, 0x04FF)]), _ranges([(0x0600, 0x06FF), (0x0750, 0x077F)]), _ranges([(0x0600, 0x06FF), (0xFB50, 0xFDFF), (0x0750, 0x077F)])
     top = lambda rows: f"(list_sort(list_filter([{rows}], lambda r: r is not null and r.score > -1), 'DESC')[1]).lang"
-    return f"""with {_base('documents', 'doc_id', 'nfc_normalize(text)')},
+    return f"""with {_base('documents', 'doc_id', f'nfc_normalize({text})')},
     d as (select *, {', '.join(f'{v} as ch_{k}' for k, v in chars.items())}, list_sort(list_filter([{best}], lambda r: r.score > 0), 'DESC') as sc from c),
     e as (select *, {', '.join(columns)} from d)
     select id as doc_id, case when x is null or regexp_replace(x, '\\s+', '', 'g') = '' then 'en' when regexp_matches(x, '^[\\x{{0}}-\\x{{40}}\\x{{5B}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]*$') then 'en'

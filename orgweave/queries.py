@@ -126,14 +126,21 @@ def parent_suffix(spark, sf_dir):
 # --- language
 
 
+#: Letters of ten scripts that stand in for the commonest ten Latin ones, so that texts in other scripts are there to be judged.
+_ALPHABETS = ["етаоинсгрд", "їтаєинґгрі", "εταοινσηρδ", "ابتثجحخدذر", "پبتچجحخدژر", "あいうえおかきくケコ", "大学中国研究所北京，", "가나다라마바사아자차", "אבגדהוזחטי", "กขคงจฉชซดต", "ăâîșțřęłğő"]
+SCRIPTED = "case doc_id % 12 " + " ".join(f"when {i} then translate(text, 'etaoinshrd', '{x}')" for i, x in enumerate(_ALPHABETS)) + " else text end"
+
+
 def _feature(name: str):
+    text = SCRIPTED if name == "scripts" else "text"
+
     def run(spark, sf_dir):
-        docs = table(spark, sf_dir, "documents")
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(text).alias("text"))
         each = docs.select("doc_id", F.explode(lang.feature(name, F.col("text"))).alias("s"))
         return each.select("doc_id", "s.lang", F.round("s.score", 6).alias("score"))
 
     run.__name__ = f"lang_{name}"
-    return query(lang_sql.feature_sql(name))(run)
+    return query(lang_sql.feature_sql(name, text=text))(run)
 
 
 for _name in lang.FEATURES:
@@ -152,6 +159,19 @@ def lang_decide_plain(spark, sf_dir):
     return docs.select("doc_id", lang.decide(F.col("text"), compat=False).alias("language"))
 
 
+@query(lang_sql.decide_sql(text=SCRIPTED))
+def lang_decide_scripts(spark, sf_dir):
+    """Texts in eleven other scripts and alphabets."""
+    docs = tx.compose(table(spark, sf_dir, "documents").select("doc_id", F.expr(SCRIPTED).alias("text")), "text")
+    return docs.select("doc_id", lang.decide(F.col("text")).alias("language"))
+
+
+@query(lang_sql.script_sql("documents", "doc_id", SCRIPTED))
+def script_detect_scripts(spark, sf_dir):
+    x = F.expr(SCRIPTED)
+    return table(spark, sf_dir, "documents").select("doc_id", lang.japanese_score(x).cast("double").alias("japanese"), lang.chinese_score(x).cast("double").alias("chinese"), lang.korean_score(x).cast("double").alias("korean"), lang.is_latin(x).alias("latin"))
+
+
 @query(lang_sql.script_sql())
 def script_detect(spark, sf_dir):
     x = F.col("html")
