@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from orgweave.llm.shared import discard, materialise_at
 
 MAX_ROUNDS = 60
+#: Links that a task of a round writes at least, so that a small graph isn't dealt out over as many files as a large one.
+LINKS_PER_FILE = 250_000
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -46,7 +48,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         if tuple(mark) == seen or mark[0] == 0:
             break
         seen = tuple(mark)
-        following, written = materialise_at(_small_star(_large_star(current)), "links")
+        # a round leaves at most twice as many links as it got
+        files = 1 + 2 * mark[0] // LINKS_PER_FILE
+        following, written = materialise_at(_small_star(_large_star(current)).coalesce(files), "links")
         discard(spark, path)
         current, path = following, written
     else:
