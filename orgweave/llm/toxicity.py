@@ -33,6 +33,7 @@ from orgweave.llm.shared import materialise, small_batches
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 12_000
 MAX_FEATURES = 50_000
+SAMPLE_FILES = 16
 MIN_Z = 4.0
 #: Confirmed toxic documents that have a feature at least, near copies counted once.
 MIN_COUNT = 5
@@ -76,31 +77,46 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], dim: int, prior: float, steps: int = 800, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias from the feature numbers of positive and of unlabelled documents."""
+class _Rows:
+    """Documents as the numbers of the features they have."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+
+    def logits(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.n) + b
+
+    def pull(self, g: np.ndarray, dim: int) -> np.ndarray:
+        """Gradient by weights and bias from that by logits."""
+        return np.append(np.bincount(self.col, g[self.row], dim), g.sum())
+
+
+def risk_parts(pos: _Rows, unl: _Rows, w: np.ndarray, b: float, prior: float) -> tuple[float, float]:
+    """π R_p⁺ and R_u⁻ - π R_p⁻; the risk is the first plus what the second has above 0."""
+    softplus = lambda z: np.logaddexp(0, z)
+    zp, zu = pos.logits(w, b), unl.logits(w, b)
+    return float(prior * softplus(-zp).mean()), float(softplus(zu).mean() - prior * softplus(zp).mean())
 
-    def csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        index = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        return index, np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), len(rows)
 
-    p_row, p_col, n_p = csr(pos)
-    u_row, u_col, n_u = csr(unl)
+def descent(pos: _Rows, unl: _Rows, w: np.ndarray, b: float, prior: float) -> np.ndarray:
+    """The gradient to follow: of the risk where the second part isn't negative, else of minus the second part alone, as it is below what any classifier can have."""
+    sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+    up, uu = sigmoid(pos.logits(w, b)), sigmoid(unl.logits(w, b))
+    second = unl.pull(uu / unl.n, len(w)) - pos.pull(prior * up / pos.n, len(w))
+    if risk_parts(pos, unl, w, b, prior)[1] < 0:
+        return -second
+    return pos.pull(prior * (up - 1) / pos.n, len(w)) + second
+
+
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], dim: int, prior: float, steps: int = 800, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias from the feature numbers of positive and of unlabelled documents."""
+    p, u = _Rows(pos), _Rows(unl)
     w, b = np.zeros(dim), -1.0
     m, v = np.zeros(dim + 1), np.zeros(dim + 1)
-    sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
-    softplus = lambda z: np.logaddexp(0, z)
     for t in range(1, steps + 1):
-        zp = np.bincount(p_row, w[p_col], n_p) + b
-        zu = np.bincount(u_row, w[u_col], n_u) + b
-        negative = softplus(zu).mean() - prior * softplus(zp).mean()
-        grow = lambda gp, gu: np.append(np.bincount(p_col, gp[p_row], dim) + np.bincount(u_col, gu[u_row], dim), gp.sum() + gu.sum())
-        if negative >= 0:
-            gp = prior * ((sigmoid(zp) - 1) - sigmoid(zp)) / n_p
-            gu = sigmoid(zu) / n_u
-        else:  # the estimate is below what any classifier can have: step back
-            gp = prior * sigmoid(zp) / n_p
-            gu = -sigmoid(zu) / n_u
-        grad = grow(gp, gu)
+        grad = descent(p, u, w, b, prior)
         grad[:dim] += l2 * w
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
@@ -117,13 +133,13 @@ def _emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the least hash of a text's three-word shingles, which near copies mostly share and other texts don't."""
+    """The least hash of a text's three-word shingles, which near copies mostly share and other texts don't."""
     for batch in batches:
         keys = []
         for text in batch.column(1):
             w = (text.as_py() or "").encode("utf-8", "replace").split()
             keys.append(min((xxhash.xxh64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), batch.column(1)], ["positive", "sketch", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(keys, pa.int64())], ["positive", "doc_id", "text_key", "sketch"])
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> ToxicityModel:
@@ -132,9 +148,12 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     prior: the share of toxic documents; by default how often unlabelled texts show a feature of the model relative to toxic
     ones, times `PRIOR_MARGIN`, within 0.7 to 1.3 times the range of two first guesses: the share of toxic rows among the labelled ones used, and
     the inverse of the greatest lift among the `PEAK` clearest features. Labels that are null, held out or of no document are not used.
-    Without a confirmed toxic document the model knows no feature and scores every text low.
+    Rows that repeat, or whose texts are near copies of another's, count once. Without a confirmed toxic document the model knows no
+    feature and scores every text low.
     """
-    slim = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).where("doc_id is not null")
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
+    slim = docs.select(F.col("`doc_id`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).where("doc_id is not null")
     known = labels.select(F.col("`doc_id`").alias("doc_id"), F.col("`toxic`").alias("toxic")).where(~held_out()).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
@@ -154,10 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     unlabelled = free.select("doc_id").where(share(MAX_UNLABELLED, n_free, 2)).distinct().select("doc_id", F.lit(0).alias("positive"))
     chosen = positives.union(unlabelled)
     # the bounded sample of ids meets the texts: a broadcast of at most 18,000 ids expected
-    sample = free.join(F.broadcast(chosen), "doc_id").select("positive", F.coalesce("text", F.lit("")).alias("text"))
-    # copies and near copies would count one document's words many times
-    sample = sample.mapInArrow(_sketch, "positive int, sketch long, text string").groupBy("positive", "sketch").agg(F.min("text").alias("text"))
-    sample = materialise(sample.select("positive", "text"), "toxicity-sample")
+    sample = free.join(F.broadcast(chosen), "doc_id")
+    # copies and near copies would count one document's words many times: one of each is taken, and only then its text
+    sketches = sample.select("positive", "text", "doc_id", "text_key").mapInArrow(_sketch, f"positive int, doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, sketch long")
+    taken = sketches.groupBy("positive", "sketch").agg(F.min(F.struct("doc_id", "text_key")).alias("m")).select("positive", "m.*").repartition(1)
+    sample = free.join(F.broadcast(materialise(taken, "toxicity-sample-ids")), ["doc_id", "text_key"])
+    # (the sample has a bound, so a few files hold it however many partitions the texts have)
+    sample = materialise(sample.dropDuplicates(["positive", "doc_id", "text_key"]).select("positive", "text").repartition(SAMPLE_FILES), "toxicity-sample")
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
@@ -166,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     expected = F.col("u") * (n_p / n_u)
     z = (F.col("p") - expected) / F.sqrt(expected + 0.5)
     clear = stats.withColumn("z", z).where((F.col("p") >= min(MIN_COUNT, max(2, n_p // 4))) & (F.col("z") >= MIN_Z))
-    clear = materialise(clear, "toxicity-features")
+    clear = materialise(clear.repartition(1), "toxicity-features")
     top = clear.orderBy(F.desc("z"), "feature").limit(PEAK).collect()
     # a feature that only toxic texts have lifts by the inverse of their share
     peak = min((min(0.9, (r["u"] + 1) * (n_p / n_u) / r["p"]) for r in top), default=prior)

@@ -56,8 +56,9 @@ def test_bpe_equals_tiktoken(spark, monkeypatch):
     r = random.Random(9)
     texts = [*ODD_TEXTS, *[r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()], "banana bananana ananas"]
     texts += ["".join(r.choice("abcdeinorst an=é漢") for _ in range(r.randint(0, 300))) for _ in range(100)] + [texts[5], texts[5]]
-    for chars in (bpe.CHUNK_CHARS, 500):  # one chunk in a task, and many
+    for chars, held in ((bpe.CHUNK_CHARS, bpe.DICTIONARY_WORDS), (500, 5)):  # one chunk in a task, and many; words from the dictionary, and folded in their chunk
         monkeypatch.setattr(bpe, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(bpe, "DICTIONARY_WORDS", held)
         got = {r.doc_id: r for r in bpe.decode(bpe.encode(table(spark, texts).repartition(3), VOCABULARY), VOCABULARY).collect()}
         assert len(got) == len(texts)
         for i, t in enumerate(texts):
