@@ -1,5 +1,5 @@
 """Language heuristics as column expressions: no shuffle. All parts of words that the tables name are counted in one Arrow call per text,
-as a `replace` pass of the text for each costs some fifteen times as much; everything else stays with the JVM.
+as a pass of the text for each costs many times as much; everything else stays with the JVM.
 
 Every feature is an array of struct(lang, score) in the order of its table, so one explode gives the long form. The tables
 can be extended at run time by passing a changed `Lexicon`.
@@ -7,6 +7,8 @@ can be extended at run time by passing a changed `Lexicon`.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions import lexicons as L
-from orgweave.functions.text import NOT_WORD, WORD, compose, language_base
+from orgweave.functions.text import compose, language_base
 
 
 @dataclass(frozen=True)
@@ -43,21 +45,32 @@ class Lexicon:
 DEFAULT = Lexicon()
 
 
-#: Ways to count a part: its occurrences one after the other, overlapping ones too, as a whole word, as words that stand somewhere (0 or 1).
-_PLAIN, _LAPPING, _WORD, _PHRASE = "plain", "lapping", "word", "phrase"
+#: Ways to count a part: its occurrences one after the other, overlapping ones too, as a whole word, as words that stand somewhere (0 or 1), whether it is there (0 or 1).
+_PLAIN, _LAPPING, _WORD, _PHRASE, _THERE = "plain", "lapping", "word", "phrase", "there"
+#: Parts of words that spelling habits and boosts ask for.
+_HABITS = (
+    "ch", "eau", "aux", "ll", "rr", "cch", "zz", "ção", "og", "på", "af", "aa", "ii", "ij", "sch", "ul", "yang", "dan", "untuk", "dengan", "dari", "universitas", "indonesia",
+    "depok", "jakarta", "universiteit", "nederland", "amsterdam",
+)
 _EDGE = r"[^\p{L}\p{N}_]"
 
 
 def _counter(parts: list[tuple[str, str]]):
-    """An Arrow function (text in small letters, its words two spaces apart) → array<int>: how often each (way, part) is there."""
-
-    def count(low: str, spaced: str) -> list[int]:
-        out = []
+    """An Arrow function (text in small letters) → array<int>: its words, its three-letter windows inside words, and how often each (way, part) is there."""
+    by_word = sorted({p for way, p in parts if way == _WORD})
+    word = re.compile(r"\w+")
+
+    def count(low: str) -> list[int]:
+        words = word.findall(low)
+        seen = Counter(words) if by_word else {}
+        out = [len(words), sum([len(w) - 2 for w in words if len(w) > 2])]
         for way, part in parts:
-            if way == _PLAIN:
+            if way == _WORD:
+                n = seen.get(part, 0)
+            elif way == _PLAIN:
                 n = low.count(part)
-            elif way == _WORD:
-                n = spaced.count(f" {part} ")
+            elif way == _THERE:
+                n = int(part in low)
             elif way == _LAPPING:
                 n, at = 0, low.find(part)
                 while at >= 0:
@@ -68,8 +81,8 @@ def _counter(parts: list[tuple[str, str]]):
         return out
 
     @F.arrow_udf("array<int>")
-    def counted(low: pa.Array, spaced: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else count(x, y) for x, y in zip(low.to_pylist(), spaced.to_pylist(), strict=True)], pa.list_(pa.int32()))
+    def counted(low: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else count(x) for x in low.to_pylist()], pa.list_(pa.int32()))
 
     return counted
 
@@ -85,6 +98,8 @@ def _parts(lex: "Lexicon", tables: tuple[str, ...]) -> list[tuple[str, str]]:
         found |= dict.fromkeys((_WORD, w) for words in lex.words.values() for w, _ in words)
     if "keywords" in tables:
         found |= dict.fromkeys(_keyword_part(w) for words in lex.keywords.values() for w, _ in words)
+    if "habits" in tables:
+        found |= dict.fromkeys((_THERE, h) for h in _HABITS)
     return list(found)
 
 
@@ -103,26 +118,33 @@ class _View:
     x: Column  # the text
     low: Column  # in small letters
     rest: Column  # its characters beyond ASCII
-    words: Column  # number of words
-    windows: Column  # number of three-letter windows inside words
-    counts: Column  # of `parts`
+    counts: Column  # number of words, of three-letter windows inside words, and of `parts`
     parts: dict[tuple[str, str], int]
 
+    @property
+    def words(self) -> Column:
+        return F.get(self.counts, F.lit(0))
+
+    @property
+    def windows(self) -> Column:
+        return F.get(self.counts, F.lit(1))
+
     def count(self, way: str, part: str) -> Column:
         return F.get(self.counts, F.lit(self.parts[way, part]))
 
+    def there(self, *parts: str) -> Column:
+        """Whether one of the parts is in the text."""
+        return sum((self.count(_THERE, p) for p in parts), F.lit(0)) > 0
+
 
 def _viewing(x: Column, body, lex: "Lexicon | None" = None, tables: tuple[str, ...] = ()) -> Column:
     """`body` of a text's view, with the parts of the named tables counted. A lambda binds the view, as an expression this large would compute it anew for each use."""
     low = F.lower(x)
-    spaced = F.concat(F.lit(" "), F.regexp_replace(low, NOT_WORD, "  "), F.lit(" "))
     parts = _parts(lex, tables) if lex is not None else []
-    view = F.struct(
-        x.alias("x"), low.alias("low"), F.regexp_replace(x, r"[\x00-\x7F]+", "").alias("rest"), F.regexp_count(low, F.lit(WORD)).alias("words"),
-        F.regexp_count(low, F.lit(r"(?=[\p{L}\p{N}_]{3})")).alias("windows"), (_counter(parts)(low, spaced) if parts else F.lit(None).cast("array<int>")).alias("counts"),
-    )
-    places = {p: i for i, p in enumerate(parts)}
-    return F.get(F.transform(F.array(view), lambda t: body(_View(*(t[n] for n in ("x", "low", "rest", "words", "windows", "counts")), places))), F.lit(0))
+    counts = _counter(parts)(low) if parts else F.lit(None).cast("array<int>")
+    view = F.struct(x.alias("x"), low.alias("low"), F.regexp_replace(x, r"[\x00-\x7F]+", "").alias("rest"), counts.alias("counts"))
+    places = {p: i for i, p in enumerate(parts, 2)}
+    return F.get(F.transform(F.array(view), lambda t: body(_View(*(t[n] for n in ("x", "low", "rest", "counts")), places))), F.lit(0))
 
 
 def _array(scores: list[tuple[str, Column]], keep_zero: bool) -> Column:
@@ -241,8 +263,7 @@ def is_latin(x: Column) -> Column:
 
 def _patterns(v: _View, lex: Lexicon) -> dict[str, Column]:
     """Where a language's spelling habits show; 50 points each."""
-    low = v.low
-    has = lambda *parts: low.rlike("|".join(parts))
+    has = v.there
     own = lambda lang: _any(v, lex.specific[lang])
     return {
         "de": (_any(v, "ß") | has("ch")) & own("de"),
@@ -268,8 +289,7 @@ def _patterns(v: _View, lex: Lexicon) -> dict[str, Column]:
 
 def _boosts(v: _View) -> list[tuple[str, Column]]:
     """Distinctive characters and words; 75 points each."""
-    low = v.low
-    has = lambda *parts: low.rlike("|".join(parts))
+    has = v.there
     nordic, danish = _any(v, "åÅ"), _any(v, "æøÆØ")
     return [
         ("pt", _any(v, "ãõÃÕ")),
@@ -322,7 +342,7 @@ def latin_scores(v: _View, lex: Lexicon = DEFAULT) -> Column:
 def decide(x: Column, default: str = "en", compat: bool = True, lex: Lexicon = DEFAULT) -> Column:
     """The language of a text in composed form. `compat` keeps the Latin script rows, which let a single letter such as `ł` or `œ` decide for Polish."""
     lex = lex if compat else lex.without_latin_scripts()
-    return F.when(x.isNull() | (F.regexp_replace(x, r"(?U)\s+", "") == "") | x.rlike(r"^[\x00-\x7F&&[^A-Za-z]]*$"), default).otherwise(_viewing(x, lambda v: _decide(v, default, lex), lex, ("bigrams", "trigrams", "words", "keywords")))
+    return F.when(x.isNull() | ~x.rlike(r"(?U)\S") | x.rlike(r"^[\x00-\x7F&&[^A-Za-z]]*$"), default).otherwise(_viewing(x, lambda v: _decide(v, default, lex), lex, ("bigrams", "trigrams", "words", "keywords", "habits")))
 
 
 def _decide(v: _View, default: str, lex: Lexicon) -> Column:
