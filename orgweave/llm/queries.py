@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweave.llm import bpe, decontaminate, hostrep, lexsearch, linededup, merkle, ogg, rlz, shards, simhash, sql, token_scan, toxicity
+from orgweave.llm import bpe, decontaminate, hostrep, lexsearch, linededup, merkle, ogg, pagediff, rlz, shards, simhash, sql, token_scan, toxicity
 from orgweave.llm.shared import materialise
 from orgweave.llm.tokens import Vocabulary
 
@@ -90,6 +90,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexsearch.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -167,7 +171,7 @@ from rows left join c on c.doc_id = rows.doc_id and c.t = rows.t left join k on
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_byte_bpe, op2_training_shards, op3_token_counts, op4_benchmark_leaks, op5_ogg_media, op6_url_reputation, op7_line_windows, op8_substring_dedup, op9_toxicity, op10_simhash,
-        op11_merkle_manifest, op13_ranked_search,
+        op11_merkle_manifest, op12_page_text, op13_ranked_search,
     )
     return {f.__name__: f for f in found}
 
