@@ -6,9 +6,9 @@ multiset Jaccard similarity of their 5-word shingles at `SIMILARITY` or more, ov
 1. A similar window shares a shingle with its item. The items' shingles (broadcast if small, else a hash
    join) mark the places of a document where one starts. If a window is similar, so is the one
    that starts at its first marked place, or the last one that the document has room for: these are the windows tried.
-2. Each window and item gets a 64-bit SimHash of its shingles. Cut in 8 blocks of 8 bits, two fingerprints within `RADIUS`
-   bits differ in at most two bits in one block, so the 37 values of that block's Hamming ball, kept per item,
-   find every item of the window's length within the radius.
+2. Each window and item gets a 64-bit SimHash of its shingles. Cut in 4 blocks of 16 bits, two fingerprints within `RADIUS`
+   bits differ in at most three bits in one block, so the 697 values of that block's Hamming ball, kept per item,
+   find every item of the window's length within the radius. Of unrelated fingerprints some 4 % meet in a block.
 3. Candidates are verified by their exact weighted shingles.
 """
 
@@ -24,7 +24,7 @@ from orgweave.llm.shared import keep_columns, let, materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCKS, BLOCK_BITS, BALL = 8, 8, 2
+BLOCKS, BLOCK_BITS, BALL = 4, 16, 3
 #: BLOCKS * (BALL + 1) - 1: some block of two fingerprints no further apart than this differs in BALL bits or fewer.
 RADIUS = BLOCKS * (BALL + 1) - 1
 #: Rows (of some 40 bytes) or, in tables of arrays, array elements (of 8 bytes) of the items' tables up to which they are broadcast.
@@ -98,11 +98,6 @@ def _simhash(rows: DataFrame, keys: list[str], h: str) -> DataFrame:
     return summed.select(*keys, F.expr(sim).alias("sim"))
 
 
-def _ball() -> list[int]:
-    """All values of a block with at most `BALL` bits set."""
-    return [v for v in range(1 << BLOCK_BITS) if v.bit_count() <= BALL]
-
-
 def _blocks(sim: str) -> Column:
     return F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> named_struct('no', b, 'value', cast(shiftrightunsigned({sim}, b * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1} as int)))")
 
@@ -196,7 +191,8 @@ def _text_leaks(docs: DataFrame, items: DataFrame, short_items: bool) -> DataFra
     # 2. fingerprints and blocks
     window_sims = _simhash(window.select("doc_id", "text_key", "len", "s", F.explode("hashes").alias("h")), ["doc_id", "text_key", "len", "s"], "h")
     item_sims = _simhash(item_shingles, ["item_id", "len"], "h")
-    near = F.array(*[F.lit(v) for v in _ball()])
+    # all values of a block with at most BALL bits set
+    near = F.expr(f"filter(sequence(0, {(1 << BLOCK_BITS) - 1}), v -> bit_count(v) <= {BALL})")
     table = item_sims.select("item_id", "len", F.col("sim").alias("item_sim"), F.explode(_blocks("sim")).alias("b"))
     table = table.select("item_id", "len", "item_sim", "b.no", F.explode(F.transform(near, lambda v: v.bitwiseXOR(F.col("b.value")))).alias("value"))
     probes = window_sims.select("doc_id", "text_key", "len", "s", "sim", F.explode(_blocks("sim")).alias("b")).select("doc_id", "text_key", "len", "s", "sim", "b.no", "b.value")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.shared import keep_columns, let, materialise
+from orgweave.llm.shared import keep_columns, let, materialise, spare
 
 LINES = 3
 
@@ -56,22 +56,24 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     it loses; rows with the same doc_id and other texts are compared like any two documents. Other columns pass through, but for
     any called n_lines or n_removed, which are replaced.
     """
-    gone = covered_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key"), F.col("gone").alias("_gone"))
     base = docs.drop("n_lines", "n_removed")
-    joined = base.join(gone, (base["doc_id"] == gone["_gone_id"]) & (text_key() == gone["_gone_key"]), "left").drop("_gone_id", "_gone_key")
+    name = spare("gone", base)
+    gone = covered_lines(docs).select(F.struct("doc_id", "text_key", "gone").alias(name))
+    joined = base.join(gone, (base["doc_id"] == gone[name]["doc_id"]) & (text_key() == gone[name]["text_key"]), "left")
+    found = F.col(name)["gone"]
     lines = F.split(F.col("text"), "\n", -1)
 
     def cut(x: Column) -> Column:
         # the kept lines are the stretches between removed ones
         def stretch(i: Column) -> Column:
-            start = F.coalesce(F.get("_gone", i - 1) + 1, F.lit(0))
-            end = F.coalesce(F.get("_gone", i), F.size(x))
+            start = F.coalesce(F.get(found, i - 1) + 1, F.lit(0))
+            end = F.coalesce(F.get(found, i), F.size(x))
             return F.slice(x, start + 1, end - start)
 
-        return F.concat_ws("\n", F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), stretch)))
+        return F.concat_ws("\n", F.flatten(F.transform(F.sequence(F.lit(0), F.size(found)), stretch)))
 
     return joined.select(
-        *[F.col(f"`{c}`") if c != "text" else F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(lines, cut)).alias("text") for c in base.columns],
+        *[F.col(f"`{c}`") if c != "text" else F.when(found.isNull(), F.col("text")).otherwise(let(lines, cut)).alias("text") for c in base.columns],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from orgweave.llm.hostrep import url_host, url_path
-from orgweave.llm.pages import ARTICLE, FURNITURE, MAIN, Block, aligned, blocks
+from orgweave.llm.pages import ARTICLE, FURNITURE, MAIN, OPEN, Block, aligned, blocks
 from orgweave.llm.shared import materialise, small_batches
 
 _SIDE = "struct<path:string,tokens:array<long>>"

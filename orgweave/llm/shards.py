@@ -30,6 +30,7 @@ PER_SHARD = 2048
 ROUNDS = 6
 _HEAD = "<qii"
 _HEAD_BYTES = struct.calcsize(_HEAD)
+SHARDS = "shard long, first_slot long, n_records int, stride int, payload binary"
 #: doc_id of a row that has none.
 NO_ID = -(1 << 63)
 
@@ -129,11 +130,13 @@ def shard_table(slotted: DataFrame, sequence: int = SEQUENCE, per_shard: int = P
 
     spark = slotted.sparkSession
     last = slotted.agg(F.max("slot")).first()[0] if n is None else n - 1
-    shards = (last or 0) // per_shard + 1
+    shards = (-1 if last is None else last) // per_shard + 1
+    if not shards:
+        return spark.createDataFrame([], SHARDS)
     ranges = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # slots are dense, so the ranges are known without a sample of them
     dealt = slotted.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {shards} as int)")).sortWithinPartitions("shard", "slot")
-    return dealt.select("shard", "doc_id", "seq_no", "n_tokens", "tokens").mapInArrow(run, "shard long, first_slot long, n_records int, stride int, payload binary")
+    return dealt.select("shard", "doc_id", "seq_no", "n_tokens", "tokens").mapInArrow(run, SHARDS)
 
 
 def write_training_order(docs: DataFrame, vocabulary: Vocabulary, key: int = 0, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, path: str | None = None) -> DataFrame:

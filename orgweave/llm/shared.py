@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orgweave.plans.settle import discard, materialise, materialise_at, shared_dir
 
-__all__ = ["MembershipFilter", "discard", "keep_columns", "let", "materialise", "materialise_at", "null_to_empty", "shared_dir", "small_batches"]
+__all__ = ["MembershipFilter", "discard", "keep_columns", "let", "materialise", "materialise_at", "null_to_empty", "shared_dir", "small_batches", "spare"]
 
 #: Largest fixed-size membership filter sent to executors, in bits (128 MiB).
 MAX_FILTER_BITS = 1 << 30
@@ -31,6 +31,14 @@ def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """`name`, lengthened until no column of the frames has it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def null_to_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

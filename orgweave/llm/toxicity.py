@@ -12,8 +12,8 @@ a known term count. Those that `MIN_COUNT` confirmed toxic documents have, and h
 the model if toxic texts are `MIN_RATIO` times as likely to have them as clean ones. What that means against unlabelled texts, of which a share π
 is toxic, is a lift of MIN_RATIO / (1 - π + MIN_RATIO π): always less than the 1/π that a purely toxic feature reaches, whatever π is.
 
-Bounds of the training sample (chosen by hash, so alike for each run): `MAX_POSITIVE` and `MAX_UNLABELLED` documents expected,
-`MAX_FEATURES` features. Scoring covers every document.
+Bounds of the training sample (chosen by hash, so alike for each run): `MAX_POSITIVE` and `MAX_UNLABELLED` documents at most, be they of
+many ids or of one, `MAX_FEATURES` features. Scoring covers every document.
 """
 
 from __future__ import annotations
@@ -142,6 +142,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(keys, pa.int64())], ["positive", "doc_id", "text_key", "sketch"])
 
 
+def _bounded(taken: DataFrame) -> DataFrame:
+    """At most `MAX_POSITIVE` and `MAX_UNLABELLED` rows, those of the least hashes: an id may have any number of texts."""
+    parts = [taken.where(F.col("positive") == kind).orderBy(F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(bound) for kind, bound in ((1, MAX_POSITIVE), (0, MAX_UNLABELLED))]
+    return parts[0].union(parts[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> ToxicityModel:
     """A model from the documents that are not held out. docs: doc_id, text; labels: doc_id, toxic (0/1).
 
@@ -163,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     given = prior
     prior = prior if prior is not None else min(0.9, max(0.001, n_toxic / n_labelled))
     free = slim.where(~held_out())
-    n_free = free.select("doc_id").count()
+    n_free = free.select("doc_id").distinct().count()
 
     def share(bound: int, n: int, salt: int) -> Column:
         """A share of the ids by hash that holds `bound` of n expected, all if there are fewer."""
@@ -176,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     sample = free.join(F.broadcast(chosen), "doc_id")
     # copies and near copies would count one document's words many times: one of each is taken, and only then its text
     sketches = sample.select("positive", "text", "doc_id", "text_key").mapInArrow(_sketch, f"positive int, doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, sketch long")
-    taken = sketches.groupBy("positive", "sketch").agg(F.min(F.struct("doc_id", "text_key")).alias("m")).select("positive", "m.*").repartition(1)
-    sample = free.join(F.broadcast(materialise(taken, "toxicity-sample-ids")), ["doc_id", "text_key"])
+    taken = materialise(sketches.groupBy("positive", "sketch").agg(F.min(F.struct("doc_id", "text_key")).alias("m")).select("positive", "m.*"), "toxicity-sketches")
+    sample = free.join(F.broadcast(materialise(_bounded(taken).repartition(1), "toxicity-sample-ids")), ["doc_id", "text_key"])
     # (the sample has a bound, so a few files hold it however many partitions the texts have)
     sample = materialise(sample.dropDuplicates(["positive", "doc_id", "text_key"]).select("positive", "text").repartition(SAMPLE_FILES), "toxicity-sample")
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
