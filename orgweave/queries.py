@@ -14,10 +14,11 @@ from orgweave import schemas
 from orgweave.functions import labels
 from orgweave.functions import language as lang
 from orgweave.functions import text as tx
-from orgweave.operators import evaluate, geocode, linking, orgtype, output, prompts, spans
+from orgweave.operators import evaluate, geocode, hnsw, ivf, linking, orgtype, output, prompts, spans
 from orgweave.oracle import language as lang_sql
 from orgweave.plans.config import LinkConfig, PipelineConfig
 from orgweave.plans.pipeline import Engine
+from orgweave.plans.settle import materialise
 from orgweave.providers import gazetteer, gazetteer_ner, hashed_encoder, lexical_reranker, match_terms
 from orgweave.sources import registry as reg
 from orgweave.sources.cache import latest, read_through
@@ -228,6 +229,35 @@ def knn_topk(spark, sf_dir):
     return linking.knn(*_vectors(spark, sf_dir), 10).select("qid", "iid", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"with {KNN} select qid, iid, round(score, 5) as score, cast(rank as bigint) as rank from k where rank <= 10")
+def knn_graph(spark, sf_dir):
+    """The graph index: its walks find what the exact search finds, at this scale all of it."""
+    queries, items = _vectors(spark, sf_dir)
+    near = hnsw.search(queries, materialise(hnsw.build(items), "graphs"), 10, beam=48)
+    return near.select("qid", "iid", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"with {KNN} select count(distinct qid) as queries, cast(count(*) as bigint) as neighbours, true as enough_found, true as few_compared from k where rank <= 10")
+def graph_recall(spark, sf_dir):
+    """Recall at 10 of the graph index against the exact search: 0.9 or more, and fewer pairs compared than the exact search compares."""
+    queries, items = _vectors(spark, sf_dir)
+    graphs = materialise(hnsw.build(items), "graphs")
+    exact = linking.knn(queries, items, 10).select("qid", "iid")
+    found = exact.join(hnsw.search(queries, graphs, 10).select("qid", "iid", F.lit(1).alias("hit")), ["qid", "iid"], "left")
+    stats = found.agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough_found"))
+    compared = hnsw.compared_pairs(queries, graphs, 10).agg(F.avg("compared").alias("pairs")).crossJoin(items.agg(F.count("*").alias("n")))
+    return stats.crossJoin(compared).select("queries", "neighbours", "enough_found", F.expr("pairs < n").alias("few_compared"))
+
+
+@query(f"with {KNN} select qid, iid, round(score, 5) as score, cast(rank as bigint) as rank from k where rank <= 10")
+def knn_cells(spark, sf_dir):
+    """The cell index with every cell probed, which is exact."""
+    queries, items = _vectors(spark, sf_dir)
+    centres = ivf.train_cells(items)
+    near = ivf.search(queries, items, 10, centres, probes=len(centres))
+    return near.select("qid", "iid", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     f"""with {KNN}, c as (select k.qid, iid, k.score, k.label, e.label as q_label from k join embeddings e on e.vec_id = qid where rank <= 30 and k.score >= 0.15),
     b as (select qid, iid, least(score + case when label = q_label then 0.05 else 0.0 end + case when iid % 7 = qid % 7 then 0.03 else 0.0 end, 1.0) as score from c),
@@ -268,6 +298,35 @@ def quality_gate(spark, sf_dir):
     return linking.quality_gate(scored, 0.1).select("mention_key", "record_id", F.round("score", 6).alias("score"))
 
 
+@query(f"with {KNN} select qid, iid, round(score, 5) as score, cast(rank as bigint) as rank from k where rank <= 10")
+def knn_graph(spark, sf_dir):
+    """The graph index: its walks find what the exact search finds, at this scale all of it."""
+    queries, items = _vectors(spark, sf_dir)
+    near = hnsw.search(queries, materialise(hnsw.build(items), "graphs"), 10, beam=48)
+    return near.select("qid", "iid", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"with {KNN} select count(distinct qid) as queries, cast(count(*) as bigint) as neighbours, true as enough_found, true as few_compared from k where rank <= 10")
+def graph_recall(spark, sf_dir):
+    """Recall at 10 of the graph index against the exact search: 0.9 or more, and fewer pairs compared than the exact search compares."""
+    queries, items = _vectors(spark, sf_dir)
+    graphs = materialise(hnsw.build(items), "graphs")
+    exact = linking.knn(queries, items, 10).select("qid", "iid")
+    found = exact.join(hnsw.search(queries, graphs, 10).select("qid", "iid", F.lit(1).alias("hit")), ["qid", "iid"], "left")
+    stats = found.agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough_found"))
+    compared = hnsw.compared_pairs(queries, graphs, 10).agg(F.avg("compared").alias("pairs")).crossJoin(items.agg(F.count("*").alias("n")))
+    return stats.crossJoin(compared).select("queries", "neighbours", "enough_found", F.expr("pairs < n").alias("few_compared"))
+
+
+@query(f"with {KNN} select qid, iid, round(score, 5) as score, cast(rank as bigint) as rank from k where rank <= 10")
+def knn_cells(spark, sf_dir):
+    """The cell index with every cell probed, which is exact."""
+    queries, items = _vectors(spark, sf_dir)
+    centres = ivf.train_cells(items)
+    near = ivf.search(queries, items, 10, centres, probes=len(centres))
+    return near.select("qid", "iid", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     f"""with {KNN}, c as (select qid, iid, score from k where rank <= 12 and score < 0.999),
     st as (select qid, max(score) as best, count(*) as n from c group by qid),

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from orgweave import schemas
 from orgweave.functions.text import blank_to_null
-from orgweave.operators import ivf
+from orgweave.operators import hnsw, ivf
 from orgweave.plans.settle import materialise
 from orgweave.providers import Provider
 from orgweave.sources.registry import exists, variant_texts
 
-INDEX_TYPES = ("flat", "ivf")
+INDEX_TYPES = ("flat", "ivf", "hnsw")
 
 
 def read_countries(spark: SparkSession, directories: list[str], name: str = "country_data.tsv") -> DataFrame:
@@ -59,16 +59,19 @@ def nuts_from_geojson(spark: SparkSession, path: str) -> DataFrame:
 def build_index(registry: DataFrame, encoder: Provider, encoder_name: str, path: str, index_type: str = "flat", rebuild: bool = False) -> DataFrame:
     """(id, variant, embedding) of the registry's name variants, kept at `path` and used again while encoder and type are the same.
 
-    `ivf` adds a coarse cell per vector and the cells' centres, see `ivf.cells`; `linking.retrieve` then looks in near cells only.
+    `ivf` adds a coarse cell per vector and the cells' centres, see `ivf.cells`; `linking.retrieve` then looks in near cells only. `hnsw` keeps graphs beside the
+    vectors and returns these, see `hnsw.build`; `linking.retrieve` then walks them. `flat` is compared with every vector.
     """
     if index_type not in INDEX_TYPES:
         raise ValueError(f"index type is one of {', '.join(INDEX_TYPES)}, not {index_type!r}")
     spark = registry.sparkSession
-    meta_path = f"{path.rstrip('/')}/meta"
+    meta_path, graph_path = f"{path.rstrip('/')}/meta", f"{path.rstrip('/')}/graph"
     if not rebuild and exists(spark, f"{meta_path}/_SUCCESS") and exists(spark, f"{path.rstrip('/')}/vectors/_SUCCESS"):
         meta = spark.read.json(meta_path).first()
         if meta["encoder"] == encoder_name and meta["index_type"] == index_type:
             kept = spark.read.parquet(f"{path.rstrip('/')}/vectors")
+            if index_type == "hnsw" and exists(spark, f"{graph_path}/_SUCCESS"):
+                return spark.read.parquet(graph_path)
             if index_type == "flat" or "cell" in kept.columns:
                 return kept
     texts = variant_texts(registry)
@@ -79,8 +82,15 @@ def build_index(registry: DataFrame, encoder: Provider, encoder_name: str, path:
     vectors.write.mode("overwrite").parquet(f"{path.rstrip('/')}/vectors")
     out = spark.read.parquet(f"{path.rstrip('/')}/vectors")
     facts = out.agg(F.count("*").alias("num_vectors"), F.count_distinct("id").alias("num_records"), F.max(F.size("embedding")).alias("dim"))
+    if index_type == "hnsw":
+        hnsw.build(linking_items(out)).write.mode("overwrite").parquet(graph_path)
     facts.select("*", F.lit(encoder_name).alias("encoder"), F.lit(index_type).alias("index_type")).coalesce(1).write.mode("overwrite").json(meta_path)
-    return out
+    return spark.read.parquet(graph_path) if index_type == "hnsw" else out
+
+
+def linking_items(vectors: DataFrame) -> DataFrame:
+    """(iid, embedding) of (id, variant, embedding): the id under which a search returns a name variant."""
+    return vectors.select(F.to_json(F.struct("id", "variant")).alias("iid"), "embedding")
 
 
 def extract_bundle(archive: str, target: str, prefixes: dict[str, str]) -> list[str]:
