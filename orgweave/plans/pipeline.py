@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orgweave import schemas
 from orgweave.adapters import release
+from orgweave.functions import detector
 from orgweave.functions import language as lang
 from orgweave.operators import evaluate, geocode, linking, orgtype, output, spans
 from orgweave.plans.config import PipelineConfig
@@ -38,6 +39,8 @@ class Engine:
     ner: Provider | None = None
     span_model: Provider | None = None
     language_model: Provider | None = None
+    #: Labelled texts (text, lang) that a detector is trained on where the method asks for one and none is given.
+    language_texts: DataFrame | None = None
     translator: Provider | None = None
     vectors: DataFrame | None = None
     encoder: Provider | None = None
@@ -72,6 +75,8 @@ class Engine:
 
     def __post_init__(self) -> None:
         wanted = {"span_strategy model": (self.config.span_strategy == "model", self.span_model), "enable_translation": (self.config.enable_translation, self.translator), "enable_org_types": (self.config.enable_org_types, self.org_types), "llm_judge": (self.config.link.llm_judge, self.judge)}
+        if self.config.enable_language_detect and self.config.language_method != "heuristic" and self.language_model is None and self.language_texts is not None:
+            self.language_model = detector.train(self.language_texts).provider()
         for name, (on, provider) in wanted.items():
             if on and provider is None:
                 raise ValueError(f"{name} takes a provider")

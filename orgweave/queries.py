@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave import schemas
-from orgweave.functions import labels
+from orgweave.functions import detector, labels
 from orgweave.functions import language as lang
 from orgweave.functions import text as tx
 from orgweave.operators import evaluate, geocode, hnsw, ivf, linking, orgtype, output, prompts, spans
@@ -187,6 +187,33 @@ def language_histogram(spark, sf_dir):
     return top.join(first, F.col("language") == F.col("lang")).select("lang", F.col("count").alias("n"), "n_first")
 
 
+LANG_MODEL = """with w as (select lang, word, count(*) as n from (select lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as word from documents where doc_id % 5 <> 0 and trim(lang) <> '') group by all),
+    g as (select lang, gram, sum(n) as n from (select lang, n, unnest(list_concat(string_split(word, ''), list_transform(generate_series(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 2)),
+      list_transform(generate_series(1, length(word)), lambda i: substr(' ' || word || ' ', i, 3)))) as gram from w) group by all),
+    t as (select gram from g group by gram order by sum(n) desc, gram limit 20000),
+    l as (select distinct lang from g),
+    k as (select t.gram, l.lang, coalesce(g.n, 0) as n from t cross join l left join g on g.gram = t.gram and g.lang = l.lang),
+    p as (select gram, lang, ln(n + 0.5) - ln(sum(n) over (partition by lang) + 0.5 * (select count(*) from t)) as lp from k),
+    h as (select doc_id, word, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as word from documents where doc_id % 5 = 0) group by all),
+    u as (select word, unnest(list_concat(string_split(word, ''), list_transform(generate_series(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 2)),
+      list_transform(generate_series(1, length(word)), lambda i: substr(' ' || word || ' ', i, 3)))) as gram from (select distinct word from h)),
+    s as (select word, lang, sum(lp) as lp from u join p using (gram) group by word, lang),
+    d as (select doc_id, lang, sum(n * lp) as score from h join s using (word) group by doc_id, lang),
+    e as (select doc_id, lang, score, row_number() over (partition by doc_id order by score desc, lang) as r, exp(score - max(score) over (partition by doc_id)) as x from d),
+    f as (select doc_id, max(case when r = 1 then lang end) as first, max(case when r = 2 then lang end) as second, round(max(case when r = 1 then x end) / sum(x), 4) as first_p from e group by doc_id)
+    select documents.doc_id, first, first_p, second from documents left join f using (doc_id) where documents.doc_id % 5 = 0"""
+
+
+@query(LANG_MODEL)
+def lang_model(spark, sf_dir):
+    """A detector trained on four fifths of the documents, asked for the others."""
+    docs = table(spark, sf_dir, "documents")
+    model = detector.train(docs.where("doc_id % 5 <> 0").select("text", "lang"))
+    held = docs.where("doc_id % 5 = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    answers = model.provider()(held.select("text").distinct())
+    return held.join(answers, "text").select("doc_id", "first", F.round("first_p", 4).alias("first_p"), "second")
+
+
 # --- retrieval
 
 
