@@ -14,7 +14,7 @@ from orgweave import schemas
 from orgweave.functions import detector, labels
 from orgweave.functions import language as lang
 from orgweave.functions import text as tx
-from orgweave.operators import evaluate, geocode, hnsw, ivf, linking, orgtype, output, prompts, spans, tagger
+from orgweave.operators import encoder, evaluate, geocode, hnsw, ivf, linking, orgtype, output, prompts, spans, tagger
 from orgweave.oracle import language as lang_sql
 from orgweave.plans.config import LinkConfig, PipelineConfig
 from orgweave.plans.pipeline import Engine
@@ -285,6 +285,20 @@ def knn_cells(spark, sf_dir):
     return near.select("qid", "iid", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("select count(*) as queries, true as enough_found, true as better_than_hashed from part where p_partkey % 20 = 0")
+def encoder_recall(spark, sf_dir):
+    """Misspelt part names among all: an encoder learned from the names finds nine tenths of them among ten, and more than hashed trigrams do."""
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("iid"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("text"))
+    wrong = named.where("iid % 20 = 0").select(F.col("iid").alias("qid"), F.regexp_replace("text", "^(...)(.)(.*)(.)$", "$1$3$4$2").alias("text"))
+    shares = []
+    for provider in (encoder.train(named.select("text")).provider(), hashed_encoder()):
+        items, asked = (df.join(provider(df.select("text").distinct()), "text").drop("text") for df in (named, wrong))
+        shares.append(linking.knn(asked, items, 10).where("qid = iid").agg(F.count("*").alias("n")))
+    learned, hashed = shares[0].withColumnRenamed("n", "learned"), shares[1].withColumnRenamed("n", "hashed")
+    counted = wrong.agg(F.count("*").alias("queries")).crossJoin(learned).crossJoin(hashed)
+    return counted.select("queries", F.expr("learned >= 0.9 * queries").alias("enough_found"), F.expr("learned >= hashed").alias("better_than_hashed"))
+
+
 @query(
     f"""with {KNN}, c as (select k.qid, iid, k.score, k.label, e.label as q_label from k join embeddings e on e.vec_id = qid where rank <= 30 and k.score >= 0.15),
     b as (select qid, iid, least(score + case when label = q_label then 0.05 else 0.0 end + case when iid % 7 = qid % 7 then 0.03 else 0.0 end, 1.0) as score from c),
