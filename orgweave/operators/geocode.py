@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions.text import blank_to_null, search_query, title_case
+from orgweave.operators import cover
 from orgweave.operators.linking import mention_context
 from orgweave.plans.settle import materialise
 from orgweave.providers import Provider
 from orgweave.sources.cache import read_through
 
 PLACE_FIELDS = ("city", "state_district", "county", "province", "state", "region", "country", "lat", "lon", "osm_id")
-#: Degrees of a grid cell that points and polygons' boxes meet by.
-CELL = 1.0
 
 
 def parse_place(address: Column, addresstype: Column, lat: Column, lon: Column, osm_id: Column) -> Column:
@@ -40,52 +39,15 @@ def normalise_country(df: DataFrame, column: str, aliases: DataFrame) -> DataFra
     return df.join(facts, F.col(column) == F.col("_n"), "left").drop("_n")
 
 
-def _inside(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd rule over all rings, so holes and several parts need no special case. Points of an edge's lower end count for one edge only."""
-
-    def crossings(ring: Column) -> Column:
-        n = F.size(ring)
-
-        def crosses(i: Column) -> Column:
-            a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
-            spans = (a["y"] > y) != (b["y"] > y)
-            at = a["x"] + (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) * (b["x"] - a["x"])
-            return F.when(spans & (x < at), 1).otherwise(0)
-
-        return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), crosses), F.lit(0), lambda s, v: s + v)
-
-    total = F.aggregate(F.transform(F.filter(rings, lambda r: F.size(r) >= 3), crossings), F.lit(0), lambda s, v: s + v)
-    return total % 2 == 1
-
-
-def on_boundary(x: Column, y: Column, rings: Column) -> Column:
-    """Whether a point lies on an edge."""
-
-    def on(ring: Column) -> Column:
-        n = F.size(ring)
-
-        def edge(i: Column) -> Column:
-            a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
-            cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
-            return (cross == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-
-        return F.exists(F.sequence(F.lit(0), n - 1), edge)
-
-    return F.exists(F.filter(rings, lambda r: F.size(r) >= 2), on)
-
-
 def regions_of(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """points (point_id, lat, lon) → (point_id, nuts map): nutsL_id and nutsL_name of the polygon of each level 0–3 that holds the point, its edge excepted; of several the least id.
 
-    Points and boxes meet by grid cell, an equi-join, so no point is compared with every polygon.
+    Points and polygons meet by the cells of a quadtree, an equi-join, so no point is compared with every polygon, and no polygon's rings are copied: see `cover`.
     """
-    cell = lambda v: F.floor(v / CELL).cast("int")
-    flat = F.flatten(F.transform("rings", lambda r: r))
-    box = polygons.where("level between 0 and 3").withColumn("_x", F.transform(flat, lambda p: p["x"])).withColumn("_y", F.transform(flat, lambda p: p["y"])).where("size(_x) > 0")
-    cells = box.withColumn("cx", F.explode(F.sequence(cell(F.array_min("_x")), cell(F.array_max("_x"))))).withColumn("cy", F.explode(F.sequence(cell(F.array_min("_y")), cell(F.array_max("_y"))))).drop("_x", "_y")
+    cells = cover.cover(polygons.where("level between 0 and 3"), ["nuts_id", "name", "level"])
     spots = points.where("lat is not null and lon is not null").select("point_id", F.col("lon").cast("double").alias("px"), F.col("lat").cast("double").alias("py"))
-    met = spots.withColumn("cx", cell(F.col("px"))).withColumn("cy", cell(F.col("py"))).join(cells, ["cx", "cy"])
-    hits = met.where(_inside(F.col("px"), F.col("py"), F.col("rings")) & ~on_boundary(F.col("px"), F.col("py"), F.col("rings")))
+    # several joins and a count of levels read the covering
+    hits = cover.points_in(spots, materialise(cells, "cells"))
     first = hits.groupBy("point_id", "level").agg(F.min(F.struct("nuts_id", "name")).alias("r"))
     entries = first.select("point_id", F.explode(F.array(F.struct(F.concat(F.lit("nuts"), "level", F.lit("_id")).alias("k"), F.col("r.nuts_id").alias("v")), F.struct(F.concat(F.lit("nuts"), "level", F.lit("_name")).alias("k"), F.col("r.name").alias("v")))).alias("e"))
     return entries.groupBy("point_id").agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("nuts"))
