@@ -5,6 +5,7 @@ The tables hold no affiliations, so each operator runs on tables of the same sha
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from orgweave.operators import encoder, evaluate, geocode, hnsw, ivf, linking, o
 from orgweave.oracle import language as lang_sql
 from orgweave.plans.config import LinkConfig, PipelineConfig
 from orgweave.plans.pipeline import Engine
-from orgweave.plans.settle import materialise
+from orgweave.plans.settle import materialise, shared_dir
 from orgweave.providers import gazetteer, gazetteer_ner, hashed_encoder, lexical_reranker, match_terms
 from orgweave.sources import registry as reg
 from orgweave.sources.cache import latest, read_through
@@ -447,32 +448,45 @@ def _flat(registry: DataFrame) -> DataFrame:
     return registry.select("id", "name", *lists, "country", "country_code", "city", "status", "source", "url", "parent_id", "successor_id")
 
 
-@query(
-    """select 'r' || s_suppkey as id, s_name as name, case when s_suppkey % 3 = 0 then '' else 'Alias ' || s_suppkey end as aliases, 'SX' as acronyms, case when s_suppkey % 2 = 0 then 'Etikett' else '' end as labels, 'Company' as types,
+#: Entries of registry dumps in both schemas, as SQL over suppliers and nations, and the tables that they stand for.
+FIRST_ENTRY = """concat('{"id":', if(s_suppkey % 11 = 0, if(s_suppkey % 2 = 0, 'null', '"  "'), concat('"r', s_suppkey, '"')), ',"name":"', s_name, '"', if(s_suppkey % 3 = 0, '', concat(',"aliases":["Alias ', s_suppkey, '"]')), ',"acronyms":["SX"]',
+      ',"labels":[{"label":"', if(s_suppkey % 2 = 0, 'Etikett', ''), '"},{"label":null}],"country":{"country_name":"', n_name, '","country_code":"C', n_nationkey, '"},"addresses":', if(s_suppkey % 5 = 0, '[]', '[{"city":"Town"},{"city":"Other"}]'),
+      ',"types":["Company"]', if(s_suppkey % 7 = 0, concat(',"status":"inactive"'), ''), ',"links":["http://a/', s_suppkey, '","http://b"],"unknown":1,"relationships":[{"type":"Parent","id":"', if(s_suppkey % 4 = 0, 'p1', 'x'), '"},{"type":"',
+      if(s_suppkey % 4 = 0, 'parent', 'Child'), '","id":"p2"}', if(s_suppkey % 7 = 0, concat(',{"type":"Successor","id":"r', s_suppkey + 1, '"}'), ''), ']}')"""
+SECOND_ENTRY = """concat('{"id":"r', s_suppkey, '","names":[', if(s_suppkey % 3 = 0, concat('{"value":"First ', s_suppkey, '","types":["label"]}'), concat('{"value":"', s_name, '","types":["label","ror_display"]}')), ',{"value":"SX","types":["alias","acronym"]},
+      {"value":"Other","types":["alias"]},{"value":"","types":["label"]}],"locations":[{"geonames_details":{"country_name":"', n_name, '","country_code":"C', n_nationkey, '","name":"Town"}}],"types":["company"],"status":"active",
+      "links":[{"type":"wikipedia","value":"http://x"}', if(s_suppkey % 2 = 0, concat(',{"type":"website","value":"http://w/', s_suppkey, '"}'), ''), '],"relationships":[]}')"""
+FIRST_TABLE = """select 'r' || s_suppkey as id, s_name as name, case when s_suppkey % 3 = 0 then '' else 'Alias ' || s_suppkey end as aliases, 'SX' as acronyms, case when s_suppkey % 2 = 0 then 'Etikett' else '' end as labels, 'Company' as types,
       n_name as country, 'C' || n_nationkey as country_code, case when s_suppkey % 5 = 0 then '' else 'Town' end as city, case when s_suppkey % 7 = 0 then 'inactive' else 'active' end as status, 'ror' as source,
       'http://a/' || s_suppkey as url, case when s_suppkey % 4 = 0 then 'p2' else 'x' end as parent_id, case when s_suppkey % 7 = 0 then 'r' || (s_suppkey + 1) end as successor_id
     from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 11 <> 0"""
-)
+SECOND_TABLE = """select 'r' || s_suppkey as id, case when s_suppkey % 3 = 0 then 'First ' || s_suppkey else s_name end as name, 'Other' as aliases, 'SX' as acronyms, case when s_suppkey % 3 = 0 then 'First ' || s_suppkey else '' end as labels, 'company' as types, n_name as country,
+      'C' || n_nationkey as country_code, 'Town' as city, 'active' as status, 'ror' as source, case when s_suppkey % 2 = 0 then 'http://w/' || s_suppkey else '' end as url, cast(null as varchar) as parent_id, cast(null as varchar) as successor_id
+    from supplier join nation on s_nationkey = n_nationkey"""
+
+
+@query(FIRST_TABLE)
 def registry_first_schema(spark, sf_dir):
     """Entries of the first dump schema: entries without an id go, empty labels don't count, the last parent counts."""
-    text = """concat('{"id":', if(s_suppkey % 11 = 0, if(s_suppkey % 2 = 0, 'null', '"  "'), concat('"r', s_suppkey, '"')), ',"name":"', s_name, '"', if(s_suppkey % 3 = 0, '', concat(',"aliases":["Alias ', s_suppkey, '"]')), ',"acronyms":["SX"]',
-      ',"labels":[{"label":"', if(s_suppkey % 2 = 0, 'Etikett', ''), '"},{"label":null}],"country":{"country_name":"', n_name, '","country_code":"C', n_nationkey, '"},"addresses":', if(s_suppkey % 5 = 0, '[]', '[{"city":"Town"},{"city":"Other"}]'),
-      ',"types":["Company"]', if(s_suppkey % 7 = 0, concat(',"status":"inactive"'), ''), ',"links":["http://a/', s_suppkey, '","http://b"],"unknown":1,"relationships":[{"type":"Parent","id":"', if(s_suppkey % 4 = 0, 'p1', 'x'), '"},{"type":"',
-      if(s_suppkey % 4 = 0, 'parent', 'Child'), '","id":"p2"}', if(s_suppkey % 7 = 0, concat(',{"type":"Successor","id":"r', s_suppkey + 1, '"}'), ''), ']}')"""
-    return _flat(reg.normalise_v1(_dump(spark, sf_dir, schemas.DUMP_V1, text)))
+    return _flat(reg.normalise_v1(_dump(spark, sf_dir, schemas.DUMP_V1, FIRST_ENTRY)))
 
 
-@query(
-    """select 'r' || s_suppkey as id, case when s_suppkey % 3 = 0 then 'First ' || s_suppkey else s_name end as name, 'Other' as aliases, 'SX' as acronyms, case when s_suppkey % 3 = 0 then 'First ' || s_suppkey else '' end as labels, 'company' as types, n_name as country,
-      'C' || n_nationkey as country_code, 'Town' as city, 'active' as status, 'ror' as source, case when s_suppkey % 2 = 0 then 'http://w/' || s_suppkey else '' end as url, cast(null as varchar) as parent_id, cast(null as varchar) as successor_id
-    from supplier join nation on s_nationkey = n_nationkey"""
-)
+@query(SECOND_TABLE)
 def registry_second_schema(spark, sf_dir):
     """Entries of the second dump schema: of a name's types the first of displayed, acronym, alias and label counts; without a displayed name the first stands."""
-    text = """concat('{"id":"r', s_suppkey, '","names":[', if(s_suppkey % 3 = 0, concat('{"value":"First ', s_suppkey, '","types":["label"]}'), concat('{"value":"', s_name, '","types":["label","ror_display"]}')), ',{"value":"SX","types":["alias","acronym"]},
-      {"value":"Other","types":["alias"]},{"value":"","types":["label"]}],"locations":[{"geonames_details":{"country_name":"', n_name, '","country_code":"C', n_nationkey, '","name":"Town"}}],"types":["company"],"status":"active",
-      "links":[{"type":"wikipedia","value":"http://x"}', if(s_suppkey % 2 = 0, concat(',{"type":"website","value":"http://w/', s_suppkey, '"}'), ''), '],"relationships":[]}')"""
-    return _flat(reg.normalise_v2(_dump(spark, sf_dir, schemas.DUMP_V2, text)))
+    return _flat(reg.normalise_v2(_dump(spark, sf_dir, schemas.DUMP_V2, SECOND_ENTRY)))
+
+
+@query(f"select * from ({FIRST_TABLE}) union all select * from ({SECOND_TABLE})")
+def registry_dump_file(spark, sf_dir):
+    """A dump of both schemas written as one JSON array, and read in ranges."""
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    each = s.select(F.explode(F.expr(f"array({FIRST_ENTRY}, {SECOND_ENTRY})")).alias("value"))
+    frame = spark.createDataFrame([(0, "["), (2, "{}]")], "place int, value string")
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    # one file on purpose: it is what a registry publishes
+    each.select(F.lit(1).alias("place"), F.concat("value", F.lit(",")).alias("value")).union(frame).coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    return _flat(reg.read_dump(spark, path))
 
 
 @query(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from orgweave import schemas
 from orgweave.functions.text import blank_to_null, name_key, tagged, tags
+from orgweave.plans.settle import materialise
+from orgweave.sources import jsonarray
 
 DUMP_PATTERNS = ("v*.json", "ror-data*.json", "*ror*.json")
 MAX_HOPS = 5
@@ -76,10 +78,14 @@ def normalise_v2(dump: DataFrame) -> DataFrame:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array dump; entries with `names` follow the second schema, the others the first. Entries that don't parse are skipped."""
-    v1 = spark.read.schema(schemas.DUMP_V1 + ", names string, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    v2 = spark.read.schema(schemas.DUMP_V2).option("multiLine", True).json(path)
-    return normalise_v1(v1.where("names is null").drop("names", "_bad")).unionByName(normalise_v2(v2.where("names is not null")))
+    """A JSON array dump; entries with `names` follow the second schema, the others the first. Entries that don't parse are skipped.
+
+    One file is read in as many tasks as it has ranges, see `jsonarray`.
+    """
+    entries = materialise(jsonarray.entries(spark, path), "dump-entries")
+    parsed = entries.select(F.from_json("entry", schemas.DUMP_V1 + ", names string").alias("v1"), F.from_json("entry", schemas.DUMP_V2).alias("v2"))
+    first = parsed.where("v1.id is not null and v1.names is null").select("v1.*").drop("names")
+    return normalise_v1(first).unionByName(normalise_v2(parsed.where("v1.names is not null").select("v2.*")))
 
 
 def find_dump(spark: SparkSession, directory: str) -> str | None:
