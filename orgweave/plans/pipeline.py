@@ -12,7 +12,7 @@ from orgweave import schemas
 from orgweave.adapters import release
 from orgweave.functions import detector
 from orgweave.functions import language as lang
-from orgweave.operators import evaluate, geocode, linking, orgtype, output, spans, tagger
+from orgweave.operators import evaluate, geocode, linking, orgtype, output, spans, tagger, typemodel
 from orgweave.plans.config import PipelineConfig
 from orgweave.plans.settle import materialise
 from orgweave.providers import Provider
@@ -44,6 +44,8 @@ class Engine:
     #: Labelled texts (text, entities array<struct(start, end, label)>) that a tagger of entities, and one of spans, is trained on if no such model is given.
     entity_texts: DataFrame | None = None
     span_texts: DataFrame | None = None
+    #: Labelled names (name, lvl1, lvl2) that a classifier of types is trained on if none is given.
+    type_names: DataFrame | None = None
     translator: Provider | None = None
     vectors: DataFrame | None = None
     encoder: Provider | None = None
@@ -81,6 +83,8 @@ class Engine:
             self.ner = tagger.train(self.entity_texts).ner()
         if self.span_model is None and self.span_texts is not None:
             self.span_model = tagger.train(self.span_texts).span_model()
+        if self.org_types is None and self.type_names is not None:
+            self.org_types = typemodel.train(self.type_names).provider()
         wanted = {"span_strategy model": (self.config.span_strategy == "model", self.span_model), "enable_translation": (self.config.enable_translation, self.translator), "enable_org_types": (self.config.enable_org_types, self.org_types), "llm_judge": (self.config.link.llm_judge, self.judge)}
         if self.config.enable_language_detect and self.config.language_method != "heuristic" and self.language_model is None and self.language_texts is not None:
             self.language_model = detector.train(self.language_texts).provider()

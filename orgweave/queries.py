@@ -8,14 +8,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orgweave import schemas
 from orgweave.functions import detector, labels
 from orgweave.functions import language as lang
 from orgweave.functions import text as tx
-from orgweave.operators import encoder, evaluate, geocode, hnsw, ivf, linking, orgtype, output, prompts, spans, tagger
+from orgweave.operators import encoder, evaluate, geocode, hnsw, ivf, linking, orgtype, output, prompts, spans, tagger, typemodel
 from orgweave.oracle import language as lang_sql
 from orgweave.plans.config import LinkConfig, PipelineConfig
 from orgweave.plans.pipeline import Engine
@@ -24,6 +24,7 @@ from orgweave.providers import gazetteer, gazetteer_ner, hashed_encoder, lexical
 from orgweave.sources import registry as reg
 from orgweave.sources.cache import latest, read_through
 from orgweave.sources.tables import country_aliases
+from orgweave.streaming.regroup import regroup_stream
 from orgweave.streaming.stream import windowed_counts
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -795,6 +796,40 @@ def gazetteer_match(spark, sf_dir):
     return found.groupBy("text_key").agg(F.count("*").alias("n"))
 
 
+@query("select o_custkey as source_index, string_agg(cast(o_orderkey as varchar), ' ' order by o_orderkey) as orders, true as complete from orders group by o_custkey")
+def stream_regroup(spark, sf_dir):
+    """Customers' orders as spans that come in over several micro-batches, in any order, and are put together by state."""
+    mine = Window.partitionBy("o_custkey")
+    spans_in = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("source_index"),
+        (F.row_number().over(mine.orderBy("o_orderkey")) - 1).alias("span_index"),
+        F.count("*").over(mine).cast("int").alias("span_count"),
+        F.col("o_orderkey").cast("string").alias("raw_text"),
+        F.to_timestamp(F.lit("2024-01-01")).alias("time"),
+    )
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spans_in.repartition(4, F.xxhash64("raw_text")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(spans_in.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+    done = regroup_stream(stream, ["raw_text"]).writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("source_index", F.array_join(F.transform("outputs", lambda o: o["raw_text"]), " ").alias("orders"), "complete")
+
+
+TYPED_NAME = "case p_partkey % 4 when 0 then 'University of ' || p_name when 1 then p_name || ' General Hospital' when 2 then p_name || ' Trading Ltd' else 'Institute for ' || p_name end"
+TYPED = """case p_partkey % 4 when 0 then 'Higher Education' when 1 then 'Healthcare' when 2 then 'Company' else 'Research Organization' end as lvl1,
+    case p_partkey % 4 when 0 then 'HEI.institution' when 1 then 'HEA.hospital' when 2 then 'PRC.company' else 'REC.institute' end as lvl2"""
+
+
+@query(f"select {TYPED_NAME} as name, p_brand as country, {TYPED} from part where p_partkey % 3 = 0 group by all")
+def typed_names(spark, sf_dir):
+    """A classifier of types trained on two thirds of the names, through the operator that asks it, for the others."""
+    names = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{TYPED_NAME} as name", "p_brand as country", *TYPED.replace("\n", " ").replace("end as lvl1,", "end as lvl1@").split("@"))
+    model = typemodel.train(names.where("p_partkey % 3 <> 0").select("name", "lvl1", "lvl2"))
+    asked = names.where("p_partkey % 3 = 0").select("name", "country")
+    return orgtype.classify(asked, model.provider()).select("name", "country", "lvl1", "lvl2")
+
+
 def _place(query: tuple[str, str], source: str) -> str:
     """SQL of one span's output as JSON: its input, its one institution, its place and where that came from."""
     parts = [
