@@ -12,6 +12,9 @@ from orgweave.plans.settle import materialise
 from orgweave.providers import Provider
 from orgweave.sources.cache import read_through
 
+#: Letters of the shortest name that may be misspelt, and the lengths at which it may be so twice; longer names than that only once, as deletions grow with the square.
+FUZZY_LEAST = 5
+FUZZY_TWO = (9, 40)
 PLACE_FIELDS = ("city", "state_district", "county", "province", "state", "region", "country", "lat", "lon", "osm_id")
 
 
@@ -26,8 +29,37 @@ def parse_place(address: Column, addresstype: Column, lat: Column, lon: Column,
     return F.when(address.isNotNull() & ~F.coalesce(odd, F.lit(False)) & ~empty, place)
 
 
-def normalise_country(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """`df` plus country_short, country_code, continent, un_region: by exact alias, else by alias in title case; a name that nothing matches stays itself, trimmed.
+def edits_allowed(name: Column) -> Column:
+    """How many edits a name may be off: none below `FUZZY_LEAST` letters, where codes would meet, two within `FUZZY_TWO`, else one."""
+    n = F.char_length(name)
+    return F.when(n < FUZZY_LEAST, 0).when(n.between(*FUZZY_TWO), 2).otherwise(1)
+
+
+def _deletes(name: Column) -> Column:
+    """The name with none, one or, within `FUZZY_TWO`, two of its characters deleted."""
+    without = lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s))))
+    one = without(name)
+    two = F.when(F.char_length(name).between(FUZZY_TWO[0] - 2, FUZZY_TWO[1] + 2), F.flatten(F.transform(one, without))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(name), one, two))
+
+
+def near_countries(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """names (n) → (n, key): the alias of least edit distance to a name, in small letters, within `edits_allowed`; none if aliases of two countries are equally near.
+
+    Two names that many edits apart share a string that as many deletions make of each, at most, so they meet by an equi-join on deletions; the distance is then
+    computed. No name is compared with every alias.
+    """
+    asked = names.select("n", F.lower(F.trim("n")).alias("a")).withColumn("edits", edits_allowed(F.col("a"))).where("edits > 0")
+    known = aliases.select("key", "name_short", F.lower(F.trim("key")).alias("b")).where(F.char_length("b") >= FUZZY_LEAST - 2)
+    met = asked.withColumn("d", F.explode(_deletes(F.col("a")))).join(known.withColumn("d", F.explode(_deletes(F.col("b")))), "d").select("n", "a", "edits", "key", "name_short", "b").distinct()
+    near = met.withColumn("off", F.levenshtein("a", "b")).where("off <= edits")
+    best = near.groupBy("n").agg(F.min("off").alias("least")).join(near, "n").where("off = least")
+    return best.groupBy("n").agg(F.count_distinct("name_short").alias("countries"), F.min("key").alias("key")).where("countries = 1").select("n", "key")
+
+
+def normalise_country(df: DataFrame, column: str, aliases: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """`df` plus country_short, country_code, continent, un_region: by exact alias, else by alias in title case, else by the nearest alias within one or two
+    edits (see `near_countries`; not if `fuzzy` is off). A name that nothing matches stays itself, trimmed.
 
     Only distinct names meet the alias table.
     """
@@ -35,6 +67,9 @@ def normalise_country(df: DataFrame, column: str, aliases: DataFrame) -> DataFra
     exact = aliases.select(F.col("key").alias("_exact"), F.struct("name_short", "iso3", "continent", "un_region").alias("_a"))
     titled = aliases.select(F.col("key").alias("_title"), F.struct("name_short", "iso3", "continent", "un_region").alias("_b"))
     facts = names.join(exact, "_exact", "left").join(titled, "_title", "left").withColumn("_c", F.coalesce("_a", "_b"))
+    if fuzzy:
+        near = near_countries(facts.where("_c is null").select(F.col("_n").alias("n")), aliases).join(exact.withColumnsRenamed({"_exact": "key", "_a": "_near"}), "key")
+        facts = facts.join(near.select(F.col("n").alias("_n"), "_near"), "_n", "left").withColumn("_c", F.coalesce("_c", "_near"))
     facts = facts.select("_n", F.coalesce("_c.name_short", "_exact").alias("country_short"), F.col("_c.iso3").alias("country_code"), F.col("_c.continent").alias("continent"), F.col("_c.un_region").alias("un_region"))
     return df.join(facts, F.col(column) == F.col("_n"), "left").drop("_n")
 

@@ -660,6 +660,26 @@ def country_normalise(spark, sf_dir):
     return out.select("id", "country_short", "country_code", "continent")
 
 
+MISSPELT = "case c_custkey % 5 when 0 then n_name when 1 then substr(n_name, 1, 2) || substr(n_name, 4) when 2 then lower(n_name) || 'x' when 3 then 'X' || substr(n_name, 2, 3) || 'yy' || substr(n_name, 6) else substr(n_name, 2) || substr(n_name, 1, 1) end"
+
+
+@query(
+    f"""with x as (select c_custkey as id, {MISSPELT} as country from customer join nation on c_nationkey = n_nationkey),
+    a as (select n_name as key, n_name as short from nation union all select 'Republic of ' || n_name, n_name from nation),
+    u as (select distinct country, lower(trim(country)) as c, case when length(trim(country)) < 5 then 0 when length(trim(country)) between 9 and 40 then 2 else 1 end as edits from x),
+    e as (select country, min(short) as short from u join a on trim(country) = key group by country),
+    f as (select country, short, levenshtein(c, lower(key)) as off from u, a where edits > 0 and length(key) >= 3 and levenshtein(c, lower(key)) <= edits and country not in (select country from e)),
+    b as (select country, min(short) as short from f where off = (select min(g.off) from f g where g.country = f.country) group by country having count(distinct short) = 1)
+    select id, coalesce(e.short, b.short, trim(x.country)) as country_short from x left join e using (country) left join b using (country)"""
+)
+def country_misspelt(spark, sf_dir):
+    """Countries with letters lost, added, changed or moved: the nearest name within one or two edits."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    countries = n.selectExpr("n_name as name_short", "concat('Republic of ', n_name) as name_official", "cast(null as string) as ISO3", "cast(null as string) as ISO2", "r_name as continent", "r_name as UNregion")
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    return geocode.normalise_country(c.select(F.col("c_custkey").alias("id"), F.expr(MISSPELT).alias("country")), "country", country_aliases(countries)).select("id", "country_short")
+
+
 @query(
     """with p as (select o_orderkey as point_id, (o_custkey % 160) / 2.0 as lat, (o_orderkey % 320) / 2.0 as lon from orders),
     r as (select n_nationkey % 4 as level, 'R' || lpad(cast(n_nationkey as varchar), 2, '0') as id, n_nationkey * 5 as x, n_nationkey * 3 as y from nation),
