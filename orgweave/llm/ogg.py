@@ -3,7 +3,8 @@
 The container is written and read from its page layout: capture pattern, granule position, serial and sequence number, checksum,
 lacing values. The payload is stored as 8-bit mono samples in one logical stream; a second stream carries a header packet that says how many bytes
 of it are text. Pages of the two streams are interleaved. Reading verifies every page's checksum and sequence number, joins
-packets from lacing values (over page ends too), sorts them out by serial number and derives times from granule positions.
+packets from lacing values (over page ends too), sorts them out by serial number and derives each packet's start and end from the granule positions of
+the pages: a page's position is the end of the last packet that it completes, and the packets before that one end where their successors begin.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +93,8 @@ def mux(payload: bytes, n_bytes: int) -> bytes:
 class Stream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
-    granules: list[int] = field(default_factory=list)
+    #: Of each page on which packets end: its granule position and how many end there.
+    ends: list[tuple[int, int]] = field(default_factory=list)
     pages: int = 0
     open: bytes | None = None
     ended: bool = False
@@ -119,15 +122,17 @@ def demux(media: bytes) -> dict[int, Stream]:
         if s.ended or sequence != s.pages or bool(flags & _CONTINUED) != (s.open is not None):
             raise OggError("a page is missing or out of place")
         s.pages += 1
-        p = at + 27 + n
+        p, before = at + 27 + n, len(s.packets)
         for size in lacing:
             s.open = (s.open or b"") + media[p : p + size]
             p += size
             if size < 255:
                 s.packets.append(s.open)
                 s.open = None
+        if (granule != -1) != (len(s.packets) > before):
+            raise OggError("a granule position without a packet's end, or the other way round")
         if granule != -1:
-            s.granules.append(granule)
+            s.ends.append((granule, len(s.packets) - before))
         s.ended = bool(flags & _LAST)
         at = end
     if any(s.open is not None or not s.ended for s in streams.values()):
@@ -135,6 +140,26 @@ def demux(media: bytes) -> dict[int, Stream]:
     return streams
 
 
+def packet_times(stream: Stream, samples: Callable[[bytes], int] = len) -> list[tuple[int, int]]:
+    """(start, end) of each packet, in samples, from the pages' granule positions; `samples` says how many a packet holds. Positions that fall back, or
+    that a page's packets reach beyond, raise.
+
+    Where a page's packets hold fewer samples than its position has gone on, the first of them starts late: there is a hole before it.
+    """
+    out: list[tuple[int, int]] = []
+    last = at = 0
+    for granule, n in stream.ends:
+        end, mine = granule, []
+        for packet in reversed(stream.packets[at : at + n]):
+            mine.append((end - samples(packet), end))
+            end -= samples(packet)
+        if end < last:
+            raise OggError("packets overlap in time")
+        out += reversed(mine)
+        last, at = granule, at + n
+    return out
+
+
 def read_payload(media: bytes) -> tuple[bytes, int, dict[int, Stream]]:
     """The stored payload, its unpadded length, and the streams."""
     streams = demux(media)
@@ -142,19 +167,22 @@ def read_payload(media: bytes) -> tuple[bytes, int, dict[int, Stream]]:
         raise OggError("not the two streams expected")
     magic, _, n_bytes, size = struct.unpack("<8sIQQ", streams[HEADER_SERIAL].packets[0])
     payload = b"".join(streams[SAMPLES_SERIAL].packets)
-    if magic != b"ORGWAV01" or len(payload) != size or streams[SAMPLES_SERIAL].granules[-1] != size:
-        raise OggError("header, granule position and samples disagree")
+    times = packet_times(streams[SAMPLES_SERIAL])
+    if magic != b"ORGWAV01" or len(payload) != size or times[-1][1] != size or any(a != b for (_, a), (b, _) in pairwise([(0, 0), *times])):
+        raise OggError("header, granule positions and samples disagree")
     return payload, n_bytes, streams
 
 
 def feature_of(payload: bytes, streams: dict[int, Stream]) -> str:
-    """Duration from the last granule position, page and packet counts, and level figures of the samples."""
+    """Duration, the last packet's start and a checksum of all packets' times, from granule positions; page and packet counts; level figures of the samples."""
     x = np.frombuffer(payload, np.uint8)
     mean = float(x.mean())
     rms = float(np.sqrt(np.square(x.astype(np.float64) - 128).mean()))
     crossings = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
     s = streams[SAMPLES_SERIAL]
-    return f"seconds={s.granules[-1] / RATE:.6f};pages={sum(t.pages for t in streams.values())};packets={len(s.packets)};mean={mean:.4f};rms={rms:.4f};crossings={crossings}"
+    times = packet_times(s)
+    spans = f"seconds={times[-1][1] / RATE:.6f};last_packet={times[-1][0] / RATE:.6f};times_crc32={zlib.crc32(np.array(times, '<i8').tobytes())}"
+    return f"{spans};pages={sum(t.pages for t in streams.values())};packets={len(s.packets)};mean={mean:.4f};rms={rms:.4f};crossings={crossings}"
 
 
 def store(docs: DataFrame) -> DataFrame:

@@ -60,7 +60,29 @@ def test_packets_over_page_ends(size):
     back, n, streams = ogg.read_payload(media)
     assert back == payload and n == 5 and len(streams) == 2
     samples = streams[ogg.SAMPLES_SERIAL]
-    assert samples.granules[-1] == len(payload) and samples.granules == sorted(samples.granules)
+    times = ogg.packet_times(samples)
+    assert times == [(i, min(i + ogg.PACKET, len(payload))) for i in range(0, len(payload), ogg.PACKET)]
+
+
+def test_times_of_three_pages_made_by_hand():
+    """Three packets end on the first page, none on the second, two on the third, the first of which came over two page ends."""
+    body = lambda n: bytes(range(256)) * (n // 256) + bytes(n % 256)
+    one = ogg._page(7, 0, ogg._FIRST, 600, [100, 200, 255, 45, 255], body(855))
+    two = ogg._page(7, 1, ogg._CONTINUED, -1, [255] * 3, body(765))
+    three = ogg._page(7, 2, ogg._CONTINUED | ogg._LAST, 1700, [10, 70], body(80))
+    stream = ogg.demux(one + two + three)[7]
+    assert [len(p) for p in stream.packets] == [100, 200, 300, 1030, 70] and stream.ends == [(600, 3), (1700, 2)]
+    assert ogg.packet_times(stream) == [(0, 100), (100, 300), (300, 600), (600, 1630), (1630, 1700)]
+    # a hole: the first page's packets begin late
+    late = ogg.demux(ogg._page(7, 0, ogg._FIRST | ogg._LAST, 1000, [100, 200], body(300)))[7]
+    assert ogg.packet_times(late) == [(700, 800), (800, 1000)]
+    # packets of other lengths in time than in bytes
+    assert ogg.packet_times(late, lambda p: 5) == [(990, 995), (995, 1000)]
+    early = ogg.demux(ogg._page(7, 0, ogg._FIRST | ogg._LAST, 200, [100, 200], body(300)))[7]
+    with pytest.raises(ogg.OggError, match="overlap"):
+        ogg.packet_times(early)
+    with pytest.raises(ogg.OggError, match="granule"):
+        ogg.demux(ogg._page(7, 0, ogg._FIRST | ogg._LAST, -1, [100], body(100)))
 
 
 def test_damage_is_found():
