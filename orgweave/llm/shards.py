@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.llm.shared import discard, materialise, materialise_at, small_batches
@@ -156,6 +156,27 @@ def write_training_order(docs: DataFrame, vocabulary: Vocabulary, key: int = 0,
     return written
 
 
+def write_files(shards: DataFrame, path: str) -> None:
+    """A file of its own for each shard, `path`/shards/shard=N/…, and a table of them, `path`/manifest (shard, first_slot, n_records, stride).
+
+    A file is the shard's records and one newline, nothing else: the record of slot s begins at byte (s - first_slot) * stride, so a reader outside
+    Spark maps or seeks it. Spark's text writer puts out the bytes of a string as they are, and a cast from binary leaves them as they are.
+    """
+    shards.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(f"{path.rstrip('/')}/shards")
+    shards.select("shard", "first_slot", "n_records", "stride").write.parquet(f"{path.rstrip('/')}/manifest")
+
+
+def read_files(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
+    """The shards of `write_files` from the one that holds `first_slot` on, for `read_records`; the files of earlier ones are not opened."""
+    manifest = spark.read.parquet(f"{path.rstrip('/')}/manifest").where((F.col("first_slot") + F.col("n_records")) > first_slot)
+    first = manifest.agg(F.min("shard")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], SHARDS)
+    files = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/shards").where(F.col("shard") >= first)
+    content = files.select(F.col("shard").cast("long").alias("shard"), F.expr("substring(content, 1, length(content) - 1)").alias("payload"))
+    return manifest.join(content, "shard").select("shard", "first_slot", "n_records", "stride", "payload")
+
+
 def read_records(shards: DataFrame, first_slot: int = 0) -> DataFrame:
     """One row per record from `first_slot` on: slot, shard, byte_offset, doc_id, seq_no, n_tokens, tokens, record_sha256."""
 

@@ -1,5 +1,6 @@
 """Clashing columns, empty tables, unbounded groups and the selectivity of the benchmark index."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -17,6 +18,26 @@ def test_no_documents_no_shards(spark):
     assert shards.read_records(written).count() == 0
 
 
+def test_shards_as_files(spark, tmp_path):
+    vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = spark.createDataFrame([(i, f"text {i} \r\n é漢 " * (i % 40)) for i in range(120)], "doc_id long, text string")
+    written = shards.write_training_order(docs, vocabulary, key=3, sequence=16, per_shard=50)
+    shards.write_files(written, f"file://{tmp_path}/out")
+    row = lambda r: (r.slot, r.shard, r.byte_offset, r.doc_id, bytes(r.tokens), r.record_sha256)
+    expected = sorted(map(row, shards.read_records(written).collect()))
+    for first in (0, 1, 50, 137, len(expected) - 1, len(expected)):
+        later = shards.read_files(spark, f"file://{tmp_path}/out", first)
+        assert sorted(map(row, shards.read_records(later, first).collect())) == expected[first:]
+    # any record by its place in the file
+    slot, shard = expected[77][:2]
+    (file,) = (tmp_path / "out" / "shards" / f"shard={shard}").glob("part-*")
+    size = shards.stride(16)
+    assert hashlib.sha256(file.read_bytes()[(slot - shard * 50) * size :][:size]).hexdigest() == expected[77][-1]
+    assert file.stat().st_size == 50 * size + 1
+    plan = shards.read_files(spark, f"file://{tmp_path}/out", 137)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and ">= 2" in plan
+
+
 def test_spare_names(spark):
     df = spark.createDataFrame([(1, 2)], "gone int, GONE_ int")
     assert shared.spare("gone", df) == "gone__" and shared.spare("x", df) == "x"
