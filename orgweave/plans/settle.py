@@ -8,6 +8,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +59,26 @@ def materialise_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """`materialise`, and the path for `discard`."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _recorded:
+        _recorded[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written by `materialise` within go at the end: what is wanted from them must be written by then."""
+    _recorded.append([])
+    try:
+        yield
+    finally:
+        for path in _recorded.pop():
+            discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table written by `materialise_at` once nothing reads it any more."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

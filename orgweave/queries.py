@@ -15,7 +15,7 @@ from orgweave import schemas
 from orgweave.functions import detector, labels
 from orgweave.functions import language as lang
 from orgweave.functions import text as tx
-from orgweave.operators import encoder, evaluate, geocode, hnsw, ivf, linking, orgtype, output, prompts, spans, tagger, typemodel
+from orgweave.operators import alignment, encoder, evaluate, geocode, hnsw, ivf, linking, orgtype, output, prompts, spans, tagger, typemodel
 from orgweave.oracle import language as lang_sql
 from orgweave.plans.config import LinkConfig, PipelineConfig
 from orgweave.plans.pipeline import Engine
@@ -258,6 +258,22 @@ def knn_topk(spark, sf_dir):
     return linking.knn(*_vectors(spark, sf_dir), 10).select("qid", "iid", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("select p_partkey as mention_key, p_partkey as record_id from part where p_partkey % 10 = 0")
+def rerank_aligned(spark, sf_dir):
+    """Misspelt part names, their words turned round, with the right part and its four neighbours: an aligner trained on other parts puts the right one first."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("text"))
+    wrong = F.reverse(F.split(F.regexp_replace("text", "^(..)(.)(.)", "$1$3$2"), " "))
+    asked = part.where("p_partkey % 5 = 0").select("p_partkey", F.array_join(wrong, " ").alias("query"))
+    near = asked.withColumn("candidate", F.explode(F.sequence(F.col("p_partkey") - 2, F.col("p_partkey") + 2)))
+    pairs = near.join(part.select(F.col("p_partkey").alias("candidate"), F.col("text").alias("document")), "candidate")
+    right = pairs.where("candidate = p_partkey").select("p_partkey", F.col("document").alias("right"))
+    learned = pairs.where("candidate <> p_partkey and p_partkey % 10 = 5").withColumnRenamed("document", "wrong").join(right, "p_partkey")
+    model = alignment.train(part.select("text"), learned.select("query", "right", "wrong"))
+    held = pairs.where("p_partkey % 10 = 0")
+    scored = held.join(model.provider()(held.select("query", "document").distinct()), ["query", "document"])
+    return scored.groupBy(F.col("p_partkey").alias("mention_key")).agg(F.min_by("candidate", F.struct(-F.col("rerank_score"), "candidate")).alias("record_id"))
+
+
 @query(f"with {KNN} select qid, iid, round(score, 5) as score, cast(rank as bigint) as rank from k where rank <= 10")
 def knn_graph(spark, sf_dir):
     """The graph index: its walks find what the exact search finds, at this scale all of it."""

@@ -44,12 +44,18 @@ class Cache:
         return {"total": row["total"], "expired": row["expired"]}
 
     def compact(self) -> None:
-        """Rewrite with only what `get` returns."""
-        held = self.get()
-        temporary = f"{self.path.rstrip('/')}-compact"
-        held.write.mode("overwrite").parquet(temporary)
-        self.spark.read.parquet(temporary).write.mode("overwrite").parquet(self.path)
-        self._drop(temporary)
+        """Rewrite with only what `get` returns.
+
+        The compacted entries are appended, and then the files they were read from go. What is put meanwhile is in other files and stays; if this ends halfway, entries
+        are there twice, which `get` does not mind. Readers that listed the old files before must read anew.
+        """
+        if not exists(self.spark, self.path):
+            return
+        old = self.entries()
+        files = old.inputFiles()
+        latest(old, None, self.ttl_days).write.mode("append").parquet(self.path)
+        for f in files:
+            self._drop(f)
 
     def clear(self) -> None:
         self._drop(self.path)

@@ -12,13 +12,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orgweave.functions import language as lang
 from orgweave.plans.pipeline import Engine
+from orgweave.plans.settle import released
 
 
 def process_stream(engine: Engine, source: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """source: a stream of (source_index, raw_text). Writes one row per span to path/batch=n."""
 
     def batch(df: DataFrame, number: int) -> None:
-        engine.spans_out(df).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+        # a stream may run for long, so the stages' tables of a batch go with it
+        with released(engine.spark):
+            engine.spans_out(df).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
 
     writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
