@@ -621,29 +621,29 @@ def candidate_text(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), tx.tagged(F.col("c_name"), ("CITY", F.col("c_mktsegment"))).alias("tagged"), doc.alias("document"))
 
 
-#: Suppliers' affiliations in four wordings, as arrays of (text, label) pieces; what lies between pieces is a comma and a blank.
-PIECES = """case s_suppkey % 4 when 0 then [s_name, n_name] when 1 then ['Division ' || r_name, s_name, n_name] when 2 then [s_name, 'City ' || n_nationkey, n_name]
-    else ['Division ' || r_name, s_name, 'City ' || n_nationkey, n_name] end"""
-LABELS = """case s_suppkey % 4 when 0 then ['ORG', 'COUNTRY'] when 1 then ['SUB', 'ORG', 'COUNTRY'] when 2 then ['ORG', 'CITY', 'COUNTRY'] else ['SUB', 'ORG', 'CITY', 'COUNTRY'] end"""
-TAGGED = f"""with a as (select s_suppkey, {PIECES} as p, {LABELS} as l from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where s_suppkey % 3 = 0),
-    e as (select s_suppkey, p, l, unnest(generate_series(1, len(p))) as i from a)
-    select cast(s_suppkey as varchar) as text_key, cast(i - 1 as bigint) as pos, l[i] as label, p[i] as word,
+#: Customers' affiliations in four wordings, as arrays of (text, label) pieces; what lies between pieces is a comma and a blank.
+PIECES = """case c_custkey % 4 when 0 then [c_name, n_name] when 1 then ['Division ' || r_name, c_name, n_name] when 2 then [c_name, 'City ' || n_nationkey, n_name]
+    else ['Division ' || r_name, c_name, 'City ' || n_nationkey, n_name] end"""
+LABELS = """case c_custkey % 4 when 0 then ['ORG', 'COUNTRY'] when 1 then ['SUB', 'ORG', 'COUNTRY'] when 2 then ['ORG', 'CITY', 'COUNTRY'] else ['SUB', 'ORG', 'CITY', 'COUNTRY'] end"""
+TAGGED = f"""with a as (select c_custkey, {PIECES} as p, {LABELS} as l from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_custkey % 3 = 0),
+    e as (select c_custkey, p, l, unnest(generate_series(1, len(p))) as i from a)
+    select cast(c_custkey as varchar) as text_key, cast(i - 1 as bigint) as pos, l[i] as label, p[i] as word,
       cast(length(array_to_string(p[1:i], ', ')) - length(p[i]) as bigint) as start, cast(length(array_to_string(p[1:i], ', ')) as bigint) as "end" from e"""
 
 
 def affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text_key, text, entities): texts made of suppliers, with where their parts are."""
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    """(text_key, text, entities): texts made of customers, with where their parts are."""
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     listed = lambda sql: F.expr(sql.replace("[", "array(").replace("]", ")"))
-    parts = s.select("s_suppkey", listed(PIECES).alias("p"), listed(LABELS).alias("l"))
+    parts = c.select("c_custkey", listed(PIECES).alias("p"), listed(LABELS).alias("l"))
     upto = lambda i: F.array_join(F.slice("p", 1, i + 1), ", ")
     entity = lambda w, i: F.struct((F.char_length(upto(i)) - F.char_length(w)).alias("start"), F.char_length(upto(i)).alias("end"), F.get("l", i).alias("label"))
-    return parts.select(F.col("s_suppkey").cast("string").alias("text_key"), F.array_join("p", ", ").alias("text"), F.transform("p", entity).alias("entities"))
+    return parts.select(F.col("c_custkey").cast("string").alias("text_key"), F.array_join("p", ", ").alias("text"), F.transform("p", entity).alias("entities"))
 
 
 @query(TAGGED)
 def tagged_entities(spark, sf_dir):
-    """A tagger trained on two thirds of the suppliers' affiliations finds the parts of the others."""
+    """A tagger trained on two thirds of the customers' affiliations finds the parts of the others."""
     texts = affiliations(spark, sf_dir)
     model = tagger.train(texts.where("cast(text_key as bigint) % 3 <> 0"))
     found = model.ner()(texts.where("cast(text_key as bigint) % 3 = 0"))
