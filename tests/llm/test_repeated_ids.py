@@ -33,11 +33,13 @@ def odd_rows():
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("odd")
-    spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", "'en' as lang").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", "if(doc_id = 3, null, if(doc_id < 6, 'en', 'de')) as lang", "if(doc_id = 4, null, 'web') as source", "cast(char_length(text) as int) as n_chars").coalesce(1).write.parquet(f"{path}/documents.parquet")
     urls = ["https://a.co.uk/en/1", "https://b.co.uk/en/2", "http://10.0.0.1:80/en/3", "http://10.0.0.2/en/4", "https://A.Example.com:8080/en/5?x", None, "no host", "http:///en/6", "https://[::1]/en/1"]
     spark.createDataFrame([(i, u) for i, u in enumerate(urls * 3)], "page_id long, url string").coalesce(1).write.parquet(f"{path}/pages.parquet")
     labels = [(1, 1, None), (2, 0, None), (3, None, 0), (4, None, 1), (5, 1, 0), (6, None, None), (1, 0, 1)]
     spark.createDataFrame(labels, "doc_id long, toxic int, quality int").coalesce(1).write.parquet(f"{path}/labels.parquet")
+    items = [(1, " ".join(words(1, 20))), (2, "one LINE x"), (3, None), (4, "nowhere"), (5, "Long line long"), (6, "x")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
 
@@ -45,7 +47,7 @@ def folder(spark, tmp_path_factory):
 def test_sql_says_the_same(spark, folder, sf_dir, name):
     for at in (folder, sf_dir):
         con = duckdb.connect()
-        for t in ("documents", "pages", "labels"):
+        for t in ("documents", "pages", "labels", "benchmark"):
             con.execute(f"create view {t} as select * from read_parquet('{at}/{t}.parquet{'/*.parquet' if at == folder else ''}')")
         df = training.queries()[name](spark, at)
         columns = sorted(df.columns)
