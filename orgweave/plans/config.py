@@ -18,7 +18,7 @@ class LinkConfig:
     rerank: bool = True
     llm_judge: bool = False
     #: Vectors above which an index without cells or graphs is searched by graphs made for the run; None: always compared one by one.
-    graph_from: int | None = 100_000
+    graph_from: int | None = 1_000_000
 
     def __post_init__(self) -> None:
         if self.top_k < 1 or self.judge_candidates < 1:
