@@ -18,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orgweave.operators.packed import packed
+from orgweave.operators.packed import greatest, packed
+from orgweave.plans.settle import materialise
 
 SHARD_ROWS = 1 << 15
 SHARD_BYTES = 32 << 20
@@ -30,6 +32,10 @@ DEGREE = 12
 WIDE = 48
 #: Vectors that a walk holds at least; k, if that is more.
 BEAM = 24
+#: The share of the nearest that walks are to find, by queries that are searched exactly too, and how many of these there are at most; vectors that a walk holds at most for it.
+RECALL = 0.95
+PROBES = 512
+MOST_BEAM = 2_048
 #: Queries that walk together.
 BLOCK = 256
 _PRODUCT_ROWS = 512
@@ -204,9 +210,28 @@ def build(items: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return sharded.groupBy("shard").applyInArrow(graph, f"{GRAPH}, ids array<{kind.simpleString()}>")
 
 
-def search(queries: DataFrame, graphs: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """queries (qid, embedding) × graphs of `build` → (qid, iid, score, rank): k items of great inner product, nearly always the k greatest, ties by iid."""
-    return _ranked(_walked(queries, graphs, k, beam).drop("compared"), k)
+def search(queries: DataFrame, graphs: DataFrame, k: int, beam: int | None = None, exact: bool = False) -> DataFrame:
+    """queries (qid, embedding) × graphs of `build` → (qid, iid, score, rank): k items of great inner product, nearly always the k greatest, ties by iid.
+
+    beam: how many vectors a walk holds; None: what `fitted_beam` says. With exact each walk is checked against its shard: what scores above the least it found takes
+    part too, so that the k greatest come out, for the price of a product with every vector.
+    """
+    if beam is None:
+        beam = BEAM if exact else fitted_beam(queries, graphs, k)
+    return _ranked(_walked(queries, graphs, k, beam, exact).drop("compared"), k)
+
+
+def fitted_beam(queries: DataFrame, graphs: DataFrame, k: int, recall: float = RECALL) -> int:
+    """The beam, doubled from `BEAM` on, by which walks find that share of the k nearest of a sample of the queries: at most `PROBES`, those of the least hashes.
+
+    A beam that is enough for few vectors is not for many. Where `MOST_BEAM` isn't enough, as among many equal vectors, it stands.
+    """
+    probes = materialise(queries.where("embedding is not null").orderBy(F.xxhash64("qid"), "qid").limit(PROBES), "probes")
+    nearest = materialise(search(probes, graphs, k, exact=True).select("qid", "iid"), "nearest")
+    wanted, beam = nearest.count(), max(BEAM, k)
+    while beam < MOST_BEAM and nearest.join(search(probes, graphs, k, beam).select("qid", "iid"), ["qid", "iid"], "left_semi").count() < recall * wanted:
+        beam = min(MOST_BEAM, 2 * beam)
+    return beam
 
 
 def compared_pairs(queries: DataFrame, graphs: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
@@ -219,7 +244,7 @@ def _ranked(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "iid", "score", "rank")
 
 
-def _walked(queries: DataFrame, graphs: DataFrame, k: int, beam: int) -> DataFrame:
+def _walked(queries: DataFrame, graphs: DataFrame, k: int, beam: int, exact_too: bool = False) -> DataFrame:
     q_kind, kind = queries.schema["qid"].dataType, graphs.schema["ids"].dataType.elementType
     schema = f"qid {q_kind.simpleString()}, iid {kind.simpleString()}, score double, compared double, shard int"
     blocks = packed(queries.select(F.col("qid").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")), 8 * BLOCK, "block")
@@ -239,6 +264,11 @@ def _walked(queries: DataFrame, graphs: DataFrame, k: int, beam: int) -> DataFra
                     read = lambda buffer: np.frombuffer(buffer, np.int32)
                     layers = [Layer(read(v["nodes"]), read(v["starts"]), read(v["links"]), n) for v in get("layers").as_py()]
                     last, ids = shard, get("ids").values
+                    # ties go by id, in whose order the vectors aren't
+                    place = np.arange(n) if pa.types.is_nested(ids.type) else pc.rank(ids, tiebreaker="first").to_numpy().astype(np.int64) - 1
+                    if exact_too:
+                        by_id = np.argsort(place)
+                        x_by_id, longest = x[by_id], float(np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64).max(initial=0)))
                 q_ids = get("q_ids").values
                 q = np.frombuffer(get("q_data").as_buffer(), np.float32).reshape(len(q_ids), -1)
                 for lo in range(0, len(q), BLOCK):
@@ -247,10 +277,16 @@ def _walked(queries: DataFrame, graphs: DataFrame, k: int, beam: int) -> DataFra
                     row, col = np.nonzero(found >= 0)
                     met = found[row, col]
                     exact = np.einsum("ij,ij->i", mine[row].astype(np.float64), x[met].astype(np.float64))
-                    order = np.lexsort((met, -np.round(exact, 12), row))
+                    order = np.lexsort((place[met], -np.round(exact, 12), row))
                     row, met, exact = row[order], met[order], exact[order]
                     top = np.arange(len(row)) - np.searchsorted(row, np.arange(len(mine)))[row] < k
                     row, met, exact = row[top], met[top], exact[top]
+                    if exact_too:
+                        reached = np.full(len(mine), np.inf)
+                        np.minimum.at(reached, row, exact)
+                        reached[np.bincount(row, minlength=len(mine)) < k] = -np.inf
+                        row, at, exact = greatest(mine, x_by_id, k, longest, reached)
+                        met = by_id[at]
                     columns = [q_ids.take(pa.array(row + lo)).cast(q_type), ids.take(pa.array(met)).cast(id_type), pa.array(exact)]
                     share = pa.array(np.full(len(row), compared / len(mine)))
                     yield pa.RecordBatch.from_arrays([*columns, share, pa.array(np.full(len(row), shard, np.int32))], ["qid", "iid", "score", "compared", "shard"])
