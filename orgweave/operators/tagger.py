@@ -1,9 +1,10 @@
 """A sequence tagger of its own: an averaged structured perceptron over tokens, decoded by Viterbi's algorithm.
 
 Tokens are runs of letters or digits, and single other characters. A token's features are its small form, shape, beginning and ending, those of its neighbours,
-and whether they are in a dictionary of given terms; they are hashed into `BUCKETS` numbers. Tags are O, and B and I of each label, where I follows only B or I of its
-label. Training walks a bounded sample of labelled texts `EPOCHS` times in a fixed order, adds the features of the gold path, takes those of the best path away
-where they differ, and averages the weights of all steps. Tagging runs within each text's row.
+and whether they are in a dictionary of given terms. Only those that training gave a weight count, by name: one it hasn't seen never takes the weight of another, as it would
+by a hash. Tags are O, and B and I of each label, where I follows only B or I of its label. Training walks a bounded sample of labelled texts `EPOCHS` times in a fixed order,
+adds the features of the gold path, takes those of the best path away where they differ, and averages the weights of all steps. In training wrong tags are ahead by `LEAD`, so
+the gold path has to win by that much for each. Tagging runs within each text's row.
 
 An entity's score is the least, over its tokens, of the forward-backward probability of the token's tag, with path scores divided by the size of a typical margin.
 """
@@ -11,7 +12,6 @@ An entity's score is the least, over its tokens, of the forward-backward probabi
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orgweave.plans.settle import spread
 from orgweave.providers import Provider
 
 #: Labelled texts that the weights are learned from at most, those of the least hashes.
 MAX_TEXTS = 4_000
-BUCKETS = 1 << 16
 EPOCHS = 6
+LEAD = 2.0
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _SCHEMA = "text_key string, pos int, label string, word string, score double, start int, end int"
 
@@ -43,19 +44,18 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
-def features(text: str, spans: list[tuple[int, int]]) -> list[np.ndarray]:
-    """The hashed features of each token."""
+def features(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+    """The names of each token's features, each once."""
     words = [text[a:b].lower() for a, b in spans]
     shapes = [_shape(text[a:b]) for a, b in spans]
     at = lambda values, i: values[i] if 0 <= i < len(values) else "|"
     out = []
     for i, w in enumerate(words):
-        named = [
+        out.append([
             "bias", f"w {w}", f"s {shapes[i]}", f"p {w[:3]}", f"e {w[-3:]}", f"e2 {w[-2:]}", f"l {min(len(w), 8)}",
             f"-1 {at(words, i - 1)}", f"+1 {at(words, i + 1)}", f"-2 {at(words, i - 2)}", f"+2 {at(words, i + 2)}", f"-1s {at(shapes, i - 1)}", f"+1s {at(shapes, i + 1)}",
             f"-1w {at(words, i - 1)} {w}", f"w+1 {w} {at(words, i + 1)}", f"n {min(i, 4)}", f"m {min(len(words) - i, 4)}",
-        ]
-        out.append(np.unique(np.array([zlib.crc32(f.encode("utf-8", "replace")) % BUCKETS for f in named], np.int64)))
+        ])
     return out
 
 
@@ -136,12 +136,15 @@ _NEVER = -1e9
 @dataclass(frozen=True)
 class Tagger:
     tags: TagSet
+    #: A feature's row of `weights`; row 0 is all zeros, for what isn't known.
+    known: dict[str, int]
     weights: np.ndarray
     transitions: np.ndarray
     margin: float
 
     def _scores(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        return np.array([self.weights[f].sum(axis=0) for f in features(text, spans)])
+        rows = np.array([[self.known.get(f, 0) for f in token] for token in features(text, spans)])
+        return self.weights[rows].sum(axis=1)
 
     def entities(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, label, score) in the order of the text."""
@@ -169,7 +172,7 @@ class Tagger:
                 types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["text_key", "pos", "label", "word", "score", "start", "end"])
 
-        return lambda df: df.select(F.col("text_key").cast("string").alias("text_key"), "text").mapInArrow(run, _SCHEMA)
+        return lambda df: spread(df.select(F.col("text_key").cast("string").alias("text_key"), "text"), "text_key").mapInArrow(run, _SCHEMA)
 
     def span_model(self) -> Provider:
         """(source_index, raw_text) → (source_index, entities), as `spans.expand_spans` asks for: each entity is a span."""
@@ -188,19 +191,21 @@ def fit(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPOCHS
     """A tagger from texts and their entities (start, end, label)."""
     tags = TagSet(tuple(sorted({label for _, entities in rows for _, _, label in entities})))
     size, blocked = tags.size, ~tags.allowed
-    examples = []
+    examples, known = [], {}
     for text, entities in rows:
         spans = tokens(text or "")
         if spans:
-            examples.append((features(text, spans), tags.encode(spans, entities)))
-    weights, total = np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size))
+            numbers = np.array([[known.setdefault(f, len(known)) for f in token] for token in features(text, spans)])
+            examples.append((numbers, tags.encode(spans, entities)))
+    weights, total = np.zeros((len(known), size)), np.zeros((len(known), size))
     moves, moves_total = np.zeros((size + 1, size)), np.zeros((size + 1, size))
     step, margins = 1, []
     order = np.random.default_rng(11)
     for epoch in range(epochs):
         for i in order.permutation(len(examples)):
             feats, gold = examples[i]
-            scores = np.array([weights[f].sum(axis=0) for f in feats])
+            scores = weights[feats].sum(axis=1) + LEAD
+            scores[np.arange(len(gold)), gold] -= LEAD
             guess = viterbi(scores, np.where(blocked, _NEVER, moves))
             if guess != gold:
                 for j, (g, w) in enumerate(zip(gold, guess, strict=True)):
@@ -219,13 +224,15 @@ def fit(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = EPOCHS
             step += 1
     average = weights - total / step
     for feats, gold in examples[:500]:
-        scores = np.array([average[f].sum(axis=0) for f in feats])
+        scores = average[feats].sum(axis=1)
         if size > 1:
             ordered = np.sort(scores, axis=1)
             margins += (ordered[:, -1] - ordered[:, -2]).tolist()
     # at a typical margin the likelier of two tags has odds of e^4
     margin = max(1e-6, float(np.median(margins)) / 4) if margins else 1.0
-    return Tagger(tags, average, np.where(blocked, _NEVER, moves - moves_total / step), margin)
+    used = average.any(axis=1)
+    rows_of = {f: n for n, f in enumerate((f for f, i in known.items() if used[i]), 1)}
+    return Tagger(tags, rows_of, np.vstack([np.zeros((1, size)), average[used]]), np.where(blocked, _NEVER, moves - moves_total / step), margin)
 
 
 def train(labelled: DataFrame, max_texts: int = MAX_TEXTS) -> Tagger:

@@ -80,6 +80,15 @@ def test_held_out_affiliations(spark):
     assert tagger.train(table(spark, rows[:300]).repartition(2)).ner()(held).exceptAll(again).count() == 0  # the order of rows doesn't matter
 
 
+def test_what_was_not_seen_has_no_weight():
+    name = lambda n: f"Customer#000{n:06d}"
+    rows = [(f"{name(n * 977)}, NATION_{n % 25}", [(0, 18, "ORG"), (20, 27 + len(str(n % 25)), "COUNTRY")]) for n in range(300)]
+    model = tagger.fit(rows)
+    # names whose parts that were seen are the same, so they differ only in what was not
+    found = {tuple(model.entities(f"{name(1000 * n + 455)}, NATION_3")) for n in range(1, 900)}
+    assert len(found) == 1
+
+
 def test_no_entities(spark):
     model = tagger.train(table(spark, []))
     assert model.entities("some text") == []
