@@ -5,27 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.plans.settle import discard, materialise, materialise_at, shared_dir
+from orgweave.plans.settle import discard, materialise, materialise_at, shared_dir, small_batches
 
 __all__ = ["MembershipFilter", "discard", "keep_columns", "let", "materialise", "materialise_at", "null_to_empty", "shared_dir", "small_batches", "spare"]
 
 #: Largest fixed-size membership filter sent to executors, in bits (128 MiB).
 MAX_FILTER_BITS = 1 << 30
-BATCH_ROWS = 500
 _BUCKET_BITS = 32768
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python workers in batches of at most `BATCH_ROWS` rows, as a row may hold a long text. A smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, in that order, so that extra or clashing columns never meet a join."""
     return df.select(*[F.col(f"`{n}`") for n in names])

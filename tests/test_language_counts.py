@@ -32,6 +32,17 @@ def test_counts_equal_plain_ones(spark):
             assert abs(got["trigrams"].get(code, 0) - 100 * n / windows) < 1e-9
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        lang.decide(F.col("t"))
+        assert int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_no_pass_of_the_text_for_each_range(spark):
     df = spark.createDataFrame([("大学",)], "t string").select(lang.feature("scripts", F.col("t")).alias("s"))
     assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
