@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from orgweave.streaming.regroup import regroup_stream
+from orgweave.streaming.regroup import _texts, regroup_stream
 
 SCHEMA = "source_index long, span_index int, span_count int, raw_text string, score double, time timestamp"
 START = dt.datetime(2024, 1, 1, 12)
@@ -51,3 +52,42 @@ def test_stream_regroups_like_a_table(spark, tmp_path):
 
 def test_no_rows(spark):
     assert regroup_stream(spark.createDataFrame([], SCHEMA), ["raw_text"]).agg(F.count("*")).first()[0] == 0
+
+
+class State:
+    """A state as the operator is handed it, call by call."""
+
+    held, timeout, watermark, hasTimedOut = None, None, 0, False
+    exists = property(lambda self: self.held is not None)
+    get = property(lambda self: self.held)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.held = value
+
+    def remove(self):
+        self.held = self.timeout = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.watermark
+        self.timeout = at
+
+
+def test_neighbouring_texts_share_a_call_and_keep_their_own_times():
+    state = State()
+
+    def call(rows, watermark, timed_out=False):
+        state.watermark, state.hasTimedOut = watermark, timed_out
+        batches = [pd.DataFrame(rows, columns=["source_index", "span_index", "span_count", "payload", "at"])] if rows else []
+        return [tuple(r) for pdf in _texts((0,), iter(batches), state, 100) for r in pdf.itertuples(index=False)]
+
+    assert call([(1, 1, 2, "b", 10), (2, 0, 1, "c", 10), (3, 0, 2, "d", 50), (1, 0, 2, "a", 20)], 0) == [(1, ["a", "b"], True), (2, ["c"], True)]
+    assert state.timeout == 110
+    assert call([(2, 0, 1, "again", 90)], 80) == []  # text 2 stays known until 190, text 1 until 120, text 3 until 150
+    assert state.timeout == 120
+    assert call([(4, 0, 2, "e", 200), (5, 0, 1, "late", 100)], 160) == [(3, ["d"], False)]  # its time is up though its neighbour came
+    assert state.timeout == 190
+    assert call([], 200, timed_out=True) == [] and state.timeout == 300
+    assert call([], 301, timed_out=True) == [(4, ["e"], False)] and not state.exists
