@@ -8,7 +8,8 @@ multiset Jaccard similarity of their 5-word shingles at `SIMILARITY` or more, ov
    that starts at its first marked place, or the last one that the document has room for: these are the windows tried.
 2. Each window and item gets a 64-bit SimHash of its shingles. Cut in 4 blocks of 16 bits, two fingerprints within `RADIUS`
    bits differ in at most three bits in one block, so the 697 values of that block's Hamming ball, kept per item,
-   find every item of the window's length within the radius. Of unrelated fingerprints some 4 % meet in a block.
+   find every item of the window's length within the radius. Of unrelated fingerprints some 4 % meet in a block. These values are 2,788 rows an
+   item, so they are shuffled, not broadcast, unless they are few; each fingerprint of a window's length looks them up once, however many windows have it.
 3. Candidates are verified by their exact weighted shingles.
 """
 
@@ -21,14 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.llm.shared import keep_columns, let, materialise
+from orgweave.plans.settle import spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS, BLOCK_BITS, BALL = 4, 16, 3
 #: BLOCKS * (BALL + 1) - 1: some block of two fingerprints no further apart than this differs in BALL bits or fewer.
 RADIUS = BLOCKS * (BALL + 1) - 1
-#: Rows (of some 40 bytes) or, in tables of arrays, array elements (of 8 bytes) of the items' tables up to which they are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows (of some 160 bytes as a hash table) of the items' tables up to which they are broadcast; ten times as many array elements (of 8 bytes) in tables of arrays.
+BROADCAST_ROWS = 100_000
 #: Distinct shingles of items up to which the documents' shingles are looked up in a literal table.
 LITERAL_ROWS = 200_000
 LITERAL_BUCKETS = 1 << 14
@@ -104,8 +106,20 @@ def _blocks(sim: str) -> Column:
 
 def _small(df: DataFrame, arrays: str | None = None) -> DataFrame:
     """Marked for broadcast only if its counted rows, or the elements of its column `arrays`, allow it; else joins shuffle."""
-    size = df.count() if arrays is None else df.agg(F.coalesce(F.sum(F.size(arrays) + 5), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_ROWS else df
+    size = df.count() if arrays is None else df.agg(F.coalesce(F.sum(F.size(arrays) + 5), F.lit(0))).first()[0] / 10
+    # (unhinted, Spark would broadcast a table that is exploded from few rows by the size of those)
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _meetings(sims: DataFrame, item_sims: DataFrame) -> DataFrame:
+    """sims (len, sim) × item_sims (item_id, len, sim) → (len, sim, item_id): the items of that length within `RADIUS` of each fingerprint."""
+    # all values of a block with at most BALL bits set
+    near = F.expr(f"filter(sequence(0, {(1 << BLOCK_BITS) - 1}), v -> bit_count(v) <= {BALL})")
+    table = spread(item_sims, "item_id", "len").select("item_id", "len", F.col("sim").alias("item_sim"), F.explode(_blocks("sim")).alias("b"))
+    table = table.select("item_id", "len", "item_sim", "b.no", F.explode(F.transform(near, lambda v: v.bitwiseXOR(F.col("b.value")))).alias("value"))
+    probes = sims.select("len", "sim").distinct().select("len", "sim", F.explode(_blocks("sim")).alias("b")).select("len", "sim", "b.no", "b.value")
+    found = probes.join(_small(table), ["len", "no", "value"]).where(f"bit_count(sim ^ item_sim) <= {RADIUS}")
+    return found.select("len", "sim", "item_id").distinct()
 
 
 def _numbered(hashes: Column) -> Column:
@@ -189,18 +203,13 @@ def _text_leaks(docs: DataFrame, items: DataFrame, short_items: bool) -> DataFra
     window = materialise(window.select("doc_id", "text_key", "w.*"), "leak-windows")
 
     # 2. fingerprints and blocks
-    window_sims = _simhash(window.select("doc_id", "text_key", "len", "s", F.explode("hashes").alias("h")), ["doc_id", "text_key", "len", "s"], "h")
+    keys = ["doc_id", "text_key", "len", "s"]
+    window_sims = materialise(_simhash(window.select(*keys, F.explode("hashes").alias("h")), keys, "h"), "window-sims")
     item_sims = _simhash(item_shingles, ["item_id", "len"], "h")
-    # all values of a block with at most BALL bits set
-    near = F.expr(f"filter(sequence(0, {(1 << BLOCK_BITS) - 1}), v -> bit_count(v) <= {BALL})")
-    table = item_sims.select("item_id", "len", F.col("sim").alias("item_sim"), F.explode(_blocks("sim")).alias("b"))
-    table = table.select("item_id", "len", "item_sim", "b.no", F.explode(F.transform(near, lambda v: v.bitwiseXOR(F.col("b.value")))).alias("value"))
-    probes = window_sims.select("doc_id", "text_key", "len", "s", "sim", F.explode(_blocks("sim")).alias("b")).select("doc_id", "text_key", "len", "s", "sim", "b.no", "b.value")
-    found = probes.join(_small(table), ["len", "no", "value"]).where(f"bit_count(sim ^ item_sim) <= {RADIUS}")
-    found = found.select("doc_id", "text_key", "len", "s", "item_id").distinct()
+    found = window_sims.join(_meetings(window_sims, item_sims), ["len", "sim"]).select(*keys, "item_id")
 
     # 3. exact weighted shingles: sum of the smaller over sum of the larger counts
-    candidates = found.join(window, ["doc_id", "text_key", "len", "s"]).join(_small(item_words.select("item_id", F.col("hashes").alias("item_hashes")), "item_hashes"), "item_id")
+    candidates = found.join(window, keys).join(_small(item_words.select("item_id", F.col("hashes").alias("item_hashes")), "item_hashes"), "item_id")
     both = candidates.withColumn("both", F.size(F.array_intersect(_numbered(F.col("hashes")), _numbered(F.col("item_hashes")))))
     scored = both.withColumn("similarity", F.expr("both / cast(size(hashes) + size(item_hashes) - both as double)")).where(F.col("similarity") >= SIMILARITY)
     best = scored.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("s")).alias("order"), F.col("words"))).alias("m"))

@@ -330,6 +330,19 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert decontaminate.find_leaks(table(spark, docs).where("false"), items_df).count() == 0
 
 
+def test_block_values_of_many_items_are_not_broadcast(spark):
+    r = random.Random(37)
+    items = [" ".join(f"i{k}w{r.randrange(900)}" for _ in range(8 + k % 3)) for k in range(60)]
+    # one passage in many texts: its windows share a fingerprint
+    docs = [f"d{k} e{k} {items[k % 60]} f{k}" for k in range(80)] + [f"x{k} {items[7]}" for k in range(40)]
+    found = decontaminate.find_leaks(table(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "value#" in x]
+    # 60 items have 167,280 block values, which the driver would have to hold for a broadcast
+    assert joins and all("strategy=merge" in x for x in joins)
+    got = {(x.doc_id, x.item_id): x.similarity for x in found.collect()}
+    assert got == pytest.approx(brute_leaks(list(enumerate(docs)), list(enumerate(items))))
+
+
 def test_short_items_within_longer_texts(spark, monkeypatch):
     items = ["yes", "one two", "Red, green blue!", "a b c d", "a b c d e", "nowhere at all"]
     docs = ["yes", "he said YES and yes", "yesterday one", "x one two y one two", "red green blue", "so red green blue it was", "a b c d", "z a b c d e z", "a b c", None, ""]
