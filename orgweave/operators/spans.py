@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions import lexicons as L
+from orgweave.plans.settle import spread
 from orgweave.providers import Provider
 
 #: Between an open parenthesis' end and the next closing one.
@@ -79,7 +80,8 @@ def close_parenthesis(word: Column, text: Column, end: Column) -> Column:
 
 def tag_mentions(spans: DataFrame, ner: Provider, min_score: float = 0.0) -> DataFrame:
     """mentions (source_index, span_index, pos, label, word, score, start, end). The provider sees each distinct text once."""
-    texts = spans.select("raw_text").where("trim(raw_text) <> ''").distinct()
+    # dealt out: short texts are few bytes, which Spark would give to a task or two, but much is made of them
+    texts = spread(spans.select("raw_text").where("trim(raw_text) <> ''").distinct(), "raw_text")
     keyed = texts.select(F.sha2("raw_text", 256).alias("text_key"), F.col("raw_text").alias("text"))
     raw = ner(keyed).where(F.coalesce("score", F.lit(0.0)) >= min_score)
     grouped = raw.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "score", "word", "start", "end"))).alias("e"))

@@ -14,7 +14,7 @@ from orgweave.functions import detector
 from orgweave.functions import language as lang
 from orgweave.operators import evaluate, geocode, linking, orgtype, output, spans, tagger, typemodel
 from orgweave.plans.config import PipelineConfig
-from orgweave.plans.settle import materialise
+from orgweave.plans.settle import materialise, spread
 from orgweave.providers import Provider
 from orgweave.sources.cache import Cache
 from orgweave.sources.tables import country_aliases, read_inputs
@@ -127,8 +127,10 @@ class Engine:
     def items(self, inputs: DataFrame) -> DataFrame:
         """All stages, one row per span, before the public shape."""
         c, keys = self.config, ["source_index", "span_index"]
+        # texts are few bytes, which come in a task or two, but much is made of each: they are dealt to all cores.
         # several branches read each stage, so it is settled before they part
-        base = self._settled(self.get_translation(self.get_language(self.get_spans(inputs))), "spans")
+        dealt = spread(self.get_spans(inputs), "source_index", "raw_text")
+        base = self._settled(self.get_translation(self.get_language(dealt)), "spans")
         mentions = self._settled(self.get_ner(base), "mentions")
         out = base.join(spans.group_by_label(mentions), keys, "left").join(output.score_lookup(mentions), keys, "left")
         links = None
