@@ -107,3 +107,27 @@ def test_engine_trains_its_own_models(spark):
     mentions = engine.get_ner(parts).orderBy("span_index", "pos").select("span_index", "label", "word").collect()
     assert [tuple(x) for x in mentions] == [(0, "ORG", "University of Bern"), (0, "CITY", "Bern"), (0, "COUNTRY", "Spain"), (1, "ORG", "Institute for Law"), (1, "COUNTRY", "Peru")]
     assert spans.group_by_label(engine.get_ner(parts)).agg(F.count("*")).first()[0] == 2
+
+
+def test_all_texts_are_learned_from_in_shards(spark):
+    r = random.Random(4)
+    rows = {f"{t} {i}": e for i, (t, e) in enumerate(affiliation(r) for _ in range(5_000))}
+    # one text alone has this label, and of 5,000 texts it has the greatest hash
+    each = spark.createDataFrame([(t,) for t in rows], "text string")
+    last = each.orderBy(F.xxhash64("text").desc(), F.desc("text")).first().text
+    rows[last] = [(a, b, "RARE") for a, b, _ in rows[last]]
+    model = tagger.train(table(spark, rows.items()))
+    assert model.tags.labels == ("CITY", "COUNTRY", "ORG", "RARE", "SUB")
+    wrong = sum([x[:3] for x in model.entities(t)] != e for t, e in list(rows.items())[:500] if t != last)
+    assert wrong < 10
+    # neither the order of rows nor how they are dealt matters
+    again = tagger.train(table(spark, list(rows.items())[::-1]).repartition(7))
+    order = [model.known[f] for f in sorted(model.known)]
+    assert sorted(model.known) == sorted(again.known) and (model.weights[order] == again.weights[[again.known[f] for f in sorted(again.known)]]).all()
+    assert (model.transitions == again.transitions).all() and model.margin == again.margin
+
+
+def test_paths_of_many_texts_equal_those_of_each():
+    rng = np.random.default_rng(8)
+    emissions, moves = rng.integers(0, 3, (40, 6, 5)).astype(float), rng.integers(0, 2, (6, 5)).astype(float)
+    assert tagger._paths(emissions, moves).tolist() == [tagger.viterbi(e, moves) for e in emissions]
